@@ -1,0 +1,78 @@
+"""Per-key state of the brute-force stream: failures per millisecond of a slot."""
+
+from __future__ import annotations
+
+import sys
+from collections.abc import Callable, Iterator
+from typing import Any
+
+import numpy as np
+import pandas as pd
+from pyspark import cloudpickle
+from pyspark.sql.streaming.state import GroupState
+
+# These functions run in the executors' Python workers.  Sending them by value
+# spares the workers an installed copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+Update = Callable[[tuple[Any, ...], Iterator[pd.DataFrame], GroupState], Iterator[pd.DataFrame]]
+
+
+def count_per_millisecond(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Runs before the shuffle: a burst from one address travels as few rows."""
+    for rows in batches:
+        yield rows.groupby(["src_ip", "slot", "at"], as_index=False, sort=False).agg(
+            failed=("failed", "sum"), ts=("ts", "min")
+        )
+
+
+def merge_counts(at: np.ndarray, failed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct times in order, with the failures of equal times added up."""
+    times, index = np.unique(at, return_inverse=True)
+    sums = np.zeros(len(times), dtype=np.int64)
+    np.add.at(sums, index, failed)
+    return times, sums
+
+
+def first_window(
+    at: np.ndarray, failed: np.ndarray, anchor_end: int, window_ms: int, threshold: int
+) -> tuple[int, int] | None:
+    """Earliest (start, failures) among windows that start before ``anchor_end``."""
+    total = np.concatenate([[0], np.cumsum(failed)])
+    last = np.searchsorted(at, at + window_ms, side="right")
+    in_window = total[last] - total[:-1]
+    hits = np.flatnonzero((in_window >= threshold) & (at < anchor_end))
+    return (int(at[hits[0]]), int(in_window[hits[0]])) if len(hits) else None
+
+
+def judge_slots(window_ms: int, threshold: int) -> Update:
+    """State update per (address, slot): gather counts, judge once at the end."""
+
+    def update(
+        key: tuple[Any, ...], batches: Iterator[pd.DataFrame], state: GroupState
+    ) -> Iterator[pd.DataFrame]:
+        src_ip, slot = key
+        held = state.get if state.exists else ((), ())
+        times, counts = (np.asarray(part, dtype=np.int64) for part in held)
+        if state.hasTimedOut:
+            state.remove()
+            hit = first_window(times, counts, (int(slot) + 1) * window_ms, window_ms, threshold)
+            if hit:
+                yield pd.DataFrame(
+                    {
+                        "src_ip": [src_ip],
+                        "slot": [slot],
+                        "failed_attempts": [hit[1]],
+                        "start_ms": [hit[0]],
+                    }
+                )
+            return
+        for rows in batches:
+            times, counts = merge_counts(
+                np.concatenate([times, rows["at"].to_numpy(np.int64)]),
+                np.concatenate([counts, rows["failed"].to_numpy(np.int64)]),
+            )
+        state.update((times.tolist(), counts.tolist()))
+        state.setTimeoutTimestamp((int(slot) + 2) * window_ms)
+
+    return update
