@@ -10,8 +10,13 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from decoylog.functions.text import let
+
 _OCTET = r"(25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 _V4 = rf"^{_OCTET}(\.{_OCTET}){{3}}$"
+# Groups of up to four digits; one ``::`` at most, no lone colon at either end.
+_V6 = r"^(?!.*:::)(?!.*::.*::)(?!:[^:])(?!.*[^:]:$)([0-9a-f]{0,4}:){2,8}[0-9a-f]{0,4}$"
+_V6_GROUPS = 8
 _MAPPED = "00000000000000000000ffff"
 
 
@@ -21,8 +26,19 @@ def _hex(number: Column, width: int) -> Column:
 
 def _v4_hex(ip: Column) -> Column:
     octets = F.split(ip, r"\.")
-    digits = [_hex(F.get(octets, i).try_cast("bigint"), 2) for i in range(4)]
-    return F.when(ip.rlike(_V4), F.concat(*digits))
+    digits = F.transform(octets, lambda octet: _hex(octet.try_cast("bigint"), 2))
+    return F.when(ip.rlike(_V4), F.array_join(digits, ""))
+
+
+def _plain_v6(ip: Column) -> Column:
+    """Lower case, and a dotted tail turned into the two groups it stands for."""
+
+    def with_tail(tail: Column) -> Column:
+        head = F.regexp_extract(ip, r"^(.*:)[^:]*$", 1)
+        return F.concat(head, F.substring(tail, 1, 4), F.lit(":"), F.substring(tail, 5, 4))
+
+    dotted = let(_v4_hex(F.regexp_extract(ip, r"([^:]*)$", 1)), with_tail)
+    return F.lower(F.when(ip.contains("."), dotted).otherwise(ip))
 
 
 def _groups(text: Column) -> Column:
@@ -30,38 +46,27 @@ def _groups(text: Column) -> Column:
 
 
 def _v6_hex(ip: Column) -> Column:
-    # A dotted tail counts as the last two groups.
-    tail = _v4_hex(F.regexp_extract(ip, r"([^:]*)$", 1))
-    head = F.regexp_extract(ip, r"^(.*:)[^:]*$", 1)
-    text = F.lower(
-        F.when(
-            ip.contains("."),
-            F.concat(head, F.substring(tail, 1, 4), F.lit(":"), F.substring(tail, 5, 4)),
-        ).otherwise(ip)
-    )
-    halves = F.split(text, "::", -1)
-    left = _groups(F.get(halves, 0))
-    right = F.coalesce(_groups(F.get(halves, 1)), F.array().cast("array<string>"))
-    zeros = F.lit(8) - F.size(left) - F.size(right)
-    well_formed = (
-        text.rlike(r"^[0-9a-f]{0,4}(:[0-9a-f]{0,4}){2,8}$")
-        & ~text.contains(":::")
-        & ~text.rlike(r"^:[^:]|[^:]:$")
-        & F.when(F.size(halves) == 1, zeros == 0).otherwise((F.size(halves) == 2) & (zeros > 0))
-    )
-    filled = F.concat(left, F.array_repeat(F.lit("0"), F.greatest(zeros, F.lit(0))), right)
-    return F.when(
-        well_formed, F.array_join(F.transform(filled, lambda group: F.lpad(group, 4, "0")), "")
-    )
+    def expanded(text: Column) -> Column:
+        zeros = F.lit(_V6_GROUPS) - F.size(_groups(text))
+        filled = F.replace(text, F.lit("::"), F.concat(F.lit(":"), F.repeat(F.lit("0:"), zeros)))
+        whole = F.when(text.contains("::"), zeros > 0).otherwise(zeros == 0)
+        return F.when(text.rlike(_V6) & whole, _groups(filled))
+
+    groups = let(_plain_v6(ip), expanded)
+    return F.array_join(F.transform(groups, lambda group: F.lpad(group, 4, "0")), "")
 
 
 def ip_key(ip: Column) -> Column:
     """Sort key of an address text; NULL when it is not an address."""
-    v6 = _v6_hex(ip)
-    return F.when(ip.contains(":"),
-        F.when(F.startswith(v6, F.lit(_MAPPED)), F.concat(F.lit("4"), F.substring(v6, 25, 8)))
-        .otherwise(F.concat(F.lit("6"), v6))
-    ).otherwise(F.concat(F.lit("4"), _v4_hex(ip)))
+
+    def by_family(v6: Column) -> Column:
+        return F.when(
+            v6.startswith(_MAPPED), F.concat(F.lit("4"), F.substring(v6, 25, 8))
+        ).otherwise(F.concat(F.lit("6"), v6))
+
+    return F.when(ip.contains(":"), let(_v6_hex(ip), by_family)).otherwise(
+        F.concat(F.lit("4"), _v4_hex(ip))
+    )
 
 
 def number_key(number: Column) -> Column:

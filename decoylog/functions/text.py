@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from functools import reduce
 from operator import or_
 
@@ -32,7 +32,13 @@ def strip(text: Column) -> Column:
 
 
 def is_blank(text: Column) -> Column:
-    return F.coalesce(strip(text) == "", F.lit(True))
+    """Without any character that is not white space; stops at the first one."""
+    return F.coalesce(~text.rlike(f"[^{C.WHITESPACE_CLASS}]"), F.lit(True))
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that it uses several times but that is computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 def contains_any(text: Column, parts: Iterable[str]) -> Column:

@@ -22,10 +22,10 @@ def parse_time(text: Column) -> Column:
     and more are taken as epoch milliseconds.
     """
     millis = text.try_cast("bigint")
-    return F.when(
+    return F.when(text.rlike(r"^\d{4}(-|$)"), F.try_to_timestamp(text)).when(
         text.rlike(r"^-?\d{8,}$"),
         F.when(F.abs(millis) <= _MAX_EPOCH_MS, F.timestamp_millis(millis)),
-    ).when(text.rlike(r"^\d{4}(-|$)"), F.try_to_timestamp(text))
+    )
 
 
 def iso_millis(ts: Column) -> Column:

@@ -7,12 +7,12 @@ the whole line a reject, which a plain object parse would let pass.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from decoylog import constants as C
-from decoylog.functions.text import is_blank, present
+from decoylog.functions.text import is_blank, let, present
 from decoylog.functions.times import parse_time
 from decoylog.schema import INT_FIELDS, JSON_FIELDS, JSON_OBJECT
 
@@ -30,33 +30,41 @@ def parse_lines(lines: DataFrame) -> DataFrame:
     but without ``ts``), ``no_timestamp``, ``malformed`` and ``blank``.  Rejects
     stay in the result; :func:`admitted` and :func:`rejects` split it.
     """
+    value = F.col("value")
     wrapped = F.from_json(
-        F.concat(F.lit("["), F.col("value"), F.lit("\n]")), T.ArrayType(JSON_OBJECT), _STRICT
+        F.concat(F.lit("["), value, F.lit("\n]")), T.ArrayType(JSON_OBJECT), _STRICT
     )
-    # explode(array(x)) keeps one row per line and makes the parse a step of its
-    # own: a later filter on an event column does not parse the line again.
-    parsed = lines.select("*", F.explode(F.array(wrapped)).alias("_objects"))
-    whole = (F.size("_objects") == 1) & F.rtrim("value", F.lit(" \t\r\n")).endswith("}")
-    parsed = parsed.withColumn("_event", F.when(whole, F.get("_objects", F.lit(0))))
-
-    fields = {
-        name: F.col("_event")[name].try_cast("int") if name in INT_FIELDS else F.col("_event")[name]
+    closed = value.endswith("}") | value.rlike(r"\}[ \t\r\n]+$")
+
+    def only_object(objects: Column) -> Column:
+        return F.when((F.size(objects) == 1) & closed, F.get(objects, F.lit(0)))
+
+    def event(parsed: Column) -> Column:
+        return let(parse_time(parsed["timestamp"]), lambda ts: _event_row(value, parsed, ts))
+
+    # One generator makes all columns of a line.  A filter on any of them runs
+    # after it, so the line is neither parsed nor classified a second time.
+    rows = F.transform(F.array(let(wrapped, only_object)), event)
+    return lines.select("*", F.inline(rows))
+
+
+def _event_row(value: Column, parsed: Column, ts: Column) -> Column:
+    fields = [
+        parsed[name].try_cast("int") if name in INT_FIELDS else parsed[name]
         for name in JSON_FIELDS
-    }
-    ts = parse_time(F.col("timestamp"))
+    ]
     status = (
-        F.when(is_blank(F.col("value")), C.BLANK)
-        .when(F.col("_event").isNull(), C.MALFORMED)
-        .when(~present(F.col("timestamp")) | F.col("timestamp").isNull(), C.NO_TIMESTAMP)
-        .when(F.col("ts").isNull(), C.BAD_TIMESTAMP)
-        .otherwise(C.OK)
+        F.when(ts.isNotNull(), C.OK)
+        .when(present(parsed["timestamp"]), C.BAD_TIMESTAMP)
+        .when(parsed.isNotNull(), C.NO_TIMESTAMP)
+        .when(is_blank(value), C.BLANK)
+        .otherwise(C.MALFORMED)
     )
-    return (
-        parsed.withColumns(fields)
-        .withColumn("ts", ts)
-        .withColumn("ts_ms", F.unix_millis("ts"))
-        .withColumn("line_status", status)
-        .drop("_objects", "_event")
+    return F.struct(
+        *[field.alias(name) for field, name in zip(fields, JSON_FIELDS, strict=True)],
+        ts.alias("ts"),
+        F.unix_millis(ts).alias("ts_ms"),
+        status.alias("line_status"),
     )
 
 
