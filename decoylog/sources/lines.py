@@ -77,9 +77,12 @@ def nonblank(lines: DataFrame) -> DataFrame:
 def list_log_files(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """One row per file, newest modified first, from the file listing alone.
 
-    The content column is never selected, so no file is opened.
+    Folders are searched to any depth.  The content column is never selected,
+    so no file is opened.
     """
-    files = spark.read.format("binaryFile").load(paths)
+    files = (
+        spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(paths)
+    )
     return with_file_info(
         files.select(
             "path",
@@ -150,7 +153,7 @@ def read_preset(
     The choice is made on the listing, so unwanted files are never opened; the
     driver sees at most 20 paths.  Without any file the result is empty.
     """
-    files = list_log_files(spark, [f"{root}/*", f"{root}/*/*"])
+    files = list_log_files(spark, root)
     paths = [row["path"] for row in select_log_files(files, preset, as_of, caps).collect()]
     if not paths:
         return read_log_lines(spark, root).where(F.lit(False))
