@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 import decoylog as dl
 import oracle
 from decoylog import constants as C
-from decoylog.functions.times import iso_micros
+from decoylog.functions.times import iso_micros, iso_millis
 from decoylog.plans.report import brute_force_cards, top_attackers
 from decoylog.schema import JSON_FIELDS
 from decoylog.session import run_dir, use_utc
@@ -76,7 +76,8 @@ def _top_source_ips(events: DataFrame, geo: DataFrame) -> DataFrame:
 
 
 def _sessions(counts: DataFrame) -> DataFrame:
-    return counts.select(_time("interval_start", "interval_start"), "connects", "disconnects")
+    start = iso_millis(F.col("interval_start")).alias("interval_start")
+    return counts.select(start, "connects", "disconnects")
 
 
 def _brute_force(found: DataFrame) -> DataFrame:
@@ -139,6 +140,19 @@ def _inventory(parsed: DataFrame) -> DataFrame:
     )
 
 
+def _staged(lines: DataFrame) -> DataFrame:
+    """The stored table: write, read back, count per day partition."""
+    days = F.col("event_date").cast("string").alias("event_date")
+    return dl.stage_events(lines).groupBy(days, "line_status").agg(
+        F.count(F.lit(1)).alias("events"), F.countDistinct("eventid").alias("codes")
+    )
+
+
+def _staged_range(lines: DataFrame) -> DataFrame:
+    """A time range on the stored table, where day partitions are pruned."""
+    return dl.login_summary(dl.time_range(dl.stage_events(lines), "24h", AS_OF))
+
+
 def _summary(events: DataFrame, geo: DataFrame) -> DataFrame:
     row = dl.analytics_summary(events, geo)
     ips = F.transform(
@@ -310,6 +324,9 @@ def queries() -> dict[str, Query]:
         "attack_patterns": with_geo(lambda e, geo: _patterns(dl.attack_patterns(e, geo))),
         "recent_logs": on_parsed(_recent),
         "log_table": with_geo(dl.log_table),
+        "recent_log_table": with_geo(
+            lambda events, geo: dl.log_table(dl.recent_logs(events), geo, each_row=True)
+        ),
         "event_details": with_geo(_details),
         "time_range_1h": _range("1h"),
         "time_range_24h": _range("24h"),
@@ -321,6 +338,8 @@ def queries() -> dict[str, Query]:
         "parse_events": on_lines(
             lambda lines: dl.parse_events(lines).select("file_name", _time(), *JSON_FIELDS)
         ),
+        "stored_events": on_lines(_staged),
+        "stored_time_range": on_lines(_staged_range),
         "rejects": on_parsed(
             lambda parsed: dl.rejects(parsed).select("file_name", "line_status", "value")
         ),

@@ -103,7 +103,7 @@ def brute_force(
             F.timestamp_millis(F.col("start_ms") + window_ms).alias("window_end"),
         )
     )
-    return with_location(found, geo, unique=True)
+    return with_location(found, geo, each_row=True)
 
 
 # --- rule-based listings ---------------------------------------------------

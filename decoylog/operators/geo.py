@@ -83,7 +83,7 @@ def _pieces(geo: DataFrame) -> DataFrame:
 
 
 def locate(ips: DataFrame, geo: DataFrame, ip_col: str = "src_ip") -> DataFrame:
-    """Add ``location`` to a frame with one row per address."""
+    """Add ``location`` to each row; see :func:`with_location` for large frames."""
     keyed = ips.select(F.struct("*").alias("row"), ip_key(F.col(ip_col)).alias("key"))
     key = F.col("key")
     salt = (
@@ -91,15 +91,12 @@ def locate(ips: DataFrame, geo: DataFrame, ip_col: str = "src_ip") -> DataFrame:
         .when(_is_v4(key), 0)
         .otherwise(F.pmod(F.xxhash64(key), F.lit(_V6_SALTS)))
     )
-    pieces = _pieces(geo)
     probes = keyed.select(
         F.coalesce(F.substring(key, F.lit(1), _prefix_length(key)), F.lit("")).alias("block"),
         salt.cast("int").alias("salt"),
         "key",
-        F.lit(None).cast(pieces.schema["piece"].dataType).alias("piece"),
         "row",
     )
-    starts = pieces.withColumn("row", F.lit(None).cast(probes.schema["row"].dataType))
     # A range start sorts before an address equal to it.
     line = (
         Window.partitionBy("block", "salt")
@@ -108,7 +105,7 @@ def locate(ips: DataFrame, geo: DataFrame, ip_col: str = "src_ip") -> DataFrame:
     )
     candidate = F.last("piece", ignorenulls=True).over(line)
     return (
-        probes.unionByName(starts)
+        probes.unionByName(_pieces(geo), allowMissingColumns=True)
         .withColumn("candidate", candidate)
         .where(F.col("row").isNotNull())
         .select(
@@ -121,19 +118,20 @@ def locate(ips: DataFrame, geo: DataFrame, ip_col: str = "src_ip") -> DataFrame:
 
 
 def with_location(
-    df: DataFrame, geo: DataFrame | None, ip_col: str = "src_ip", unique: bool = False
+    df: DataFrame, geo: DataFrame | None, ip_col: str = "src_ip", each_row: bool = False
 ) -> DataFrame:
     """Left join of any frame with the geo ranges; NULL where nothing matches.
 
-    ``unique=True`` says that ``df`` has one row per address; then it is looked
-    up directly.  Otherwise each distinct address is looked up once and joined
-    back.  The way back is left to the adaptive planner: it broadcasts the
-    address table when its measured size allows and otherwise splits the
-    partitions of addresses that dominate.
+    ``each_row=True`` looks every row up by itself; for frames that are cut by a
+    limit or have one row per address.  Otherwise an address may own any share
+    of the rows, so each distinct address is looked up once and joined back.
+    The way back is left to the adaptive planner: it broadcasts the address
+    table when its measured size allows and otherwise splits the partitions of
+    addresses that dominate.
     """
     if geo is None:
         return df.withColumn("location", F.lit(None).cast(LOCATION))
-    if unique:
+    if each_row:
         return locate(df, geo, ip_col)
     ips = df.where(present(F.col(ip_col))).select(ip_col).distinct()
     return df.join(locate(ips, geo, ip_col), ip_col, "left").select(*df.columns, "location")

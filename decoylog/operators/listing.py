@@ -24,12 +24,15 @@ def recent_logs(events: DataFrame, limit: int = C.RECENT_LIMIT) -> DataFrame:
     return events.orderBy(F.desc_nulls_last("ts"), *tie_break).limit(limit)
 
 
-def log_table(events: DataFrame, geo: DataFrame | None = None, tz: str = "UTC") -> DataFrame:
-    """Display rows: local time, location label, severity, masked password."""
-    shown = events.select(
-        "ts", "src_ip", "eventid", "username", "password", "message"
-    )
-    return with_location(shown, geo).select(
+def log_table(
+    events: DataFrame, geo: DataFrame | None = None, tz: str = "UTC", each_row: bool = False
+) -> DataFrame:
+    """Display rows: local time, location label, severity, masked password.
+
+    ``each_row`` as in :func:`with_location`; set it for a limited listing.
+    """
+    shown = events.select("ts", "src_ip", "eventid", "username", "password", "message")
+    return with_location(shown, geo, each_row=each_row).select(
         viewer_time(F.col("ts"), tz).alias("time"),
         "src_ip",
         location_label(F.col("location")).alias("location"),

@@ -66,8 +66,10 @@ def top_source_ips(
     events: DataFrame, geo: DataFrame | None = None, limit: int = C.TOP_LIMIT
 ) -> DataFrame:
     """The busiest source addresses; only those kept are looked up."""
-    top = ip_activity(events).orderBy(F.desc("count"), "src_ip").limit(limit)
-    return with_location(top, geo, unique=True).orderBy(F.desc("count"), "src_ip")
+    order = (F.desc("count"), F.asc("src_ip"))
+    top = ip_activity(events).orderBy(*order).limit(limit)
+    # The limit repeats only to order the few rows without a range shuffle.
+    return with_location(top, geo, each_row=True).orderBy(*order).limit(limit)
 
 
 def geographic_distribution(events: DataFrame, geo: DataFrame) -> DataFrame:
@@ -82,7 +84,7 @@ def geographic_distribution(events: DataFrame, geo: DataFrame) -> DataFrame:
         .agg(F.count(F.lit(1)).alias("n"))
     )
     return (
-        with_location(per_ip, geo, unique=True)
+        with_location(per_ip, geo, each_row=True)
         .select("n", F.col("location.country").alias("country"))
         .where(present(F.col("country")))
         .groupBy("country")

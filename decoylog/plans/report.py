@@ -141,7 +141,7 @@ def dashboard_report(events: DataFrame, geo: DataFrame, tz: str = "UTC") -> dict
         "credentials": credential_cards(events),
         "commands": command_cards(events),
         "command_summary": command_summary(events),
-        "recent_logs": log_table(recent_logs(events), geo, tz),
+        "recent_logs": log_table(recent_logs(events), geo, tz, each_row=True),
     }
 
 
@@ -154,6 +154,7 @@ def top_attackers(
 
 
 def brute_force_cards(events: DataFrame, limit: int = C.ATTACKER_CARD_LIMIT) -> DataFrame:
+    """The addresses with the most failures in their reported window."""
     return (
         brute_force(events)
         .select("src_ip", "failed_attempts")

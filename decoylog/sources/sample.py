@@ -11,11 +11,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from decoylog import constants as C
 from decoylog.functions.times import ISO_MICROS
-from decoylog.schema import EVENT_COLUMNS, GEO_RANGES, JSON_FIELDS
+from decoylog.schema import EVENT_COLUMNS, JSON_FIELDS
 from decoylog.session import use_utc
 from decoylog.sources.lines import with_file_info
 
@@ -127,9 +126,10 @@ def sample_events(events: DataFrame) -> DataFrame:
 
 def sample_geo_ranges(spark: SparkSession) -> DataFrame:
     """Three documentation-only networks with invented countries."""
-    rows = [
-        (3221225984, 3221226239, "AA", "A1", "Alpha", "0", "Etc/UTC", [1.5, 2.5], 0, 10),
-        (3325256704, 3325256831, "BB", "B1", "Beta", "1", "Etc/UTC", [3.5, 4.5], 0, 20),
-        (3405803776, 3405804031, "CC", None, None, "0", "Etc/UTC", [5.5, 6.5], 0, 50),
-    ]
-    return spark.createDataFrame(rows, T.StructType(GEO_RANGES.fields))
+    return spark.sql(
+        """SELECT * FROM VALUES
+        (3221225984L, 3221226239L, 'AA', 'A1', 'Alpha', '0', 'Etc/UTC', array(1.5D, 2.5D), 0, 10),
+        (3325256704L, 3325256831L, 'BB', 'B1', 'Beta', '1', 'Etc/UTC', array(3.5D, 4.5D), 0, 20),
+        (3405803776L, 3405804031L, 'CC', NULL, NULL, '0', 'Etc/UTC', array(5.5D, 6.5D), 0, 50)
+        AS geo(lo, hi, country, region, city, eu, timezone, ll, metro, area)"""
+    )

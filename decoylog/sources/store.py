@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from decoylog import constants as C
+from decoylog.session import run_dir
 from decoylog.sources.parse import admitted, parse_lines, rejects
 
 PARTITIONS = ("line_status", "event_date")
@@ -48,5 +49,17 @@ def read_events(spark: SparkSession, path: str) -> DataFrame:
     return admitted(spark.read.parquet(path)).drop("value")
 
 
+def stage_events(lines: DataFrame) -> DataFrame:
+    """Events of ``lines`` by way of a new table in the shared work folder.
+
+    For reports straight from raw files: the lines are parsed once instead of
+    once per part, and a lost executor costs a re-read and not a re-parse.
+    """
+    spark = lines.sparkSession
+    path = run_dir(spark, "events")
+    write_events(lines, path)
+    return read_events(spark, path)
+
+
 def read_rejects(spark: SparkSession, path: str) -> DataFrame:
     return rejects(spark.read.parquet(path))

@@ -97,4 +97,4 @@ def first_alerts(
             F.timestamp_millis(F.col("start_ms") + millis(window)).alias("window_end"),
         )
     )
-    return with_location(found, geo, unique=True)
+    return with_location(found, geo, each_row=True)

@@ -162,6 +162,13 @@ def _brute_rows(name="brute", window_ms=3600000):
   FROM {name} {_GEO_JOIN}"""
 
 
+_TABLE = f"""SELECT strftime(ts, '%Y-%m-%d %H:%M:%S') AS time, src_ip,
+  {_LABEL} AS location, eventid, {_SEVERITY} AS severity,
+  coalesce(nullif(username, ''), 'NULL') AS username,
+  CASE WHEN password <> '' THEN '***' ELSE 'NULL' END AS password, message
+  FROM log_events {_GEO_JOIN}"""
+
+
 def _within(hours):
     return f"""SELECT message, session, {_TS} AS time FROM log_events
   WHERE ts > TIMESTAMP '2024-01-02 06:00:00' - INTERVAL {hours} HOUR
@@ -190,7 +197,8 @@ _LOGINS = """SELECT count(*) AS total_attempts,
   CAST(count(*) - coalesce(sum(success), 0) AS BIGINT) AS failed_logins,
   CASE WHEN count(*) > 0 THEN round(sum(success) / count(*) * 100, 2) ELSE 0.0 END
     AS success_rate FROM logins"""
-_SESSIONS = f"""SELECT {_iso_ms("ts_ms // 3600000 * 3600000")} AS interval_start,
+_SESSIONS = """SELECT strftime(make_timestamp(ts_ms // 3600000 * 3600000 * 1000),
+  '%Y-%m-%dT%H:%M:%S.%gZ') AS interval_start,
   count(*) FILTER (eventid = 'cowrie.session.connect') AS connects,
   count(*) FILTER (eventid = 'cowrie.session.closed') AS disconnects
   FROM log_events WHERE ts IS NOT NULL
@@ -235,7 +243,6 @@ _SUMMARY = f"""SELECT o.*, l.*,
            ["command", "count", "full_command"], "count DESC, full_command", "top_commands")}
   FROM ({_OVERVIEW}) o, ({_LOGINS}) l"""
 
-_WATERMARK = "(SELECT max(ts_ms) - 7200000 FROM log_events)"
 _LOGIN_WATERMARK = "(SELECT max(ts_ms) - 7200000 FROM logins WHERE src_ip IS NOT NULL)"
 _SESSION_WATERMARK = """(SELECT max(ts_ms) - 7200000 FROM log_events
   WHERE eventid IN ('cowrie.session.connect', 'cowrie.session.closed'))"""
@@ -284,11 +291,8 @@ ON_LOG = {
     "recent_logs": f"""SELECT message, session, eventid, src_ip, {_TS} AS time
       FROM (SELECT * FROM log_rows WHERE line_status NOT IN ('blank', 'malformed')) t
       ORDER BY ts DESC NULLS LAST, session, message LIMIT 100""",
-    "log_table": f"""SELECT strftime(ts, '%Y-%m-%d %H:%M:%S') AS time, src_ip,
-      {_LABEL} AS location, eventid, {_SEVERITY} AS severity,
-      coalesce(nullif(username, ''), 'NULL') AS username,
-      CASE WHEN password <> '' THEN '***' ELSE 'NULL' END AS password, message
-      FROM log_events {_GEO_JOIN}""",
+    "log_table": _TABLE,
+    "recent_log_table": f"""{_TABLE} ORDER BY ts DESC NULLS LAST, session, message LIMIT 100""",
     "event_details": f"""SELECT message, {_NAME} AS event_name, {_SEVERITY} AS severity,
       coalesce(nullif(username, ''), 'unknown') || ':'
         || coalesce(nullif(password, ''), 'unknown') AS credential,
@@ -306,6 +310,10 @@ ON_LOG = {
                  for f in _TEXT_FIELDS if f != "timestamp")} FROM log_rows""",
     "parse_events": f"""SELECT file_name, timestamp, {_TS} AS time,
       {", ".join(f for f in _TEXT_FIELDS if f != "timestamp")} FROM log_events""",
+    "stored_events": """SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS event_date, line_status,
+      count(*) AS events, count(DISTINCT eventid) AS codes FROM log_events GROUP BY 1, 2""",
+    "stored_time_range": f"""{_LOGINS}
+      WHERE ts > TIMESTAMP '2024-01-01 06:00:00' AND ts <= TIMESTAMP '2024-01-02 06:00:00'""",
     "rejects": """SELECT file_name, line_status, value FROM log_lines
       WHERE line_status IN ('malformed', 'no_timestamp')""",
     "ingest_stats": """SELECT count(*) FILTER (line_status <> 'blank') AS total_lines,

@@ -20,14 +20,14 @@ def countries(df):
 
 def test_ends_of_ranges_are_included(spark):
     texts = ["192.0.1.255", "192.0.2.0", "192.0.2.255", "192.0.3.0", "198.51.100.127"]
-    found = countries(with_location(ips_of(spark, texts), sample_geo_ranges(spark), unique=True))
+    found = countries(with_location(ips_of(spark, texts), sample_geo_ranges(spark), each_row=True))
     assert found == dict(zip(texts, [None, "AA", "AA", None, "BB"], strict=True))
 
 
 def test_what_is_no_address_has_no_location(spark):
     texts = ["999.1.1.1", "1.2.3", "::1", "", None, "198.51.100.128"]
-    for unique in (True, False):
-        found = with_location(ips_of(spark, texts), sample_geo_ranges(spark), unique=unique)
+    for each_row in (True, False):
+        found = with_location(ips_of(spark, texts), sample_geo_ranges(spark), each_row=each_row)
         assert found.count() == len(texts)
         assert found.where("location is not null").count() == 0
 
@@ -73,7 +73,7 @@ def test_random_ipv4_against_a_plain_scan(spark):
         "lo bigint, hi bigint, country string",
     )
     texts = {str(ipaddress.IPv4Address(n)): n for n in numbers}
-    found = countries(with_location(ips_of(spark, texts), geo, unique=True))
+    found = countries(with_location(ips_of(spark, texts), geo, each_row=True))
     for text, n in texts.items():
         wanted = [f"c{i}" for i, (lo, hi) in enumerate(ranges) if lo <= n <= hi]
         assert found[text] == (wanted[0] if wanted else None), text
