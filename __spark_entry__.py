@@ -283,8 +283,12 @@ def _stream_detections(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _stream_brute_force(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stream = dl.brute_force_alerts(sample_events(_stream(spark, sf_dir)))
-    alerts = _run_batched(spark, stream, "brute-force")
+    folder = run_dir(spark, "brute-force")
+    query = dl.start_brute_force_alerts(
+        sample_events(_stream(spark, sf_dir)), f"{folder}/out", f"{folder}/checkpoint"
+    )
+    query.awaitTermination()
+    alerts = spark.read.parquet(f"{folder}/out")
     return _brute_force(dl.first_alerts(alerts, sample_geo_ranges(spark)))
 
 

@@ -55,7 +55,7 @@ from decoylog.sources.lines import (
 )
 from decoylog.sources.parse import admitted, parse_events, parse_lines, rejects
 from decoylog.sources.store import read_events, read_rejects, stage_events, write_events
-from decoylog.streaming.alerts import brute_force_alerts, first_alerts, start_detection_alerts
+from decoylog.streaming.alerts import first_alerts, start_brute_force_alerts, start_detection_alerts
 from decoylog.streaming.ingest import start_ingest
 from decoylog.streaming.metrics import closed_sessions, running_ip_counts, running_type_counts
 

@@ -33,29 +33,68 @@ def slot_of(ts_ms: Column, window_ms: int) -> Column:
     return F.floor((ts_ms - F.pmod(ts_ms, F.lit(window_ms))) / window_ms)
 
 
-def window_marks(attempts: DataFrame, window_ms: int) -> DataFrame:
-    """Marks from which failures per window can be summed slot by slot.
+def failures_per_slot(events: DataFrame, window_ms: int) -> DataFrame:
+    """Failures per (address, slot, millisecond): ``src_ip, slot, at, failed``.
 
-    A window that starts in one slot ends in the same or the next one.  So a
-    failure counts in its own slot and, seen from the slot before, comes in at
-    its time and drops out again for windows that end before it.
+    A window that opens in one slot ends in the same or the next one, so the
+    failures of a slot are listed under the slot before as well.  An attempt
+    without a failure only matters where it opens a window.
     """
-    ts, failed = F.col("ts_ms"), F.col("failed")
-    slot = slot_of(ts, window_ms)
-
-    def mark(at_slot: Column, at: Column, change: Column, anchor: bool) -> Column:
-        return F.struct(
-            at_slot.alias("slot"),
-            at.alias("at"),
-            change.alias("change"),
-            F.lit(anchor).alias("anchor"),
-        )
+    at, failed = F.col("ts_ms"), F.col("failed")
+    slot = slot_of(at, window_ms)
+    slots = F.when(failed > 0, F.array(slot, slot - 1)).otherwise(F.array(slot))
+    return (
+        timed_attempts(events)
+        .groupBy("src_ip", "ts_ms")
+        .agg(F.count_if(F.col("eventid") == C.LOGIN_FAILED).alias("failed"))
+        .select("src_ip", F.explode(slots).alias("slot"), at.alias("at"), "failed")
+    )
+
+
+def window_marks(counted: DataFrame, window_ms: int) -> DataFrame:
+    """Marks whose sum backwards in time is the number of failures per window.
+
+    A failure comes in at its time.  One from the next slot drops out again for
+    windows that end before it; one from the slot itself is never too late.
+    """
+    at, failed = F.col("at"), F.col("failed")
+    opens = at < (F.col("slot") + 1) * window_ms
+
+    def mark(when: Column, change: Column, anchor: bool) -> Column:
+        return F.struct(when.alias("at"), change.alias("change"), F.lit(anchor).alias("anchor"))
+
+    ahead = F.array(mark(at, failed, False), mark(at - window_ms - 1, -failed, False))
+    marks = F.when(opens, F.array(mark(at, failed, True))).otherwise(ahead)
+    return counted.select("src_ip", "slot", F.inline(marks))
+
 
-    own = mark(slot, ts, failed, True)
-    ahead = mark(slot - 1, ts, failed, False)
-    out = mark(slot - 1, ts - window_ms - 1, -failed, False)
-    marks = F.when(failed > 0, F.array(own, ahead, out)).otherwise(F.array(own))
-    return attempts.select("src_ip", F.inline(marks))
+def windows_over(counted: DataFrame, threshold: int, window_ms: int) -> DataFrame:
+    """Windows with ``threshold`` failures or more: ``src_ip, slot, at, in_window``."""
+    backwards = (
+        Window.partitionBy("src_ip", "slot")
+        .orderBy(F.desc("at"))
+        .rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    )
+    return (
+        window_marks(counted, window_ms)
+        .withColumn("in_window", F.sum("change").over(backwards))
+        .where(F.col("anchor") & (F.col("in_window") >= threshold))
+        .select("src_ip", "slot", "at", "in_window")
+    )
+
+
+def first_windows(windows: DataFrame, window_ms: int) -> DataFrame:
+    """The earliest of each address's windows."""
+    return (
+        windows.groupBy("src_ip")
+        .agg(F.min_by("in_window", "at").alias("failed_attempts"), F.min("at").alias("start_ms"))
+        .select(
+            "src_ip",
+            "failed_attempts",
+            F.timestamp_millis("start_ms").alias("window_start"),
+            F.timestamp_millis(F.col("start_ms") + window_ms).alias("window_end"),
+        )
+    )
 
 
 def brute_force(
@@ -77,33 +116,8 @@ def brute_force(
     backwards in time in one pass instead of re-reading each window.
     """
     window_ms = millis(window)
-    attempts = (
-        timed_attempts(events)
-        .groupBy("src_ip", "ts_ms")
-        .agg(F.count_if(F.col("eventid") == C.LOGIN_FAILED).alias("failed"))
-    )
-    backwards = (
-        Window.partitionBy("src_ip", "slot")
-        .orderBy(F.desc("at"))
-        .rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    found = (
-        window_marks(attempts, window_ms)
-        .withColumn("in_window", F.sum("change").over(backwards))
-        .where(F.col("anchor") & (F.col("in_window") >= threshold))
-        .groupBy("src_ip")
-        .agg(
-            F.min_by("in_window", "at").alias("failed_attempts"),
-            F.min("at").alias("start_ms"),
-        )
-        .select(
-            "src_ip",
-            "failed_attempts",
-            F.timestamp_millis("start_ms").alias("window_start"),
-            F.timestamp_millis(F.col("start_ms") + window_ms).alias("window_end"),
-        )
-    )
-    return with_location(found, geo, each_row=True)
+    windows = windows_over(failures_per_slot(events, window_ms), threshold, window_ms)
+    return with_location(first_windows(windows, window_ms), geo, each_row=True)
 
 
 # --- rule-based listings ---------------------------------------------------

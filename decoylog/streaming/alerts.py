@@ -7,15 +7,19 @@ from datetime import timedelta
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupStateTimeout
 
 from decoylog import constants as C
 from decoylog.functions.times import interval_text, millis
-from decoylog.operators.detect import detections, slot_of, timed_attempts
+from decoylog.operators.detect import (
+    detections,
+    first_windows,
+    slot_of,
+    timed_attempts,
+    windows_over,
+)
 from decoylog.operators.geo import with_location
 from decoylog.streaming.metrics import DEFAULT_DELAY
 from decoylog.streaming.sinks import start_batched
-from decoylog.streaming.window_state import count_per_millisecond, judge_slots
 
 
 def start_detection_alerts(
@@ -35,48 +39,53 @@ def start_detection_alerts(
     )
 
 
-ALERT_SCHEMA = "src_ip string, slot bigint, failed_attempts bigint, start_ms bigint"
-_STATE_SCHEMA = "at array<bigint>, failed array<bigint>"
-_COUNTED_SCHEMA = "src_ip string, slot bigint, at bigint, failed bigint, ts timestamp"
+def closed_slots(events: DataFrame, window: timedelta, delay: timedelta) -> DataFrame:
+    """Failures per (address, slot, millisecond), given out when a slot is over.
 
+    The sliding event-time window of two slots holds all that the windows which
+    open in its first slot can see.  Its state is one count per millisecond with
+    attempts, spread over (address, slot, millisecond), so neither a burst nor a
+    dominant address makes a large state or a hot task.  It is dropped when the
+    watermark has passed.
+    """
+    window_ms = millis(window)
+    two_slots = F.window("ts", interval_text(2 * window), interval_text(window))
+    return (
+        timed_attempts(events)
+        .withWatermark("ts", interval_text(delay))
+        .groupBy(two_slots.alias("w"), "src_ip", "ts_ms")
+        .agg(F.count_if(F.col("eventid") == C.LOGIN_FAILED).alias("failed"))
+        .select(
+            "src_ip",
+            slot_of(F.unix_millis("w.start"), window_ms).alias("slot"),
+            F.col("ts_ms").alias("at"),
+            "failed",
+        )
+    )
 
-def brute_force_alerts(
+
+def start_brute_force_alerts(
     events: DataFrame,
+    path: str,
+    checkpoint: str,
     threshold: int = C.BRUTE_FORCE_THRESHOLD,
     window: timedelta = C.BRUTE_FORCE_WINDOW,
     delay: timedelta = DEFAULT_DELAY,
-) -> DataFrame:
-    """A stream of alerts: per address and slot the first window over threshold.
+    processing_time: str | None = None,
+) -> StreamingQuery:
+    """Windows over the threshold, written when the slot they open in is over.
 
-    State is kept per (address, slot of one window length) and holds one number
-    per millisecond with attempts, so it is bounded whatever the traffic.  A
-    slot is judged, and its state dropped, when the watermark has passed the end
-    of the last window that can start in it.  ``first_alerts`` reduces the
-    alerts to one per address, as in the batch operator.
+    An attempt that arrives more than ``delay`` behind the newest one may be
+    left out.  All counts of a slot come out in the same micro-batch, so the
+    batch operator's sums finish the job there.  :func:`first_alerts` reduces
+    the alerts to one per address, as in the batch operator.
     """
-    window_ms = millis(window)
-    at, slot = F.col("ts_ms"), slot_of(F.col("ts_ms"), window_ms)
-    failed = F.when(F.col("eventid") == C.LOGIN_FAILED, 1).otherwise(0).cast("bigint")
-    slots = F.when(failed > 0, F.array(slot, slot - 1)).otherwise(F.array(slot))
-    routed = timed_attempts(events).select(
-        "src_ip",
-        F.explode(slots).alias("slot"),
-        at.alias("at"),
-        failed.alias("failed"),
-        "ts",
-    )
-
-    return (
-        routed.mapInPandas(count_per_millisecond, _COUNTED_SCHEMA)
-        .withWatermark("ts", interval_text(delay))
-        .groupBy("src_ip", "slot")
-        .applyInPandasWithState(
-            judge_slots(window_ms, threshold),
-            ALERT_SCHEMA,
-            _STATE_SCHEMA,
-            "append",
-            GroupStateTimeout.EventTimeTimeout,
-        )
+    return start_batched(
+        closed_slots(events, window, delay),
+        path,
+        checkpoint,
+        processing_time=processing_time,
+        finish=lambda counted: windows_over(counted, threshold, millis(window)),
     )
 
 
@@ -84,17 +93,4 @@ def first_alerts(
     alerts: DataFrame, geo: DataFrame | None = None, window: timedelta = C.BRUTE_FORCE_WINDOW
 ) -> DataFrame:
     """One row per address: its earliest alert, in the batch operator's shape."""
-    found = (
-        alerts.groupBy("src_ip")
-        .agg(
-            F.min_by("failed_attempts", "start_ms").alias("failed_attempts"),
-            F.min("start_ms").alias("start_ms"),
-        )
-        .select(
-            "src_ip",
-            "failed_attempts",
-            F.timestamp_millis("start_ms").alias("window_start"),
-            F.timestamp_millis(F.col("start_ms") + millis(window)).alias("window_end"),
-        )
-    )
-    return with_location(found, geo, each_row=True)
+    return with_location(first_windows(alerts, millis(window)), geo, each_row=True)

@@ -26,12 +26,20 @@ def start_batched(
 ) -> StreamingQuery:
     """Write each micro-batch to ``path/batch_id=N``, replacing a replayed one.
 
-    ``finish`` may apply batch-only operators (such as the geo lookup).
+    ``finish`` may apply batch-only operators (such as the geo lookup); it may
+    read the batch more than once, so the batch is kept while it is written.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        rows = finish(batch) if finish else batch
-        rows.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+        target = f"{path}/batch_id={batch_id}"
+        if finish is None:
+            batch.write.mode("overwrite").parquet(target)
+            return
+        batch.persist()
+        try:
+            finish(batch).write.mode("overwrite").parquet(target)
+        finally:
+            batch.unpersist()
 
     writer = (
         stream.writeStream.outputMode(output_mode)

@@ -359,7 +359,7 @@ ON_LOG = {
     "stream_detections": f"""SELECT pattern, src_ip, detail, {_TS} AS time, g.country, g.city
       FROM detections {_GEO_JOIN}""",
     "stream_brute_force": _sliding(
-        3600000, 10, extra=f"AND (ts_ms // 3600000 + 2) * 3600000 < {_LOGIN_WATERMARK}"
+        3600000, 10, extra=f"AND (ts_ms // 3600000 + 2) * 3600000 <= {_LOGIN_WATERMARK}"
     )
     + _brute_rows(),
 }

@@ -5,9 +5,8 @@ from datetime import UTC, datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from decoylog import attack_patterns, brute_force, brute_force_alerts, first_alerts
-from decoylog.operators.detect import window_marks
-from decoylog.streaming.window_state import first_window, merge_counts
+from decoylog import attack_patterns, brute_force, first_alerts, start_brute_force_alerts
+from decoylog.operators.detect import failures_per_slot, window_marks
 
 HOUR = 3_600_000
 BASE = 1_704_067_200_000  # on an hour
@@ -120,8 +119,7 @@ def test_times_before_the_epoch(attempts):
 def test_work_per_group_is_bounded(attempts):
     """However many attempts share a millisecond, they are a few marks per slot."""
     rows = [("a", at % 5, True) for at in range(5000)]
-    counted = attempts(rows).groupBy("src_ip", "ts_ms").agg(F.count("*").alias("failed"))
-    per_group = window_marks(counted, HOUR).groupBy("src_ip", "slot").count()
+    per_group = window_marks(failures_per_slot(attempts(rows), HOUR), HOUR).groupBy("src_ip", "slot").count()
     assert max(row["count"] for row in per_group.collect()) <= 3 * 5
 
 
@@ -154,29 +152,8 @@ def test_long_table_has_all_patterns(events_of, geo_rows):
 # --- stream ------------------------------------------------------------------
 
 
-def test_state_helpers_agree_with_the_definition():
-    import numpy as np
-
-    rows = random_rows(9, ips=60)
-    per_ip = defaultdict(list)
-    for ip, at, bad in rows:
-        per_ip[ip].append((at, bad))
-    wanted = by_definition(rows)
-    for ip, tries in per_ip.items():
-        at, failed = merge_counts(
-            np.array([t for t, _ in tries], np.int64), np.array([b for _, b in tries], np.int64)
-        )
-        hit = first_window(at, failed, 10**15, HOUR, 10)
-        expected = wanted.get(ip)
-        assert (hit is None) == (expected is None)
-        if hit:
-            assert (hit[1], BASE + hit[0]) == expected
-
-
 def test_stream_over_several_batches_equals_batch(spark, attempts, tmp_path):
     """Attempts arrive in four files; a last late event closes every slot."""
-    from decoylog.streaming.sinks import read_batched, start_batched
-
     rows = sorted(random_rows(11, ips=40), key=lambda row: row[1])
     end = max(at for _, at, _ in rows) + 10 * HOUR
     quarter = len(rows) // 4 + 1
@@ -191,10 +168,11 @@ def test_stream_over_several_batches_equals_batch(spark, attempts, tmp_path):
         .option("latestFirst", "false")
         .parquet(f"{tmp_path}/in/*")
     )
-    alerts = brute_force_alerts(stream, delay=timedelta(hours=1))
-    query = start_batched(alerts, f"{tmp_path}/out", f"{tmp_path}/checkpoint")
+    query = start_brute_force_alerts(
+        stream, f"{tmp_path}/out", f"{tmp_path}/checkpoint", delay=timedelta(hours=1)
+    )
     query.awaitTermination()
-    written = read_batched(spark, f"{tmp_path}/out", alerts.schema)
+    written = spark.read.parquet(f"{tmp_path}/out")
     assert written.select("batch_id").distinct().count() > 1
     wanted = by_definition(rows)
     assert wanted
