@@ -140,6 +140,20 @@ def _inventory(parsed: DataFrame) -> DataFrame:
     )
 
 
+def _written_lines(spark: SparkSession, sf_dir: str) -> str:
+    """A folder of text files with the lines of the events table."""
+    folder = f"{run_dir(spark, 'lines')}/logs"
+    lines = sample_lines(read_table(spark, sf_dir, "events"))
+    lines.select("value").write.option("lineSep", "\n").text(folder)
+    return folder
+
+
+def _read_log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = dl.read_log_lines(spark, _written_lines(spark, sf_dir))
+    parsed = dl.parse_lines(lines)
+    return parsed.groupBy("line_status", "eventid").agg(F.count(F.lit(1)).alias("lines"))
+
+
 def _staged(lines: DataFrame) -> DataFrame:
     """The stored table: write, read back, count per day partition."""
     days = F.col("event_date").cast("string").alias("event_date")
@@ -225,9 +239,16 @@ def _ip_locations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    schema = read_table(spark, sf_dir, "events").schema
+    """The events table as a stream, in a session of its own.
+
+    A stream's state is cut into ``spark.sql.shuffle.partitions`` parts once and
+    for all, and adaptive execution does not merge them: one part per core.
+    """
+    session = use_utc(spark.newSession())
+    session.conf.set("spark.sql.shuffle.partitions", spark.sparkContext.defaultParallelism)
+    schema = read_table(session, sf_dir, "events").schema
     # A file stream wants a folder or a pattern; this pattern is the one file.
-    return use_utc(spark).readStream.schema(schema).parquet(f"{sf_dir}/{{events}}.parquet")
+    return session.readStream.schema(schema).parquet(f"{sf_dir}/{{events}}.parquet")
 
 
 def _run_batched(
@@ -241,7 +262,7 @@ def _run_batched(
 
 def _stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = run_dir(spark, "ingest")
-    lines = sample_lines(_stream(spark, sf_dir))
+    lines = dl.stream_log_lines(use_utc(spark), _written_lines(spark, sf_dir))
     dl.start_ingest(lines, f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
     return spark.read.parquet(f"{folder}/out").select(
         PARTITIONS[0],
@@ -274,10 +295,9 @@ def _stream_ip_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _stream_detections(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = run_dir(spark, "detections")
-    geo = sample_geo_ranges(spark)
-    query = dl.start_detection_alerts(
-        sample_events(_stream(spark, sf_dir)), geo, f"{folder}/out", f"{folder}/checkpoint"
-    )
+    events = sample_events(_stream(spark, sf_dir))
+    geo = sample_geo_ranges(events.sparkSession)
+    query = dl.start_detection_alerts(events, geo, f"{folder}/out", f"{folder}/checkpoint")
     query.awaitTermination()
     return _patterns(spark.read.parquet(f"{folder}/out"))
 
@@ -342,6 +362,7 @@ def queries() -> dict[str, Query]:
         "parse_events": on_lines(
             lambda lines: dl.parse_events(lines).select("file_name", _time(), *JSON_FIELDS)
         ),
+        "read_log_lines": _read_log_lines,
         "stored_events": on_lines(_staged),
         "stored_time_range": on_lines(_staged_range),
         "rejects": on_parsed(

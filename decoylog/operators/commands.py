@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from decoylog import constants as C
 from decoylog.functions.events import command_text, http_request, short_command
+from decoylog.operators.ranking import ranked
 
 
 def command_events(events: DataFrame) -> DataFrame:
@@ -60,10 +61,9 @@ def top_commands(events: DataFrame, limit: int = C.TOP_LIMIT) -> DataFrame:
 def command_cards(events: DataFrame, limit: int = C.CARD_LIMIT) -> DataFrame:
     """Ranked commands with their share of all commands in percent."""
     total = command_summary(events).select("total_commands").scalar()
-    # The window runs over the few rows the limit has left.
-    rank = F.row_number().over(Window.orderBy(F.desc("count"), "command"))
-    return _top(events, limit).select(
-        rank.alias("rank"),
+    cards = ranked(_top(events, limit), [-F.col("count"), F.col("command")])
+    return cards.select(
+        "rank",
         short_command(F.col("command")).alias("command"),
         "count",
         F.round(F.col("count") / F.greatest(total, F.lit(1)) * 100, 1).alias("frequency"),

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from decoylog import constants as C
 from decoylog.functions.events import credential, credential_part
 from decoylog.functions.text import empty_to_null, present
+from decoylog.operators.ranking import ranked
 
 
 def login_events(events: DataFrame) -> DataFrame:
@@ -66,10 +67,9 @@ def top_credentials(events: DataFrame, limit: int = C.TOP_LIMIT) -> DataFrame:
 def credential_cards(events: DataFrame, limit: int = C.CARD_LIMIT) -> DataFrame:
     """Ranked credentials split into user and password for display."""
     cred = F.col("credential")
-    # The window runs over the few rows the limit has left.
-    rank = F.row_number().over(Window.orderBy(F.desc("attempts"), "credential"))
-    return top_credentials(events, limit).select(
-        rank.alias("rank"),
+    cards = ranked(top_credentials(events, limit), [-F.col("attempts"), cred])
+    return cards.select(
+        "rank",
         credential_part(cred, 1).alias("username"),
         credential_part(cred, 2).alias("password"),
         "attempts",

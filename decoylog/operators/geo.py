@@ -84,19 +84,20 @@ def _pieces(geo: DataFrame) -> DataFrame:
 
 def locate(ips: DataFrame, geo: DataFrame, ip_col: str = "src_ip") -> DataFrame:
     """Add ``location`` to each row; see :func:`with_location` for large frames."""
-    keyed = ips.select(F.struct("*").alias("row"), ip_key(F.col(ip_col)).alias("key"))
-    key = F.col("key")
-    salt = (
-        F.when(key.isNull(), F.pmod(F.xxhash64(F.col("row")[ip_col]), F.lit(_UNLOCATABLE_SALTS)))
-        .when(_is_v4(key), 0)
-        .otherwise(F.pmod(F.xxhash64(key), F.lit(_V6_SALTS)))
-    )
-    probes = keyed.select(
-        F.coalesce(F.substring(key, F.lit(1), _prefix_length(key)), F.lit("")).alias("block"),
-        salt.cast("int").alias("salt"),
-        "key",
-        "row",
-    )
+
+    def position(key: Column) -> Column:
+        salt = (
+            F.when(key.isNull(), F.pmod(F.xxhash64(ip_col), F.lit(_UNLOCATABLE_SALTS)))
+            .when(_is_v4(key), 0)
+            .otherwise(F.pmod(F.xxhash64(key), F.lit(_V6_SALTS)))
+        )
+        block = F.coalesce(F.substring(key, F.lit(1), _prefix_length(key)), F.lit(""))
+        return F.struct(block.alias("block"), salt.cast("int").alias("salt"), key.alias("key"))
+
+    # A generator, so that a limit below stays next to its sort and is still
+    # planned as a top-k.
+    positions = F.transform(F.array(ip_key(F.col(ip_col))), position)
+    probes = ips.select(F.struct("*").alias("row"), F.inline(positions))
     # A range start sorts before an address equal to it.
     line = (
         Window.partitionBy("block", "salt")

@@ -30,6 +30,7 @@ from decoylog.operators.detect import (
 )
 from decoylog.operators.geo import with_location_label
 from decoylog.operators.listing import log_table, recent_logs
+from decoylog.operators.ranking import folded
 from decoylog.operators.traffic import (
     events_by_type,
     geographic_distribution,
@@ -66,15 +67,6 @@ def analytics_report(
     }
 
 
-def _folded(top: DataFrame, order: list[Column], name: str) -> DataFrame:
-    """A short list (it carries a limit) as one row with one array column."""
-    # Array order must not depend on which task finishes first: rank, then sort.
-    columns = top.columns
-    ranked = top.select(F.struct(*order).alias("_order"), F.struct(*columns).alias("_row"))
-    packed = F.sort_array(F.collect_list(F.struct("_order", "_row")))
-    return ranked.agg(F.transform(packed, lambda item: item["_row"]).alias(name))
-
-
 def _pattern_counts(events: DataFrame) -> DataFrame:
     found = attack_patterns(events, None).groupBy("pattern").agg(F.count(F.lit(1)).alias("n"))
 
@@ -105,23 +97,23 @@ def analytics_summary(
         login_summary(events),
         command_summary(events),
         _pattern_counts(events),
-        _folded(
+        folded(
             top_source_ips(events, geo, limit),
             [-F.col("count"), F.col("src_ip")],
             "top_source_ips",
         ),
-        _folded(
+        folded(
             top_credentials(events, limit),
             [-F.col("attempts"), F.col("credential")],
             "top_credentials",
         ),
-        _folded(
+        folded(
             top_usernames(events, limit), [-F.col("count"), F.col("username")], "top_usernames"
         ),
-        _folded(
+        folded(
             top_passwords(events, limit), [-F.col("count"), F.col("password")], "top_passwords"
         ),
-        _folded(
+        folded(
             top_commands(events, limit), [-F.col("count"), F.col("full_command")], "top_commands"
         ),
     ]

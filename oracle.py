@@ -310,6 +310,9 @@ ON_LOG = {
                  for f in _TEXT_FIELDS if f != "timestamp")} FROM log_rows""",
     "parse_events": f"""SELECT file_name, timestamp, {_TS} AS time,
       {", ".join(f for f in _TEXT_FIELDS if f != "timestamp")} FROM log_events""",
+    "read_log_lines": """SELECT line_status,
+      CASE WHEN line_status NOT IN ('blank', 'malformed') THEN eventid END AS eventid,
+      count(*) AS lines FROM log_lines GROUP BY 1, 2""",
     "stored_events": """SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS event_date, line_status,
       count(*) AS events, count(DISTINCT eventid) AS codes FROM log_events GROUP BY 1, 2""",
     "stored_time_range": f"""{_LOGINS}

@@ -246,6 +246,20 @@ def test_sample_lines_parse_to_sample_events(spark):
     assert direct.exceptAll(parsed).count() == 0
 
 
+def test_top_lists_are_never_sorted_as_a_whole(events_of, geo_rows, plans):
+    plan, _ = plans
+    events = events_of([{"src_ip": "a"}])
+    for df in (
+        dl.top_source_ips(events, geo_rows),
+        top_attackers(events, geo_rows),
+        dl.log_table(dl.recent_logs(events), geo_rows, each_row=True),
+        dl.credential_cards(events),
+        dl.command_cards(events),
+        dl.analytics_summary(events, geo_rows),
+    ):
+        assert "rangepartitioning" not in plan(df)
+
+
 def test_plan_shapes(events_of, plans):
     plan, _ = plans
     events = events_of([{"src_ip": "a"}])
