@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from datetime import timedelta
+from datetime import UTC, date, datetime, timedelta
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -41,6 +41,15 @@ def viewer_time(ts: Column, tz: str) -> Column:
     return F.date_format(F.from_utc_timestamp(ts, tz), "yyyy-MM-dd HH:mm:ss")
 
 
+def utc_moment(as_of: datetime | date | str) -> datetime:
+    """A point in time as a zone-less UTC value; zone-less input counts as UTC."""
+    if isinstance(as_of, str):
+        as_of = datetime.fromisoformat(as_of)
+    if not isinstance(as_of, datetime):
+        as_of = datetime(as_of.year, as_of.month, as_of.day)
+    return as_of.astimezone(UTC).replace(tzinfo=None) if as_of.tzinfo else as_of
+
+
 def millis(length: timedelta) -> int:
     return length // timedelta(milliseconds=1)
 

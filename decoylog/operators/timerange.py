@@ -7,6 +7,7 @@ from datetime import datetime, timedelta
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from decoylog.functions.times import utc_moment
 from decoylog.sources.lines import preset_hours
 
 
@@ -18,7 +19,7 @@ def time_range(events: DataFrame, preset: str, as_of: datetime | str) -> DataFra
     """
     if preset == "all":
         return events
-    end = datetime.fromisoformat(as_of) if isinstance(as_of, str) else as_of
+    end = utc_moment(as_of)
     start = end - timedelta(hours=preset_hours(preset))
     lower = F.lit(start.strftime("%Y-%m-%d %H:%M:%S.%f")).cast("timestamp")
     upper = F.lit(end.strftime("%Y-%m-%d %H:%M:%S.%f")).cast("timestamp")

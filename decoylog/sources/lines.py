@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from decoylog import constants as C
 from decoylog.functions.text import is_blank
+from decoylog.functions.times import utc_moment
+from decoylog.session import use_utc
 
 
 def log_date(file_name: Column) -> Column:
@@ -55,16 +57,16 @@ def read_log_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """All lines of all files, blank ones included, duplicates kept.
 
     A day that exists both as a live and as an archived file is read twice, as
-    the union of files has no de-duplication.
+    the union of files has no de-duplication.  Puts the session in UTC.
     """
-    return _describe(spark.read.option("lineSep", "\n").text(paths))
+    return _describe(use_utc(spark).read.option("lineSep", "\n").text(paths))
 
 
 def stream_log_lines(
     spark: SparkSession, path: str, max_files_per_trigger: int | None = None
 ) -> DataFrame:
     """The same lines as a stream over files as they appear below ``path``."""
-    reader = spark.readStream.option("lineSep", "\n")
+    reader = use_utc(spark).readStream.option("lineSep", "\n")
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
     return _describe(reader.text(path))
@@ -97,14 +99,10 @@ def preset_hours(preset: str) -> int:
     return C.PRESET_HOURS.get(preset, C.PRESET_HOURS[C.DEFAULT_PRESET])
 
 
-def _today(as_of: datetime | date) -> str:
-    return as_of.strftime("%Y-%m-%d")
-
-
 def select_log_files(
     files: DataFrame,
     preset: str,
-    as_of: datetime | date,
+    as_of: datetime | date | str,
     caps: dict[str, int] = C.ANALYTICS_FILE_CAPS,
 ) -> DataFrame:
     """The files a time preset stands for: live, then days backwards, up to a cap.
@@ -115,7 +113,7 @@ def select_log_files(
     """
     days = math.ceil(preset_hours(preset) / 24)
     cap = caps.get(preset, caps[C.DEFAULT_PRESET])
-    today = F.lit(_today(as_of)).cast("date")
+    today = F.lit(utc_moment(as_of).strftime("%Y-%m-%d")).cast("date")
     described = with_file_info(files)
     wanted = (F.col("layout") == "live") | (
         (F.col("layout") == "archive")
@@ -132,7 +130,7 @@ def select_log_files(
 def lines_of_preset(
     lines: DataFrame,
     preset: str,
-    as_of: datetime | date,
+    as_of: datetime | date | str,
     caps: dict[str, int] = C.ANALYTICS_FILE_CAPS,
 ) -> DataFrame:
     """Lines of the files :func:`select_log_files` picks from those present."""
@@ -145,7 +143,7 @@ def read_preset(
     spark: SparkSession,
     root: str,
     preset: str,
-    as_of: datetime | date,
+    as_of: datetime | date | str,
     caps: dict[str, int] = C.ANALYTICS_FILE_CAPS,
 ) -> DataFrame:
     """Read only the files of a preset below ``root``.

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from decoylog import constants as C
-from decoylog.session import run_dir
+from decoylog.session import run_dir, use_utc
 from decoylog.sources.parse import admitted, parse_lines, rejects
 
 PARTITIONS = ("line_status", "event_date")
@@ -46,7 +46,7 @@ def write_events(lines: DataFrame, path: str, mode: str = "append") -> None:
 
 
 def read_events(spark: SparkSession, path: str) -> DataFrame:
-    return admitted(spark.read.parquet(path)).drop("value")
+    return admitted(use_utc(spark).read.parquet(path)).drop("value")
 
 
 def stage_events(lines: DataFrame) -> DataFrame:
@@ -62,4 +62,4 @@ def stage_events(lines: DataFrame) -> DataFrame:
 
 
 def read_rejects(spark: SparkSession, path: str) -> DataFrame:
-    return rejects(spark.read.parquet(path))
+    return rejects(use_utc(spark).read.parquet(path))

@@ -1,5 +1,5 @@
 import json
-from datetime import timedelta
+from datetime import datetime, timedelta, timezone
 
 import pytest
 from pyspark.sql import functions as F
@@ -222,6 +222,8 @@ def test_time_ranges(events_of):
     as_of = "2024-01-02 06:00:00"
     counts = [dl.time_range(events, p, as_of).count() for p in ("1h", "24h", "7d", "all", "?")]
     assert counts == [2, 3, 4, 6, 3]
+    elsewhere = datetime(2024, 1, 2, 8, tzinfo=timezone(timedelta(hours=2)))
+    assert dl.time_range(events, "1h", elsewhere).count() == 2
 
 
 def test_laws(spark):
