@@ -16,6 +16,7 @@ import decoylog as dl
 import oracle
 from decoylog import constants as C
 from decoylog.functions.times import iso_micros, iso_millis
+from decoylog.operators.quality import QUALITY_FIELDS
 from decoylog.plans.report import brute_force_cards, top_attackers
 from decoylog.schema import JSON_FIELDS
 from decoylog.session import run_dir, use_utc
@@ -59,6 +60,10 @@ def on_parsed(operator: Callable[[DataFrame], DataFrame]) -> Query:
     return on_lines(lambda lines: operator(dl.parse_lines(lines)))
 
 
+def on_checked(operator: Callable[[DataFrame], DataFrame]) -> Query:
+    return on_lines(lambda lines: operator(dl.parse_lines(lines, QUALITY_FIELDS)))
+
+
 def _overview(events: DataFrame) -> DataFrame:
     return dl.overview(events).withColumns(
         {"start": iso_micros(F.col("start")), "end": iso_micros(F.col("end"))}
@@ -150,7 +155,7 @@ def _written_lines(spark: SparkSession, sf_dir: str) -> str:
 
 def _read_log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = dl.read_log_lines(spark, _written_lines(spark, sf_dir))
-    parsed = dl.parse_lines(lines)
+    parsed = dl.parse_lines(lines, QUALITY_FIELDS)
     return parsed.groupBy("line_status", "eventid").agg(F.count(F.lit(1)).alias("lines"))
 
 
@@ -365,12 +370,12 @@ def queries() -> dict[str, Query]:
         "read_log_lines": _read_log_lines,
         "stored_events": on_lines(_staged),
         "stored_time_range": on_lines(_staged_range),
-        "rejects": on_parsed(
+        "rejects": on_checked(
             lambda parsed: dl.rejects(parsed).select("file_name", "line_status", "value")
         ),
-        "ingest_stats": on_parsed(dl.ingest_stats),
-        "validate_logs": on_parsed(dl.validate_logs),
-        "log_file_inventory": on_parsed(_inventory),
+        "ingest_stats": on_checked(dl.ingest_stats),
+        "validate_logs": on_checked(dl.validate_logs),
+        "log_file_inventory": on_checked(_inventory),
         "top_attackers": with_geo(top_attackers),
         "analytics_summary": with_geo(_summary),
         "report_documents": on_events(lambda events: dl.to_documents(dl.events_by_type(events))),

@@ -1,6 +1,7 @@
 """What the files hold: line counts, validity, inventory.
 
-All three take the result of ``parse_lines``, which keeps every line.
+All three take the result of ``parse_lines``, which keeps every line; the fields
+in ``QUALITY_FIELDS`` are enough for them.
 """
 
 from __future__ import annotations
@@ -11,6 +12,9 @@ from pyspark.sql import functions as F
 from decoylog import constants as C
 
 
+QUALITY_FIELDS = ("timestamp", "eventid")
+
+
 def _lines_in(state: str) -> Column:
     return F.count_if(F.col("line_status") == state)
 

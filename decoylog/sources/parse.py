@@ -7,6 +7,8 @@ the whole line a reject, which a plain object parse would let pass.
 
 from __future__ import annotations
 
+from collections.abc import Collection
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -23,16 +25,22 @@ _STRICT = {
 }
 
 
-def parse_lines(lines: DataFrame) -> DataFrame:
+def parse_lines(lines: DataFrame, fields: Collection[str] = JSON_FIELDS) -> DataFrame:
     """Every line with its ``line_status`` and, where there are any, event columns.
 
     Keeps the columns of ``lines``.  States: ``ok``, ``bad_timestamp`` (admitted,
     but without ``ts``), ``no_timestamp``, ``malformed`` and ``blank``.  Rejects
     stay in the result; :func:`admitted` and :func:`rejects` split it.
+
+    ``fields`` narrows the event columns to those a report needs (``timestamp``
+    is always among them); the others are then skipped while parsing.
     """
+    kept = [name for name in JSON_FIELDS if name in fields or name == "timestamp"]
     value = F.col("value")
     wrapped = F.from_json(
-        F.concat(F.lit("["), value, F.lit("\n]")), T.ArrayType(JSON_OBJECT), _STRICT
+        F.concat(F.lit("["), value, F.lit("\n]")),
+        T.ArrayType(T.StructType([JSON_OBJECT[name] for name in kept])),
+        _STRICT,
     )
     closed = value.endswith("}") | value.rlike(r"\}[ \t\r\n]+$")
 
@@ -40,7 +48,8 @@ def parse_lines(lines: DataFrame) -> DataFrame:
         return F.when((F.size(objects) == 1) & closed, F.get(objects, F.lit(0)))
 
     def event(parsed: Column) -> Column:
-        return let(parse_time(parsed["timestamp"]), lambda ts: _event_row(value, parsed, ts))
+        ts = parse_time(parsed["timestamp"])
+        return let(ts, lambda moment: _event_row(value, parsed, moment, kept))
 
     # One generator makes all columns of a line.  A filter on any of them runs
     # after it, so the line is neither parsed nor classified a second time.
@@ -48,10 +57,9 @@ def parse_lines(lines: DataFrame) -> DataFrame:
     return lines.select("*", F.inline(rows))
 
 
-def _event_row(value: Column, parsed: Column, ts: Column) -> Column:
+def _event_row(value: Column, parsed: Column, ts: Column, kept: list[str]) -> Column:
     fields = [
-        parsed[name].try_cast("int") if name in INT_FIELDS else parsed[name]
-        for name in JSON_FIELDS
+        parsed[name].try_cast("int") if name in INT_FIELDS else parsed[name] for name in kept
     ]
     status = (
         F.when(ts.isNotNull(), C.OK)
@@ -61,7 +69,7 @@ def _event_row(value: Column, parsed: Column, ts: Column) -> Column:
         .otherwise(C.MALFORMED)
     )
     return F.struct(
-        *[field.alias(name) for field, name in zip(fields, JSON_FIELDS, strict=True)],
+        *[field.alias(name) for field, name in zip(fields, kept, strict=True)],
         ts.alias("ts"),
         F.unix_millis(ts).alias("ts_ms"),
         status.alias("line_status"),

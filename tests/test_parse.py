@@ -105,3 +105,10 @@ def test_a_filter_does_not_parse_twice(lines_of, plans):
     plan, _ = plans
     events = parse_events(lines_of([GOOD])).where("eventid = 'a'").groupBy("src_ip").count()
     assert plan(events).count("from_json") == 1
+
+
+def test_fewer_fields_do_not_change_the_states(lines_of):
+    lines = lines_of([line for line, _ in STATES])
+    narrow = parse_lines(lines, ["eventid"])
+    assert "src_ip" not in narrow.columns
+    assert {r["value"]: r["line_status"] for r in narrow.collect()} == dict(STATES)
