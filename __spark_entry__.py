@@ -31,6 +31,26 @@ from decoylog.sources.store import PARTITIONS
 from decoylog.streaming.sinks import latest, read_batched, start_batched
 
 Query = Callable[[SparkSession, str], DataFrame]
+
+# The training-data operators are an optional part of the package.
+try:
+    import corpus_pipeline
+    from decoylog import llm
+except ImportError:
+    llm = corpus_pipeline = None
+
+
+def _llm_queries() -> dict[str, Query]:
+    return {**llm.queries(), "pipeline": corpus_pipeline.run} if llm else {}
+
+
+def _llm_oracle_sql() -> dict[str, str]:
+    if not llm:
+        return {}
+    sql = {"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}
+    return {**llm.oracle_sql(), **sql}
+
+
 AS_OF_TIME = datetime.fromisoformat(AS_OF)
 
 
@@ -317,8 +337,8 @@ def _stream_brute_force(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _brute_force(dl.first_alerts(alerts, sample_geo_ranges(spark)))
 
 
-def queries() -> dict[str, Query]:
-    """Name to query; each takes the session and the folder of the tables."""
+def log_queries() -> dict[str, Query]:
+    """The log operators' queries, by name."""
     return {
         "events_by_type": on_events(dl.events_by_type),
         "overview": on_events(_overview),
@@ -389,8 +409,13 @@ def queries() -> dict[str, Query]:
     }
 
 
+def queries() -> dict[str, Query]:
+    """Name to query; each takes the session and the folder of the tables."""
+    return {**log_queries(), **_llm_queries()}
+
+
 def oracle_sql() -> dict[str, str]:
-    return oracle.oracle_sql()
+    return {**oracle.oracle_sql(), **_llm_oracle_sql()}
 
 
 def entry(spark: SparkSession) -> DataFrame:

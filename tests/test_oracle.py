@@ -27,12 +27,12 @@ def comparable(rows, columns):
 
 
 def test_every_query_has_its_sql():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(entry.log_queries()) == set(entry.oracle.oracle_sql())
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(entry.log_queries()))
 def test_query(spark, con, name):
-    found = entry.queries()[name](spark, str(FOLDER))
+    found = entry.log_queries()[name](spark, str(FOLDER))
     result = con.execute(entry.oracle_sql()[name])
     columns = [column[0] for column in result.description]
     assert sorted(found.columns) == sorted(columns)
