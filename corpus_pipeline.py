@@ -1,6 +1,7 @@
 """The corpus pipeline: five operators, each over all that the one before kept.
 
 Every stage is written as Parquet and read back as the documents of the next.
+A stage works on whatever columns the documents have besides doc_id and text.
 """
 
 from __future__ import annotations
@@ -9,8 +10,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from decoylog.llm import quality_rules
+from decoylog.llm import bpe, decontaminate, line_dedup, quality_rules, simhash
 from decoylog.llm.common import read_table, shared_folder
+from decoylog.llm.queries import MAX_EDITS, REACH, SHINGLE, WINDOW, vocabulary
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -18,7 +20,33 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_rules.keep_good(docs)
 
 
-STAGES = [("quality rules", quality)]
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines that come earlier in the corpus, exactly or but for an edit, go."""
+    return line_dedup.without_repeats(docs, MAX_EDITS)
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies the document of least doc_id stays."""
+    return simhash.keep_first(docs, SHINGLE, REACH)
+
+
+def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a benchmark passage go."""
+    return decontaminate.keep_clean(docs, read_table(spark, sf_dir, "benchmark"), WINDOW)
+
+
+def codes(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """What a training job reads: the ids, their number, and digests to verify them."""
+    return bpe.encode_documents(docs, vocabulary())
+
+
+STAGES = [
+    ("quality rules", quality),
+    ("line dedup", lines),
+    ("SimHash near-dedup", near_copies),
+    ("benchmark decontamination", benchmark),
+    ("BPE encoding and decoding", codes),
+]
 
 #: Robust scatter, similarity links and byte-pair codes have no SQL form.
 ORACLE_SQL = None

@@ -305,9 +305,9 @@ def judge(docs: DataFrame) -> DataFrame:
 def keep_good(docs: DataFrame) -> DataFrame:
     """The documents, all columns, that the rules keep."""
     verdicts = judge(docs).where("kept").select(
-        F.col("doc_id").alias("k_doc_id"), F.col("text_key").alias("k_text_key")
+        F.col("doc_id").alias("__doc_id"), F.col("text_key").alias("__text_key")
     )
-    on = docs["doc_id"].eqNullSafe(verdicts["k_doc_id"]) & (
-        text_key(docs["text"]) == verdicts["k_text_key"]
+    on = docs["doc_id"].eqNullSafe(verdicts["__doc_id"]) & (
+        text_key(docs["text"]) == verdicts["__text_key"]
     )
     return docs.join(verdicts, on, "left_semi")

@@ -1,16 +1,75 @@
-"""The registered query of each training-data operator."""
+"""The registered query of each training-data operator, over whole tables."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from decoylog.llm import quality_rules
+from decoylog.llm import (
+    bpe,
+    decontaminate,
+    language_id,
+    line_dedup,
+    oracles,
+    quality_rules,
+    simhash,
+    token_counts,
+)
 from decoylog.llm.common import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
+#: Production parameters, shared with the pipeline.
+SHINGLE, REACH = 3, 2
+WINDOW = 10
+MAX_EDITS = 1
+VOCABULARY = "byte_bpe_50k.json"
+LIMIT = 512
+#: Parts of the documents by checksum: one is held out, one calibrates.
+FOLDS, HELD_OUT, CALIBRATION = 4, 2, 3
+
+
+def vocabulary() -> str:
+    return public_tokenizers.path(VOCABULARY)
+
+
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    part = F.crc32(F.col("doc_id").cast("string").cast("binary")) % FOLDS
+    found = language_id.identify(docs, part == HELD_OUT, part == CALIBRATION)
+    return found.select("doc_id", "held_out", "lang_pred", "score", "rejected")
+
+
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(read_table(spark, sf_dir, "documents"), SHINGLE, REACH)
+
+
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.contamination(
+        read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"), WINDOW
+    )
+    listed = F.sha2(F.array_join("item_ids", ",").cast("binary"), 256).alias("items_sha256")
+    return found.select("doc_id", "n_words", "n_hit", "n_items", listed, "contaminated")
+
+
+def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode_documents(
+        read_table(spark, sf_dir, "documents"), vocabulary(), keep_ids=False
+    )
+
+
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(read_table(spark, sf_dir, "documents"), vocabulary(), LIMIT)
+
+
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup.line_report(read_table(spark, sf_dir, "documents"), MAX_EDITS)
+    numbers = F.array_join(F.transform("removed", lambda n: n.cast("string")), ",")
+    return found.select("doc_id", "n_lines", "n_removed", numbers.alias("removed"))
+
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     verdicts = quality_rules.judge(read_table(spark, sf_dir, "documents"))
@@ -27,8 +86,17 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"op10_quality_rules": op10_quality_rules}
+    made = (
+        op1_language_id,
+        op3_simhash,
+        op4_decontamination,
+        op6_bpe,
+        op7_token_counts,
+        op8_line_dedup,
+        op10_quality_rules,
+    )
+    return {query.__name__: query for query in made}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return oracles.SQL
