@@ -36,6 +36,7 @@ from decoylog.llm.common import NOT_WHITE, cut, let, text_key
 MIN_CHARS = 20
 CROWD = 64
 KEY = ("doc_id", "text_key", "pos")
+LINE = ("h1", "h2", "own")
 
 
 def _place() -> Column:
@@ -52,14 +53,23 @@ def lines_of(docs: DataFrame) -> DataFrame:
 
 
 def _distinct(lines: DataFrame) -> DataFrame:
-    """Each different line with its first place; blank lines one by one."""
+    """Each different line with its first place, under a key of three numbers.
+
+    Two hashes tell lines apart; a third number makes every blank line one of its
+    own.  All later joins are on the same key, so the texts move only once.
+    """
     blank = ~F.col("line").rlike(NOT_WHITE)
-    return (
-        lines.withColumn("own", F.when(blank, _place()))
-        .groupBy("line", "own")
-        .agg(F.min(_place()).alias("at"))
-        .select("line", "at", F.col("own").isNotNull().alias("blank"))
+    place = F.xxhash64(*KEY).bitwiseOR(F.lit(1))
+    keyed = lines.select(
+        F.xxhash64("line").alias("h1"),
+        F.when(blank, F.xxhash64(F.lit(2), *KEY))
+        .otherwise(F.xxhash64(F.lit(1), "line"))
+        .alias("h2"),
+        F.when(blank, place).otherwise(F.lit(0)).cast("long").alias("own"),
+        "line",
+        _place().alias("at"),
     )
+    return keyed.groupBy(*LINE).agg(F.min("at").alias("at"), F.first("line").alias("line"))
 
 
 # --- segments ----------------------------------------------------------------
@@ -74,10 +84,13 @@ def _segment(length: Column, i: int, parts: int) -> tuple[Column, Column]:
     return start.cast("int"), (size + F.when(F.lit(i) >= short, 1).otherwise(0)).cast("int")
 
 
-def segment_keys(line: Column, max_edits: int) -> Column:
-    """Array of (key, probe): the line's own segments, and what it probes for."""
+def segment_keys(max_edits: int) -> Column:
+    """Array of (key, probe) of ``line``, which is ``n`` characters long.
+
+    The line's own segments, and what it probes for; null where no line can match.
+    """
     parts = max_edits + 1
-    length = F.char_length(line)
+    line, length = F.col("line"), F.col("n")
     keys = []
     for shorter in range(max_edits + 1):
         aimed = length - shorter
@@ -91,9 +104,9 @@ def segment_keys(line: Column, max_edits: int) -> Column:
                 at = start + offset
                 key = F.xxhash64(aimed, F.lit(i), F.substr(line, at + 1, size))
                 valid = (at >= 0) & (at + size <= length)
-                probe = bool(shorter or offset)
-                keys.append(F.when(valid, F.struct(key.alias("key"), F.lit(probe).alias("probe"))))
-    return F.filter(F.array(*keys), lambda k: k.isNotNull())
+                probe = F.lit(bool(shorter or offset)).alias("probe")
+                keys.append(F.struct(F.when(valid, key).alias("key"), probe))
+    return F.array(*keys)
 
 
 # --- verification --------------------------------------------------------------
@@ -278,47 +291,54 @@ def _crowded(texts: DataFrame) -> DataFrame:
 
 
 def near_repeats(distinct: DataFrame, max_edits: int) -> DataFrame:
-    """Places (``at``) of the different lines that an earlier line comes close to."""
+    """Keys (h1, h2, own) of the different lines that an earlier line comes close to."""
     if max_edits == 0:
-        return distinct.select("at").limit(0)
+        return distinct.select(*LINE).limit(0)
     if max_edits != 1:
         raise ValueError("crowded segments are decided exactly for one edit only")
-    texts = distinct.where(~F.col("blank") & (F.char_length("line") >= MIN_CHARS))
-    keys = texts.select("at", F.explode(segment_keys(F.col("line"), max_edits)).alias("k")).select(
-        "k.key", "k.probe", "at"
+    # Blank lines have a number of their own.
+    texts = distinct.where((F.col("own") == 0) & (F.char_length("line") >= MIN_CHARS))
+    keys = (
+        texts.withColumn("n", F.char_length("line"))
+        .select(*LINE, F.explode(segment_keys(max_edits)).alias("k"))
+        .select("k.key", "k.probe", *LINE)
+        .where("key IS NOT NULL")
     )
     crowds = keys.groupBy("key").agg(
-        F.count(F.lit(1)).alias("n"), F.count_if(~F.col("probe")).alias("indexed")
+        F.count(F.lit(1)).alias("rows"), F.count_if(~F.col("probe")).alias("indexed")
     )
     # A key with a single row, or with probes only, joins nothing.
-    shared = cut(keys.join(crowds.where("n > 1 AND indexed > 0"), "key"))
-    wanted = shared.select("at", (F.col("n") > CROWD).alias("crowded"))
-    wanted = wanted.groupBy("at").agg(F.bool_or("crowded").alias("crowded"))
-    known = cut(texts.join(wanted, "at"))
+    shared = cut(keys.join(crowds.where("rows > 1 AND indexed > 0"), "key"))
+    wanted = shared.groupBy(*LINE).agg(F.bool_or(F.col("rows") > CROWD).alias("crowded"))
+    known = cut(texts.join(wanted, list(LINE)))
 
-    small = shared.where(F.col("n") <= CROWD)
-    index = small.where(~F.col("probe")).select("key", F.col("at").alias("one"))
+    two = lambda name: F.struct(*LINE).alias(name)
+    small = shared.where(F.col("rows") <= CROWD)
+    index = small.where(~F.col("probe")).select("key", two("a"))
     pairs = (
-        small.join(index, "key")
-        .where(F.col("at") != F.col("one"))
-        .select(F.least("at", "one").alias("a"), F.greatest("at", "one").alias("b"))
+        small.select("key", two("b"))
+        .join(index, "key")
+        .where(F.col("a") != F.col("b"))
+        .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
         .distinct()
     )
-    text_a = known.select(F.col("at").alias("a"), F.col("line").alias("line_a"))
-    text_b = known.select(F.col("at").alias("b"), F.col("line").alias("line_b"))
+    side = lambda name: known.select(
+        two(name), F.col("line").alias(f"line_{name}"), F.col("at").alias(f"at_{name}")
+    )
     close = (
-        pairs.join(text_a, "a")
-        .join(text_b, "b")
+        pairs.join(side("a"), "a")
+        .join(side("b"), "b")
         .where(within(F.col("line_a"), F.col("line_b"), max_edits))
-        .select(F.col("b").alias("at"))
+        .select(F.greatest("at_a", "at_b").alias("at"))
     )
-    return cut(close.union(_crowded(known.where("crowded").select("at", "line"))).distinct())
+    late = close.union(_crowded(known.where("crowded").select("at", "line"))).distinct()
+    return cut(known.join(late, "at", "left_semi").select(*LINE))
 
 
 def _kept(docs: DataFrame, max_edits: int) -> DataFrame:
     """Lines that stay, at the place where they stay."""
     distinct = _distinct(lines_of(docs))
-    return distinct.join(near_repeats(distinct, max_edits), "at", "left_anti")
+    return distinct.join(near_repeats(distinct, max_edits), list(LINE), "left_anti")
 
 
 def line_report(docs: DataFrame, max_edits: int = 1) -> DataFrame:
@@ -333,10 +353,9 @@ def line_report(docs: DataFrame, max_edits: int = 1) -> DataFrame:
         F.when(F.col("text").isNull(), 0).otherwise(lines).alias("n_lines"),
     )
     on = rows["doc_id"].eqNullSafe(stay["__doc_id"]) & (rows["text_key"] == stay["__text_key"])
-    everything = F.when(
-        F.col("n_lines") > 0, F.sequence(F.lit(0), F.col("n_lines") - 1)
-    ).otherwise(F.array().cast("array<int>"))
     none = F.array().cast("array<int>")
+    numbers = F.sequence(F.lit(0), F.col("n_lines") - 1)
+    everything = F.when(F.col("n_lines") > 0, numbers).otherwise(none)
     return rows.join(stay, on, "left").select(
         "doc_id",
         F.col("n_lines").cast("long").alias("n_lines"),

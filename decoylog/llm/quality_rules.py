@@ -227,21 +227,20 @@ def _start() -> list[Column]:
 
 
 def _blended(groups: DataFrame, whole: DataFrame) -> DataFrame:
-    """Group estimates drawn towards the estimate of all documents; floors added."""
+    """Group estimates drawn towards the one of all documents (a single row); floors added."""
     names = [f"m{i}" for i in range(len(STATS))] + [f"c{i}_{j}" for i, j in _pairs()]
-    both = groups.crossJoin(F.broadcast(whole.select(*[F.col(n).alias(f"all_{n}") for n in names])))
+    everywhere = whole.first().asDict()
     weight = F.col("rows") / (F.col("rows") + F.lit(float(PRIOR_ROWS)))
     values = {}
     for name in names:
-        mixed = weight * F.col(name) + (1 - weight) * F.col(f"all_{name}")
+        common = F.lit(everywhere[name]).cast("double")
+        mixed = weight * F.col(name) + (1 - weight) * common
         if name.startswith("c"):
             i, j = map(int, name[1:].split("_"))
             if i == j:
                 mixed = mixed + F.lit(FLOORS[i] ** 2)
         values[name] = mixed
-    return _factored(
-        both.select(*GROUP, *[values[n].alias(n) for n in names])
-    )
+    return _factored(groups.select(*GROUP, *[values[n].alias(n) for n in names]))
 
 
 def _joined(rows: DataFrame, params: DataFrame) -> DataFrame:

@@ -12,8 +12,10 @@ from decoylog.llm import (
     bpe,
     decontaminate,
     language_id,
+    license_scan,
     line_dedup,
     oracles,
+    quality_model,
     quality_rules,
     simhash,
     token_counts,
@@ -43,6 +45,10 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", "lang_pred", "score", "rejected")
 
 
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_model.classify(read_table(spark, sf_dir, "documents"))
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read_table(spark, sf_dir, "documents"), SHINGLE, REACH)
 
@@ -71,6 +77,10 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_lines", "n_removed", numbers.alias("removed"))
 
 
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(read_table(spark, sf_dir, "documents"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     verdicts = quality_rules.judge(read_table(spark, sf_dir, "documents"))
     return verdicts.select(
@@ -88,11 +98,13 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     made = (
         op1_language_id,
+        op2_quality_classifier,
         op3_simhash,
         op4_decontamination,
         op6_bpe,
         op7_token_counts,
         op8_line_dedup,
+        op9_license_scan,
         op10_quality_rules,
     )
     return {query.__name__: query for query in made}
