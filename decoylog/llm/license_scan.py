@@ -21,50 +21,49 @@ from pyspark.sql import functions as F
 from decoylog.llm.license_texts import KNOWN
 
 # Spellings that licence texts use for one another.
-EQUIVALENT = (
-    ("acknowledgement", "acknowledgment"),
-    ("analogue", "analog"),
-    ("analyse", "analyze"),
-    ("artefact", "artifact"),
-    ("authorisation", "authorization"),
-    ("authorised", "authorized"),
-    ("calibre", "caliber"),
-    ("cancelled", "canceled"),
-    ("capitalisations", "capitalizations"),
-    ("catalogue", "catalog"),
-    ("categorise", "categorize"),
-    ("centre", "center"),
-    ("emphasised", "emphasized"),
-    ("favour", "favor"),
-    ("favourite", "favorite"),
-    ("fulfil", "fulfill"),
-    ("fulfilment", "fulfillment"),
-    ("initialise", "initialize"),
-    ("judgement", "judgment"),
-    ("labelling", "labeling"),
-    ("labour", "labor"),
-    ("licence", "license"),
-    ("licenced", "licensed"),
-    ("licences", "licenses"),
-    ("maximise", "maximize"),
-    ("modelled", "modeled"),
-    ("noncommercial", "non commercial"),
-    ("offence", "offense"),
-    ("optimise", "optimize"),
-    ("organisation", "organization"),
-    ("organise", "organize"),
-    ("owner", "holder"),
-    ("owners", "holders"),
-    ("practise", "practice"),
-    ("programme", "program"),
-    ("realise", "realize"),
-    ("recognise", "recognize"),
-    ("signalling", "signaling"),
-    ("sub license", "sublicense"),
-    ("sub licensable", "sublicensable"),
-    ("utilisation", "utilization"),
-    ("wilful", "willful"),
-)
+EQUIVALENT = {
+    "acknowledgement": "acknowledgment",
+    "acknowledgements": "acknowledgments",
+    "analogue": "analog",
+    "analyse": "analyze",
+    "artefact": "artifact",
+    "artefacts": "artifacts",
+    "authorisation": "authorization",
+    "authorised": "authorized",
+    "calibre": "caliber",
+    "cancelled": "canceled",
+    "capitalisations": "capitalizations",
+    "catalogue": "catalog",
+    "categorise": "categorize",
+    "centre": "center",
+    "emphasised": "emphasized",
+    "favour": "favor",
+    "favourite": "favorite",
+    "fulfil": "fulfill",
+    "fulfilment": "fulfillment",
+    "initialise": "initialize",
+    "judgement": "judgment",
+    "labelling": "labeling",
+    "labour": "labor",
+    "licence": "license",
+    "licenced": "licensed",
+    "licences": "licenses",
+    "maximise": "maximize",
+    "modelled": "modeled",
+    "offence": "offense",
+    "optimise": "optimize",
+    "organisation": "organization",
+    "organise": "organize",
+    "owner": "holder",
+    "owners": "holders",
+    "practise": "practice",
+    "programme": "program",
+    "realise": "realize",
+    "recognise": "recognize",
+    "signalling": "signaling",
+    "utilisation": "utilization",
+    "wilful": "willful",
+}
 #: A line that only names who holds the copyright, and when.  Running text that
 #: happens to break before the word "copyright" has no sign or year behind it.
 COPYRIGHT_LINE = (
@@ -75,23 +74,27 @@ COPYRIGHT_LINE = (
 
 
 def canonical(text: Column) -> Column:
-    """The form in which equal licences are equal; null for a text without words."""
+    """The form in which equal licences are equal; empty for a text without words."""
     form = F.lower(text)
     form = F.regexp_replace(form, r"\r\n?", "\n")
     form = F.regexp_replace(form, COPYRIGHT_LINE, " ")
-    form = F.regexp_replace(form, r"https?://(www\.)?", "")
-    form = F.regexp_replace(form, r"['‘’`]s\b", "s")
-    form = F.regexp_replace(form, r"&", " and ")
-    form = F.btrim(F.regexp_replace(form, r"[^\p{L}\p{N}]+", " "))
-    form = F.concat(F.lit(" "), form, F.lit(" "))
-    for variant, standard in EQUIVALENT:
-        form = F.replace(form, F.lit(f" {variant} "), F.lit(f" {standard} "))
-    form = F.btrim(form)
-    return F.when(form != "", form)
+    form = F.regexp_replace(form, r"https?://(www\.)?|['‘’`](?=s\b)", "")
+    form = F.replace(form, F.lit("&"), F.lit(" and "))
+    words = F.split(F.btrim(F.regexp_replace(form, r"[^\p{L}\p{N}]+", " ")), " ")
+    standard = F.create_map(*[F.lit(x) for pair in EQUIVALENT.items() for x in pair])
+    # The set test is a hash lookup; few words get as far as the map.
+    same = F.transform(
+        words,
+        lambda w: F.when(w.isin(*EQUIVALENT), F.element_at(standard, w)).otherwise(w),
+    )
+    return F.array_join(same, " ")
 
 
-def digest(text: Column) -> Column:
-    return F.sha2(canonical(text).cast("binary"), 256)
+def with_digest(rows: DataFrame, name: str) -> DataFrame:
+    """``text`` replaced by the digest of its canonical form; null for no words."""
+    forms = rows.withColumn("text", canonical(F.col("text")))
+    digest = F.when(F.col("text") != "", F.sha2(F.col("text").cast("binary"), 256))
+    return forms.withColumn(name, digest).drop("text")
 
 
 def known_digests(spark: SparkSession, texts: dict[str, str] | None = None) -> DataFrame:
@@ -99,7 +102,7 @@ def known_digests(spark: SparkSession, texts: dict[str, str] | None = None) -> D
     rows = list((texts or KNOWN).items())
     table = spark.createDataFrame(rows, "license_id string, text string")
     return (
-        table.select("license_id", digest(F.col("text")).alias("license_digest"))
+        with_digest(table, "license_digest")
         .where("license_digest IS NOT NULL")
         .groupBy("license_digest")
         .agg(F.min("license_id").alias("license_id"))
@@ -113,7 +116,7 @@ def scan(docs: DataFrame, known: DataFrame | None = None) -> DataFrame:
     means Spark finds best, each document matching one row at most.
     """
     known = known if known is not None else known_digests(docs.sparkSession)
-    rows = docs.select("doc_id", digest(F.col("text")).alias("digest"))
+    rows = with_digest(docs.select("doc_id", "text"), "digest")
     return rows.join(known, rows["digest"] == known["license_digest"], "left").select(
         "doc_id", "digest", "license_id"
     )

@@ -59,14 +59,14 @@ c AS (
   FROM d s JOIN d r ON right(s.line, s.n - s.n // 2) = right(r.line, s.n - s.n // 2)
     AND r.n = s.n + 1),
 near AS (
-  SELECT * FROM c WHERE len(list_filter(range(0, n + 1), k ->
+  SELECT * FROM c WHERE len(list_filter(range(0, n + 1), lambda k:
     left(a, k) = left(b, k) AND (
       (length(b) = n AND k < n AND right(a, n - k - 1) = right(b, n - k - 1))
       OR (length(b) = n + 1 AND right(a, n - k) = right(b, n - k))))) > 0),
-late AS (SELECT greatest(at_a, at_b) AS at FROM near),
+late AS (SELECT greatest(at_a, at_b) AS place FROM near),
 gone AS (
   SELECT doc_id, pos FROM f
-  WHERE nth > 1 OR (doc_id, pos) IN (SELECT at FROM late)),
+  WHERE nth > 1 OR (doc_id, pos) IN (SELECT place FROM late)),
 per AS (
   SELECT doc_id, count(*) AS n_removed,
          string_agg(CAST(pos AS VARCHAR), ',' ORDER BY pos) AS removed

@@ -9,7 +9,8 @@ and a query in every shard that the triangle inequality cannot rule out, so
 pairs across a boundary meet in the home of the smaller one.  Inside a shard the
 same descent is repeated for data and queries together, on whole arrays, until
 the leaves are small enough to compare directly.  The pairs found are exact; the
-sample only decides how even the shards are.
+sample only decides how even the shards are.  A shard hands on what its pairs
+connect, at most one link per fingerprint, since a dense group has many pairs.
 
 Defined results: a null or empty text, or one of white space only, has the
 fingerprint zero and is linked like any other; repeated rows and rows that share
@@ -21,7 +22,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from itertools import chain, repeat
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +36,7 @@ from decoylog.llm.components import components
 SEED = 42
 BITS = 64
 #: Fingerprints a shard is meant to hold, and the sample that shapes the tree.
-SHARD_SIZE = 16_384
+SHARD_SIZE = 8_192
 SAMPLE = 65_536
 #: Arrays below this size are compared directly.
 LEAF = 64
@@ -185,8 +186,31 @@ def pairs_within(data: np.ndarray, queries: np.ndarray, reach: int) -> Iterator[
         stack.append((d[~near], q[away + reach > radius]))
 
 
+def forest(values: np.ndarray, pairs: Iterator[tuple]) -> tuple[np.ndarray, np.ndarray]:
+    """What the pairs connect, as links of each value to the least of its tree.
+
+    A dense group has far more pairs than members; they are merged block by
+    block, so that at most one link per value is ever held or sent on.
+    """
+    nodes = np.unique(values)
+    root = np.arange(len(nodes))
+    for a, b in pairs:
+        i, j = np.searchsorted(nodes, a), np.searchsorted(nodes, b)
+        while True:
+            i, j = root[i], root[j]
+            apart = i != j
+            if not apart.any():
+                break
+            i, j = i[apart], j[apart]
+            np.minimum.at(root, np.maximum(i, j), np.minimum(i, j))
+            while (root != root[root]).any():
+                root = root[root]
+    moved = root != np.arange(len(nodes))
+    return nodes[root[moved]], nodes[moved]
+
+
 def links(distinct: DataFrame, reach: int) -> DataFrame:
-    """All pairs (a, b) of distinct fingerprints that differ in 1 to ``reach`` bits."""
+    """Links (a, b) of distinct fingerprints that connect all those within ``reach`` bits."""
     spark = distinct.sparkSession
     n = distinct.count()
     depth = max(0, math.ceil(math.log2(max(n, 1) / SHARD_SIZE)))
@@ -215,10 +239,8 @@ def links(distinct: DataFrame, reach: int) -> DataFrame:
     def search(table: pa.Table) -> pa.Table:
         values = table.column("fingerprint").to_numpy().view(np.uint64)
         home = table.column("home").to_numpy()
-        empty = (np.zeros(0, np.uint64),) * 2
-        found = list(zip(*chain([empty], pairs_within(values[home], values, reach))))
-        a, b = (np.concatenate(side).view(np.int64) for side in found)
-        return pa.table({"a": a, "b": b})
+        a, b = forest(values, pairs_within(values[home], values, reach))
+        return pa.table({"a": a.view(np.int64), "b": b.view(np.int64)})
 
     dealt = distinct.mapInArrow(deal, "shard int, fingerprint bigint, home boolean")
     return dealt.groupBy("shard").applyInArrow(search, "a bigint, b bigint")
