@@ -17,6 +17,7 @@ from decoylog.llm import (
     oracles,
     quality_model,
     quality_rules,
+    repeats,
     simhash,
     token_counts,
 )
@@ -61,6 +62,10 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", listed, "contaminated")
 
 
+def op5_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.without_repeats(read_table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(
         read_table(spark, sf_dir, "documents"), vocabulary(), keep_ids=False
@@ -101,6 +106,7 @@ def queries() -> dict[str, Query]:
         op2_quality_classifier,
         op3_simhash,
         op4_decontamination,
+        op5_repeats,
         op6_bpe,
         op7_token_counts,
         op8_line_dedup,
