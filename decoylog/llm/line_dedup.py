@@ -52,15 +52,14 @@ def lines_of(docs: DataFrame) -> DataFrame:
     )
 
 
-def _distinct(lines: DataFrame) -> DataFrame:
-    """Each different line with its first place, under a key of three numbers.
+def _keyed(lines: DataFrame) -> DataFrame:
+    """Lines under a key of three numbers, with their place.
 
-    Two hashes tell lines apart; a third number makes every blank line one of its
-    own.  All later joins are on the same key, so the texts move only once.
+    Two hashes tell lines apart; a third number makes every blank line one of its own.
     """
     blank = ~F.col("line").rlike(NOT_WHITE)
     place = F.xxhash64(*KEY).bitwiseOR(F.lit(1))
-    keyed = lines.select(
+    return lines.select(
         F.xxhash64("line").alias("h1"),
         F.when(blank, F.xxhash64(F.lit(2), *KEY))
         .otherwise(F.xxhash64(F.lit(1), "line"))
@@ -69,6 +68,10 @@ def _distinct(lines: DataFrame) -> DataFrame:
         "line",
         _place().alias("at"),
     )
+
+
+def _distinct(keyed: DataFrame) -> DataFrame:
+    """Each different line with its first place; blank lines one by one."""
     return keyed.groupBy(*LINE).agg(F.min("at").alias("at"), F.first("line").alias("line"))
 
 
@@ -84,8 +87,8 @@ def _segment(length: Column, i: int, parts: int) -> tuple[Column, Column]:
     return start.cast("int"), (size + F.when(F.lit(i) >= short, 1).otherwise(0)).cast("int")
 
 
-def segment_keys(max_edits: int) -> Column:
-    """Array of (key, probe) of ``line``, which is ``n`` characters long.
+def segment_keys(max_edits: int) -> list[tuple[Column, bool]]:
+    """(key, whether it is a probe) of ``line``, which is ``n`` characters long.
 
     The line's own segments, and what it probes for; null where no line can match.
     """
@@ -104,9 +107,8 @@ def segment_keys(max_edits: int) -> Column:
                 at = start + offset
                 key = F.xxhash64(aimed, F.lit(i), F.substr(line, at + 1, size))
                 valid = (at >= 0) & (at + size <= length)
-                probe = F.lit(bool(shorter or offset)).alias("probe")
-                keys.append(F.struct(F.when(valid, key).alias("key"), probe))
-    return F.array(*keys)
+                keys.append((F.when(valid, key), bool(shorter or offset)))
+    return keys
 
 
 # --- verification --------------------------------------------------------------
@@ -290,17 +292,31 @@ def _crowded(texts: DataFrame) -> DataFrame:
     return rows.join(first.where("n > 1"), ["key", "key2"]).where(other < F.col("at")).select("at")
 
 
-def near_repeats(distinct: DataFrame, max_edits: int) -> DataFrame:
-    """Keys (h1, h2, own) of the different lines that an earlier line comes close to."""
+def near_repeats(keyed: DataFrame, max_edits: int) -> DataFrame:
+    """Keys (h1, h2, own) of the different lines that an earlier line comes close to.
+
+    Segments are hashed where the lines are read, so the search for shared ones
+    moves numbers only; texts are fetched for the lines that share one.
+    """
     if max_edits == 0:
-        return distinct.select(*LINE).limit(0)
+        return keyed.select(*LINE).limit(0)
     if max_edits != 1:
         raise ValueError("crowded segments are decided exactly for one edit only")
     # Blank lines have a number of their own.
-    texts = distinct.where((F.col("own") == 0) & (F.char_length("line") >= MIN_CHARS))
-    keys = (
+    texts = keyed.where((F.col("own") == 0) & (F.char_length("line") >= MIN_CHARS))
+    made = segment_keys(max_edits)
+    hashed = (
         texts.withColumn("n", F.char_length("line"))
-        .select(*LINE, F.explode(segment_keys(max_edits)).alias("k"))
+        .select(*LINE, *[key.alias(f"key{i}") for i, (key, _) in enumerate(made)])
+        .groupBy(*LINE)
+        .agg(*[F.max(f"key{i}").alias(f"key{i}") for i in range(len(made))])
+    )
+    each = [
+        F.struct(F.col(f"key{i}").alias("key"), F.lit(probe).alias("probe"))
+        for i, (_, probe) in enumerate(made)
+    ]
+    keys = (
+        hashed.select(*LINE, F.explode(F.array(*each)).alias("k"))
         .select("k.key", "k.probe", *LINE)
         .where("key IS NOT NULL")
     )
@@ -310,7 +326,7 @@ def near_repeats(distinct: DataFrame, max_edits: int) -> DataFrame:
     # A key with a single row, or with probes only, joins nothing.
     shared = cut(keys.join(crowds.where("rows > 1 AND indexed > 0"), "key"))
     wanted = shared.groupBy(*LINE).agg(F.bool_or(F.col("rows") > CROWD).alias("crowded"))
-    known = cut(texts.join(wanted, list(LINE)))
+    known = cut(_distinct(texts).join(wanted, list(LINE)))
 
     two = lambda name: F.struct(*LINE).alias(name)
     small = shared.where(F.col("rows") <= CROWD)
@@ -337,8 +353,8 @@ def near_repeats(distinct: DataFrame, max_edits: int) -> DataFrame:
 
 def _kept(docs: DataFrame, max_edits: int) -> DataFrame:
     """Lines that stay, at the place where they stay."""
-    distinct = _distinct(lines_of(docs))
-    return distinct.join(near_repeats(distinct, max_edits), list(LINE), "left_anti")
+    keyed = _keyed(lines_of(docs))
+    return _distinct(keyed).join(near_repeats(keyed, max_edits), list(LINE), "left_anti")
 
 
 def line_report(docs: DataFrame, max_edits: int = 1) -> DataFrame:
