@@ -5,6 +5,7 @@ from __future__ import annotations
 import sys
 from collections.abc import Callable
 from datetime import datetime, timedelta
+from functools import reduce
 from pathlib import Path
 
 sys.path.insert(0, str(Path(__file__).resolve().parent))
@@ -28,7 +29,7 @@ from decoylog.sources.sample import (
     sample_lines,
 )
 from decoylog.sources.store import PARTITIONS
-from decoylog.streaming.sinks import latest, read_batched, start_batched
+from decoylog.streaming.sinks import read_snapshot, start_snapshots
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -52,6 +53,7 @@ def _llm_oracle_sql() -> dict[str, str]:
 
 
 AS_OF_TIME = datetime.fromisoformat(AS_OF)
+RECENT_FIELDS = ("timestamp", "eventid", "session", "src_ip", "message")
 
 
 def _time(column: str = "ts", name: str = "time") -> Column:
@@ -120,7 +122,7 @@ def _listing(detail: str) -> Callable[[DataFrame], DataFrame]:
 
 
 def _patterns(found: DataFrame) -> DataFrame:
-    return found.select("pattern", "src_ip", _time(), "detail", *_place())
+    return found.select("pattern", "src_ip", "timestamp", _time(), "detail", *_place())
 
 
 def _recent(parsed: DataFrame) -> DataFrame:
@@ -141,9 +143,25 @@ def _range(preset: str) -> Query:
     )
 
 
-def _files(preset: str, caps: dict[str, int]) -> Query:
+def _spread(preset: str) -> Query:
+    """A preset on the events at their own times, which cover thirty days."""
+
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        events = read_table(spark, sf_dir, "events").select(
+            "event_id", F.col("ts").cast("timestamp").alias("ts")
+        )
+        return dl.time_range(events, preset, "2024-02-05").agg(
+            F.count(F.lit(1)).alias("events"),
+            F.min("event_id").alias("first_id"),
+            F.max("event_id").alias("last_id"),
+        )
+
+    return query
+
+
+def _files(preset: str) -> Query:
     return on_lines(
-        lambda lines: dl.lines_of_preset(lines, preset, AS_OF_TIME, caps)
+        lambda lines: dl.lines_of_preset(lines, preset, AS_OF_TIME)
         .groupBy("file_name")
         .agg(F.count(F.lit(1)).alias("lines"))
     )
@@ -176,38 +194,133 @@ def _written_lines(spark: SparkSession, sf_dir: str) -> str:
 def _read_log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = dl.read_log_lines(spark, _written_lines(spark, sf_dir))
     parsed = dl.parse_lines(lines, QUALITY_FIELDS)
-    return parsed.groupBy("line_status", "eventid").agg(F.count(F.lit(1)).alias("lines"))
+    # Names differ from run to run; each must be a whole path that ends as its short form.
+    named = F.col("file_name").endswith(F.col("short_name")) & F.col("file_name").contains("/logs/")
+    return parsed.groupBy(
+        "line_status", "eventid", "layout", F.col("log_date").cast("string").alias("log_date"),
+        named.alias("named"),
+    ).agg(F.count(F.lit(1)).alias("lines"))
+
+
+def _file_tree(spark: SparkSession, sf_dir: str) -> str:
+    """The lines as a folder of dated archive files and the live file."""
+    root = f"{run_dir(spark, 'files')}/root"
+    parsed = dl.parse_lines(sample_lines(read_table(spark, sf_dir, "events")), ["timestamp"])
+    chosen = parsed.select(
+        "value", "line_status", F.date_format("ts", "yyyy-MM-dd").alias("day")
+    ).where(F.col("line_status").isin(C.OK, C.NO_TIMESTAMP, C.MALFORMED))
+    days = [row["day"] for row in chosen.where("day IS NOT NULL").select("day").distinct().collect()]
+    for day in days:  # the days of a month at most
+        _one_file(chosen.where(F.col("day") == day), f"{root}/archive", f"cowrie.json.{day}")
+    _one_file(chosen.where("day IS NULL"), f"{root}/live", "cowrie.json")
+    return root
+
+
+def _one_file(lines: DataFrame, folder: str, name: str) -> None:
+    """Write the lines and give the one file its name, as the log's writer does."""
+    spark = lines.sparkSession
+    part = f"{folder}/.{name}"
+    lines.select("value").coalesce(1).write.option("lineSep", "\n").text(part)
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    files = path(part).getFileSystem(spark._jsc.hadoopConfiguration())
+    (found,) = [s.getPath() for s in files.globStatus(path(f"{part}/part-*"))]
+    files.rename(found, path(f"{folder}/{name}"))
+    files.delete(path(part), True)
+
+
+def _read_preset(preset: str) -> Query:
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        lines = dl.read_preset(spark, _file_tree(spark, sf_dir), preset, AS_OF_TIME)
+        return lines.groupBy(
+            "short_name", "layout", F.col("log_date").cast("string").alias("log_date")
+        ).agg(F.count(F.lit(1)).alias("lines"))
+
+    return query
+
+
+def _list_log_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dl.list_log_files(spark, _file_tree(spark, sf_dir)).select(
+        "short_name", "layout", F.col("log_date").cast("string").alias("log_date")
+    )
 
 
 def _staged(lines: DataFrame) -> DataFrame:
     """The stored table: write, read back, count per day partition."""
     days = F.col("event_date").cast("string").alias("event_date")
-    return dl.stage_events(lines).groupBy(days, "line_status").agg(
+    staged = dl.stage_events(lines, f"{run_dir(lines.sparkSession, 'events')}/table")
+    return staged.groupBy(days, "line_status").agg(
         F.count(F.lit(1)).alias("events"), F.countDistinct("eventid").alias("codes")
     )
 
 
 def _staged_range(lines: DataFrame) -> DataFrame:
     """A time range on the stored table, where day partitions are pruned."""
-    return dl.login_summary(dl.time_range(dl.stage_events(lines), "24h", AS_OF))
+    staged = dl.stage_events(lines, f"{run_dir(lines.sparkSession, 'events')}/table")
+    return dl.login_summary(dl.time_range(staged, "24h", AS_OF))
 
 
 def _summary(events: DataFrame, geo: DataFrame) -> DataFrame:
     row = dl.analytics_summary(events, geo)
     ips = F.transform(
-        "top_source_ips", lambda ip: F.struct(ip["src_ip"].alias("src_ip"), ip["count"].alias("count"))
+        "top_source_ips",
+        lambda ip: F.struct(
+            ip["src_ip"].alias("src_ip"),
+            ip["count"].alias("count"),
+            iso_micros(ip["first_seen"]).alias("first_seen"),
+            iso_micros(ip["last_seen"]).alias("last_seen"),
+            ip["location"]["country"].alias("country"),
+            ip["location"]["city"].alias("city"),
+        ),
     )
     lists = ("top_credentials", "top_usernames", "top_passwords", "top_commands")
     return row.withColumns(
         {
             "start": iso_micros(F.col("start")),
             "end": iso_micros(F.col("end")),
-            "top_source_ips": F.to_json(ips),
+            "top_source_ips": F.to_json(ips, {"ignoreNullFields": "false"}),
             **{name: F.to_json(name) for name in lists},
         }
     )
 
 
+def _empty_summary(events: DataFrame, geo: DataFrame) -> DataFrame:
+    row = dl.analytics_summary(events.where("eventid = 'no such event'"), geo)
+    lists = ("top_source_ips", "top_credentials", "top_usernames", "top_passwords", "top_commands")
+    total = sum((F.size(name) for name in lists), F.lit(0))
+    return row.select(
+        "total_events", "total_attempts", "success_rate", "unique_commands", "brute_force_ips",
+        iso_micros(F.col("start")).alias("start"), total.alias("top_lists"),
+    )
+
+
+def _dashboard(events: DataFrame, geo: DataFrame) -> DataFrame:
+    """How many rows each part of the dashboard has; the parts are queries of their own."""
+    parts = [
+        part.agg(F.count(F.lit(1)).alias("rows")).select(F.lit(name).alias("part"), "rows")
+        for name, part in dl.dashboard_report(events, geo).items()
+    ]
+    return reduce(DataFrame.union, parts)
+
+
+def _written_report(events: DataFrame) -> DataFrame:
+    """The report written and read back."""
+    spark = events.sparkSession
+    path = f"{run_dir(spark, 'report')}/report"
+    report = dl.events_by_type(events)
+    dl.write_report(report, path)
+    return spark.read.schema(report.schema).json(path)
+
+
+def _geo_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Supplier numbers as ranges, some reversed and some reaching into the next one."""
+    start = F.col("s_suppkey") * 1000
+    length = F.when(F.col("s_suppkey") % 13 == 0, 1500).when(F.col("s_suppkey") % 17 == 0, -5)
+    ranges = read_table(spark, sf_dir, "supplier").select(
+        start.alias("lo"), (start + length.otherwise(999)).alias("hi")
+    )
+    return dl.geo_problems(ranges)
+
+
 def _ip_locations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers' addresses in suppliers' networks, IPv4 and IPv6 mixed."""
     supplier, nation, region = (
@@ -223,6 +336,11 @@ def _ip_locations(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.col("n_name").alias("country"),
             F.col("r_name").alias("region"),
             F.col("s_name").alias("city"),
+            (F.col("s_suppkey") % 2).cast("string").alias("eu"),
+            F.concat(F.lit("Etc/GMT+"), F.col("s_suppkey") % 12).alias("timezone"),
+            F.array(F.col("s_suppkey") / 2, F.col("s_suppkey") / 4).alias("ll"),
+            (F.col("s_suppkey") % 7).cast("int").alias("metro"),
+            (F.col("s_suppkey") % 50).cast("int").alias("area"),
         )
     )
 
@@ -240,23 +358,37 @@ def _ip_locations(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.lit(tail),
         )
 
-    place = ("country", "region", "city")
+    place = ("country", "region", "city", "eu", "timezone", "ll", "metro", "area")
     lo, hi = F.col("lo"), F.col("hi")
     geo = networks.select(v4(lo).alias("lo"), v4(hi).alias("hi"), *place).unionByName(
         networks.select(
             v6(lo, "::").alias("lo"), v6(hi, ":ffff:ffff:ffff:ffff").alias("hi"), *place
         )
     )
+    # One range as wide as a sixteenth of all addresses.
+    wide = spark.range(1).select(
+        F.lit("3000::").alias("lo"),
+        F.lit("3fff:ffff:ffff:ffff:ffff:ffff:ffff:ffff").alias("hi"),
+        F.lit("WIDE").alias("country"),
+    )
+    geo = geo.unionByName(wide, allowMissingColumns=True)
     number = F.col("c_custkey") * 104729 % 16777216
     customers = read_table(spark, sf_dir, "customer").select(
         "c_custkey",
-        F.when(F.col("c_custkey") % 3 == 0, v6(number, "::1"))
+        F.when(
+            F.col("c_custkey") % 11 == 5,
+            F.concat(F.lit("3abc:"), F.hex(number.bitwiseAND(0xFFFF)), F.lit("::7")),
+        )
+        .when(F.col("c_custkey") % 3 == 0, v6(number, "::1"))
         .when(F.col("c_custkey") % 7 == 0, F.concat(F.lit("::ffff:"), v4(number)))
         .otherwise(v4(number))
         .alias("src_ip"),
     )
     return dl.with_location(customers, geo).select(
-        "c_custkey", *_place("country", "region", "city")
+        "c_custkey",
+        *_place("country", "region", "city", "eu", "timezone", "metro", "area"),
+        F.col("location.ll")[0].alias("lat"),
+        F.col("location.ll")[1].alias("lon"),
     )
 
 
@@ -276,13 +408,10 @@ def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return session.readStream.schema(schema).parquet(f"{sf_dir}/{{events}}.parquet")
 
 
-def _run_batched(
-    spark: SparkSession, stream: DataFrame, name: str, mode: str = "append"
-) -> DataFrame:
+def _run_snapshots(spark: SparkSession, stream: DataFrame, name: str, key: str) -> DataFrame:
     folder = run_dir(spark, name)
-    query = start_batched(stream, f"{folder}/out", f"{folder}/checkpoint", mode)
-    query.awaitTermination()
-    return read_batched(spark, f"{folder}/out", stream.schema)
+    start_snapshots(stream, f"{folder}/out", f"{folder}/checkpoint", [key]).awaitTermination()
+    return read_snapshot(spark, f"{folder}/out", stream.schema)
 
 
 def _stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -302,18 +431,18 @@ def _stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    closed = dl.closed_sessions(sample_events(_stream(spark, sf_dir)))
-    return _sessions(_run_batched(spark, closed, "sessions"))
+    counts = dl.running_sessions(sample_events(_stream(spark, sf_dir)))
+    return _sessions(_run_snapshots(spark, counts, "sessions", "interval_start"))
 
 
 def _stream_type_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = dl.running_type_counts(sample_events(_stream(spark, sf_dir)))
-    return latest(_run_batched(spark, counts, "types", "update"), "event_name")
+    return _run_snapshots(spark, counts, "types", "event_name")
 
 
 def _stream_ip_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = dl.running_ip_counts(sample_events(_stream(spark, sf_dir)))
-    return latest(_run_batched(spark, counts, "ips", "update"), "src_ip").select(
+    return _run_snapshots(spark, counts, "ips", "src_ip").select(
         "src_ip", "count", _time("first_seen", "first_seen"), _time("last_seen", "last_seen")
     )
 
@@ -329,12 +458,11 @@ def _stream_detections(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _stream_brute_force(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = run_dir(spark, "brute-force")
-    query = dl.start_brute_force_alerts(
+    dl.start_attempt_counts(
         sample_events(_stream(spark, sf_dir)), f"{folder}/out", f"{folder}/checkpoint"
-    )
-    query.awaitTermination()
-    alerts = spark.read.parquet(f"{folder}/out")
-    return _brute_force(dl.first_alerts(alerts, sample_geo_ranges(spark)))
+    ).awaitTermination()
+    counts = spark.read.parquet(f"{folder}/out")
+    return _brute_force(dl.brute_force_so_far(counts, sample_geo_ranges(spark)))
 
 
 def log_queries() -> dict[str, Query]:
@@ -371,7 +499,7 @@ def log_queries() -> dict[str, Query]:
             lambda e, geo: _listing("command")(dl.recon_commands(e, geo))
         ),
         "attack_patterns": with_geo(lambda e, geo: _patterns(dl.attack_patterns(e, geo))),
-        "recent_logs": on_parsed(_recent),
+        "recent_logs": on_lines(lambda lines: _recent(dl.parse_lines(lines, RECENT_FIELDS))),
         "log_table": with_geo(dl.log_table),
         "recent_log_table": with_geo(
             lambda events, geo: dl.log_table(dl.recent_logs(events), geo, each_row=True)
@@ -380,9 +508,18 @@ def log_queries() -> dict[str, Query]:
         "time_range_1h": _range("1h"),
         "time_range_24h": _range("24h"),
         "time_range_7d": _range("7d"),
+        "time_range_30d": _range("30d"),
+        "time_range_unknown": _range("unknown"),
         "time_range_all": _range("all"),
-        "select_log_files_1h": _files("1h", C.LISTING_FILE_CAPS),
-        "select_log_files_7d": _files("7d", C.ANALYTICS_FILE_CAPS),
+        "time_range_spread_7d": _spread("7d"),
+        "time_range_spread_30d": _spread("30d"),
+        **{
+            f"select_log_files_{preset}": _files(preset)
+            for preset in ("1h", "7d", "30d", "all", "unknown")
+        },
+        "read_preset": _read_preset("24h"),
+        "read_preset_all": _read_preset("all"),
+        "list_log_files": _list_log_files,
         "parse_lines": on_parsed(_parsed),
         "parse_events": on_lines(
             lambda lines: dl.parse_events(lines).select("file_name", _time(), *JSON_FIELDS)
@@ -398,8 +535,13 @@ def log_queries() -> dict[str, Query]:
         "log_file_inventory": on_checked(_inventory),
         "top_attackers": with_geo(top_attackers),
         "analytics_summary": with_geo(_summary),
+        "analytics_summary_empty": with_geo(_empty_summary),
+        "dashboard_report": with_geo(_dashboard),
+        "written_report": on_events(_written_report),
+        "log_table_zoned": with_geo(lambda e, geo: dl.log_table(e, geo, "Asia/Tokyo")),
         "report_documents": on_events(lambda events: dl.to_documents(dl.events_by_type(events))),
         "ip_locations": _ip_locations,
+        "geo_problems": _geo_problems,
         "stream_ingest": _stream_ingest,
         "stream_sessions": _stream_sessions,
         "stream_type_counts": _stream_type_counts,

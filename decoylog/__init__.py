@@ -25,7 +25,7 @@ from decoylog.operators.detect import (
     privilege_escalation,
     recon_commands,
 )
-from decoylog.operators.geo import with_location, with_location_label
+from decoylog.operators.geo import geo_problems, with_location, with_location_label
 from decoylog.operators.listing import log_table, recent_logs, with_severity
 from decoylog.operators.quality import ingest_stats, log_file_inventory, validate_logs
 from decoylog.operators.timerange import time_range
@@ -54,9 +54,27 @@ from decoylog.sources.lines import (
     stream_log_lines,
 )
 from decoylog.sources.parse import admitted, parse_events, parse_lines, rejects
-from decoylog.sources.store import read_events, read_rejects, stage_events, write_events
-from decoylog.streaming.alerts import first_alerts, start_brute_force_alerts, start_detection_alerts
+from decoylog.sources.store import (
+    read_events,
+    read_rejects,
+    replace_days,
+    stage_events,
+    with_live_lines,
+    write_events,
+)
+from decoylog.streaming.alerts import (
+    brute_force_so_far,
+    first_alerts,
+    start_attempt_counts,
+    start_brute_force_alerts,
+    start_detection_alerts,
+)
 from decoylog.streaming.ingest import start_ingest
-from decoylog.streaming.metrics import closed_sessions, running_ip_counts, running_type_counts
+from decoylog.streaming.metrics import (
+    closed_sessions,
+    running_ip_counts,
+    running_sessions,
+    running_type_counts,
+)
 
 __all__ = [name for name in dir() if not name.startswith("_")]

@@ -47,16 +47,17 @@ COMMAND_MAX_LENGTH = 100
 COMMAND_CUT_LENGTH = 97
 COMMAND_CUT_MARK = "..."
 
-# --- Fixed values: time presets (hours) and file caps ----------------------
-PRESET_HOURS = {"1h": 1, "24h": 24, "7d": 168, "30d": 720, "all": 8760}
-ANALYTICS_FILE_CAPS = {"1h": 3, "24h": 5, "7d": 10, "30d": 15, "all": 20}
-LISTING_FILE_CAPS = {"1h": 1, "24h": 3, "7d": 5, "30d": 8, "all": 10}
+# --- Fixed values: time presets (hours; "all" has no bound) ----------------
+PRESET_HOURS = {"1h": 1, "24h": 24, "7d": 168, "30d": 720}
+ALL_PRESET = "all"
 DEFAULT_PRESET = "24h"
 
 # --- Fixed values: log file layouts ----------------------------------------
 LIVE_FILE = "live/cowrie.json"
 ARCHIVE_PREFIX = "archive/cowrie.json."
-HISTORICAL_PREFIX = "historical/cowrie.json"
+LIVE_FILE_PATTERN = r"(^|/)live/cowrie\.json$"
+ARCHIVE_FILE_PATTERN = r"(^|/)archive/cowrie\.json\.[^/]*$"
+HISTORICAL_FILE_PATTERN = r"(^|/)historical/cowrie\.json[^/]*$"
 DAILY_FILE_PATTERN = r"(^|/)cowrie-\d{4}-\d{2}-\d{2}\.json$"
 
 # --- Fixed values: text rules ----------------------------------------------

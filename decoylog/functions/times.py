@@ -15,16 +15,57 @@ ISO_MICROS = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'"
 
 
 def parse_time(text: Column) -> Column:
-    """ISO-8601 text or epoch milliseconds; NULL when it is neither.
+    """ISO-8601 text as an instant; NULL when it is none.
 
-    Text must begin with a four-digit year: Spark would read a bare clock time
-    as today's, which depends on when the job runs.  Numbers of eight digits
-    and more are taken as epoch milliseconds.
+    It must begin with a four-digit year: Spark would read a bare clock time as
+    today's, which depends on when the job runs.
     """
-    millis = text.try_cast("bigint")
-    return F.when(text.rlike(r"^\d{4}(-|$)"), F.try_to_timestamp(text)).when(
-        text.rlike(r"^-?\d{8,}$"),
-        F.when(F.abs(millis) <= _MAX_EPOCH_MS, F.timestamp_millis(millis)),
+    return F.when(text.rlike(r"^\d{4}(-|$)"), F.try_to_timestamp(text))
+
+
+def epoch_time(number: Column) -> Column:
+    """Epoch milliseconds as an instant, of whatever size; NULL out of range."""
+    millis = number.try_cast("double")
+    whole = millis.try_cast("bigint")
+    return F.when(F.abs(millis) <= _MAX_EPOCH_MS, F.timestamp_millis(whole))
+
+
+# --- a JSON value of any type (variant): decided by its type, not its look ---
+
+
+def _is_number(value: Column) -> Column:
+    kind = F.schema_of_variant(value)
+    return kind.isin("BIGINT", "DOUBLE", "FLOAT") | kind.startswith("DECIMAL")
+
+
+def json_text(value: Column) -> Column:
+    """The text of a JSON value: a string's content, JSON for all else."""
+    scalar = F.try_variant_get(value, "$", "string")
+    given = value.isNotNull() & ~F.is_variant_null(value)
+    return F.when(given, F.coalesce(scalar, F.to_json(value)))
+
+
+def json_time(value: Column) -> Column:
+    """A JSON text as ISO-8601, a JSON number as epoch milliseconds."""
+    text = F.try_variant_get(value, "$", "string")
+    return (
+        F.when(value.isNull(), None)
+        .when(F.schema_of_variant(value) == "STRING", parse_time(text))
+        .when(_is_number(value), epoch_time(F.try_variant_get(value, "$", "double")))
+    )
+
+
+def truthy(value: Column) -> Column:
+    """Whether a JSON value counts as given: not empty text, zero, false or null."""
+    kind = F.schema_of_variant(value)
+    text = F.try_variant_get(value, "$", "string")
+    return F.coalesce(
+        F.when(value.isNull() | F.is_variant_null(value), False)
+        .when(kind == "STRING", text != "")
+        .when(kind == "BOOLEAN", F.try_variant_get(value, "$", "boolean"))
+        .when(_is_number(value), F.try_variant_get(value, "$", "double") != 0)
+        .otherwise(True),
+        F.lit(False),
     )
 
 

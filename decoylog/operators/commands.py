@@ -37,34 +37,43 @@ def command_counts(events: DataFrame) -> DataFrame:
     return command_events(events).groupBy("command").agg(F.count(F.lit(1)).alias("count"))
 
 
-def command_summary(events: DataFrame) -> DataFrame:
-    """One row: commands run and distinct commands."""
-    return command_counts(events).agg(
+def command_totals(counts: DataFrame) -> DataFrame:
+    return counts.agg(
         F.coalesce(F.sum("count"), F.lit(0)).alias("total_commands"),
         F.count(F.lit(1)).alias("unique_commands"),
     )
 
 
-def _top(events: DataFrame, limit: int) -> DataFrame:
-    return command_counts(events).orderBy(F.desc("count"), "command").limit(limit)
+def command_summary(events: DataFrame) -> DataFrame:
+    """One row: commands run and distinct commands."""
+    return command_totals(command_counts(events))
 
 
-def top_commands(events: DataFrame, limit: int = C.TOP_LIMIT) -> DataFrame:
-    """Most run commands; long ones are shortened, the full text is kept."""
-    return _top(events, limit).select(
+def _top(counts: DataFrame, limit: int) -> DataFrame:
+    return counts.orderBy(F.desc("count"), "command").limit(limit)
+
+
+def top_of_commands(counts: DataFrame, limit: int) -> DataFrame:
+    return _top(counts, limit).select(
         short_command(F.col("command")).alias("command"),
         "count",
         F.col("command").alias("full_command"),
     )
 
 
+def top_commands(events: DataFrame, limit: int = C.TOP_LIMIT) -> DataFrame:
+    """Most run commands; long ones are shortened, the full text is kept."""
+    return top_of_commands(command_counts(events), limit)
+
+
 def command_cards(events: DataFrame, limit: int = C.CARD_LIMIT) -> DataFrame:
     """Ranked commands with their share of all commands in percent."""
     total = command_summary(events).select("total_commands").scalar()
-    cards = ranked(_top(events, limit), [-F.col("count"), F.col("command")])
+    cards = ranked(_top(command_counts(events), limit), [-F.col("count"), F.col("command")])
     return cards.select(
         "rank",
         short_command(F.col("command")).alias("command"),
+        F.col("command").alias("full_command"),
         "count",
         F.round(F.col("count") / F.greatest(total, F.lit(1)) * 100, 1).alias("frequency"),
     )

@@ -33,7 +33,14 @@ def slot_of(ts_ms: Column, window_ms: int) -> Column:
     return F.floor((ts_ms - F.pmod(ts_ms, F.lit(window_ms))) / window_ms)
 
 
-def failures_per_slot(events: DataFrame, window_ms: int) -> DataFrame:
+def attempt_counts(attempts: DataFrame) -> DataFrame:
+    """Failures per address and millisecond with any attempt: ``src_ip, ts_ms, failed``."""
+    return attempts.groupBy("src_ip", "ts_ms").agg(
+        F.count_if(F.col("eventid") == C.LOGIN_FAILED).alias("failed")
+    )
+
+
+def slots_of(counted: DataFrame, window_ms: int) -> DataFrame:
     """Failures per (address, slot, millisecond): ``src_ip, slot, at, failed``.
 
     A window that opens in one slot ends in the same or the next one, so the
@@ -43,12 +50,11 @@ def failures_per_slot(events: DataFrame, window_ms: int) -> DataFrame:
     at, failed = F.col("ts_ms"), F.col("failed")
     slot = slot_of(at, window_ms)
     slots = F.when(failed > 0, F.array(slot, slot - 1)).otherwise(F.array(slot))
-    return (
-        timed_attempts(events)
-        .groupBy("src_ip", "ts_ms")
-        .agg(F.count_if(F.col("eventid") == C.LOGIN_FAILED).alias("failed"))
-        .select("src_ip", F.explode(slots).alias("slot"), at.alias("at"), "failed")
-    )
+    return counted.select("src_ip", F.explode(slots).alias("slot"), at.alias("at"), "failed")
+
+
+def failures_per_slot(events: DataFrame, window_ms: int) -> DataFrame:
+    return slots_of(attempt_counts(timed_attempts(events)), window_ms)
 
 
 def window_marks(counted: DataFrame, window_ms: int) -> DataFrame:
@@ -190,6 +196,7 @@ def detections(
             "pattern",
             "src_ip",
             "ts",
+            "timestamp",
             F.when(F.col("pattern") == MALWARE, F.col("url"))
             .otherwise(F.col("input"))
             .alias("detail"),
@@ -203,15 +210,18 @@ def attack_patterns(
     threshold: int = C.BRUTE_FORCE_THRESHOLD,
     window: timedelta = C.BRUTE_FORCE_WINDOW,
 ) -> DataFrame:
-    """Brute force and the three listings in one table, looked up once.
+    """Brute force and the three listings in one table.
 
     ``detail`` is the URL, the command, or the number of failed attempts; for
-    brute force ``ts`` is the start of the window.
+    brute force ``ts`` is the start of the window and there is no raw time text.
+    Each part is located by itself, so neither is computed for the other's sake.
     """
-    brute = brute_force(events, None, threshold, window).select(
+    brute = brute_force(events, geo, threshold, window).select(
         F.lit(BRUTE_FORCE).alias("pattern"),
         "src_ip",
         F.col("window_start").alias("ts"),
+        F.lit(None).cast("string").alias("timestamp"),
         F.col("failed_attempts").cast("string").alias("detail"),
+        "location",
     )
-    return with_location(detections(events).unionByName(brute), geo)
+    return with_location(detections(events), geo).unionByName(brute)

@@ -17,14 +17,22 @@ def time_range(events: DataFrame, preset: str, as_of: datetime | str) -> DataFra
     An unknown preset means 24h.  Bounded ranges leave out events without a
     valid time.  On the stored table the day partitions are pruned as well.
     """
-    if preset == "all":
+    hours = preset_hours(preset)
+    if hours is None:
         return events
     end = utc_moment(as_of)
-    start = end - timedelta(hours=preset_hours(preset))
-    lower = F.lit(start.strftime("%Y-%m-%d %H:%M:%S.%f")).cast("timestamp")
-    upper = F.lit(end.strftime("%Y-%m-%d %H:%M:%S.%f")).cast("timestamp")
-    within = (F.col("ts") > lower) & (F.col("ts") <= upper)
+    start = end - timedelta(hours=hours)
+    micros = F.unix_micros("ts")
+    within = (micros > _epoch_micros(start)) & (micros <= _epoch_micros(end))
+    if "ts_ms" in events.columns:
+        # A plain number has statistics in every row group, so this one skips them.
+        within &= F.col("ts_ms").between(
+            _epoch_micros(start) // 1000, _epoch_micros(end) // 1000
+        )
     if "event_date" in events.columns:
-        days = (F.to_date(lower), F.to_date(upper))
-        within &= F.col("event_date").between(*days)
+        within &= F.col("event_date").between(F.lit(start.date()), F.lit(end.date()))
     return events.where(within)
+
+
+def _epoch_micros(moment: datetime) -> int:
+    return (moment - datetime(1970, 1, 1)) // timedelta(microseconds=1)

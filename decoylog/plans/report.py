@@ -12,18 +12,26 @@ from decoylog.operators.commands import (
     command_cards,
     command_counts,
     command_summary,
+    command_totals,
     top_commands,
+    top_of_commands,
 )
 from decoylog.operators.credentials import (
     credential_cards,
+    credential_counts,
+    is_login,
+    login_rates,
     login_summary,
     top_credentials,
+    top_of_credentials,
+    top_of_values,
     top_passwords,
     top_usernames,
 )
 from decoylog.operators.detect import (
-    attack_patterns,
     brute_force,
+    is_command_with,
+    is_malware_download,
     malware_downloads,
     privilege_escalation,
     recon_commands,
@@ -35,6 +43,7 @@ from decoylog.operators.traffic import (
     events_by_type,
     geographic_distribution,
     overview,
+    overview_columns,
     sessions_over_time,
     top_source_ips,
 )
@@ -67,20 +76,20 @@ def analytics_report(
     }
 
 
-def _pattern_counts(events: DataFrame) -> DataFrame:
-    found = attack_patterns(events, None).groupBy("pattern").agg(F.count(F.lit(1)).alias("n"))
+def _scalars() -> list[Column]:
+    """Counts that need nothing but one look at each event."""
+    return [
+        F.count_if(is_malware_download()).alias("malware_downloads"),
+        F.count_if(is_command_with(C.ESCALATION_KEYWORDS)).alias("privilege_escalations"),
+        F.count_if(is_command_with(C.RECON_KEYWORDS)).alias("recon_commands"),
+        F.count_if(is_login()).alias("total_attempts"),
+        F.count_if(F.col("eventid") == C.LOGIN_SUCCESS).alias("successful_logins"),
+    ]
 
-    def of(pattern: str, name: str) -> Column:
-        return F.coalesce(F.max(F.when(F.col("pattern") == pattern, F.col("n"))), F.lit(0)).alias(
-            name
-        )
 
-    return found.agg(
-        of("brute_force", "brute_force_ips"),
-        of("malware_download", "malware_downloads"),
-        of("privilege_escalation", "privilege_escalations"),
-        of("recon_command", "recon_commands"),
-    )
+def _totals(events: DataFrame) -> DataFrame:
+    """Overview, logins and detections of :func:`analytics_summary`, from one pass."""
+    return login_rates(events.agg(*overview_columns(), *_scalars()))
 
 
 def analytics_summary(
@@ -91,30 +100,41 @@ def analytics_summary(
     Lists without a limit (countries, intervals, detections) stay tables, see
     :func:`analytics_report`; of the detections the row has the counts.  No
     events give one row of zeros and empty arrays.
+
+    Five passes over the events: totals, addresses, commands, brute force, and one
+    aggregate by (user, password, address, outcome) that serves all three lists of
+    credentials; what shares an aggregate also shares its exchange.
     """
+    attempts = credential_counts(events)
+    commands = command_counts(events)
     parts = [
-        overview(events),
-        login_summary(events),
-        command_summary(events),
-        _pattern_counts(events),
+        _totals(events),
+        brute_force(events).agg(F.count(F.lit(1)).alias("brute_force_ips")),
+        command_totals(commands),
         folded(
             top_source_ips(events, geo, limit),
             [-F.col("count"), F.col("src_ip")],
             "top_source_ips",
         ),
         folded(
-            top_credentials(events, limit),
+            top_of_credentials(attempts, limit),
             [-F.col("attempts"), F.col("credential")],
             "top_credentials",
         ),
         folded(
-            top_usernames(events, limit), [-F.col("count"), F.col("username")], "top_usernames"
+            top_of_values(attempts, "username", limit),
+            [-F.col("count"), F.col("username")],
+            "top_usernames",
         ),
         folded(
-            top_passwords(events, limit), [-F.col("count"), F.col("password")], "top_passwords"
+            top_of_values(attempts, "password", limit),
+            [-F.col("count"), F.col("password")],
+            "top_passwords",
         ),
         folded(
-            top_commands(events, limit), [-F.col("count"), F.col("full_command")], "top_commands"
+            top_of_commands(commands, limit),
+            [-F.col("count"), F.col("full_command")],
+            "top_commands",
         ),
     ]
     # One row per part; stacked and folded, which needs no join.

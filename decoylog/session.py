@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
 
-_local_dirs: dict[str, str] = {}
-
 
 def use_utc(spark: SparkSession) -> SparkSession:
     """Log times carry no zone of their own; every operator works in UTC."""
@@ -20,21 +17,19 @@ def use_utc(spark: SparkSession) -> SparkSession:
 def work_dir(spark: SparkSession) -> str:
     """The shared folder for checkpoints and intermediate tables.
 
-    It is the one the cluster names in ``spark.checkpoint.dir``.  A folder of
-    our own is made only when that is unset and the session is a local one.
+    It is the one the cluster names in ``spark.checkpoint.dir``; where that is
+    unset, a folder in the session's warehouse, which executors share as well.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured.rstrip("/")
-    context = spark.sparkContext
-    if not context.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-    app = context.applicationId
-    if app not in _local_dirs:
-        _local_dirs[app] = tempfile.mkdtemp(prefix="decoylog-")
-    return _local_dirs[app]
+    warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+    return (configured or f"{warehouse}/_work").rstrip("/")
 
 
 def run_dir(spark: SparkSession, name: str) -> str:
-    """A new, unused folder below :func:`work_dir`."""
-    return f"{work_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A new folder below :func:`work_dir`, deleted when the session's JVM ends."""
+    path = f"{work_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    files.mkdirs(folder)
+    files.deleteOnExit(folder)
+    return path

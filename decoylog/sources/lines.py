@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from datetime import date, datetime
+from datetime import date, datetime, timedelta
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,6 +14,10 @@ from decoylog.functions.times import utc_moment
 from decoylog.session import use_utc
 
 
+#: Older than any file there is.
+_ANY_AGE = "36500d"
+
+
 def log_date(file_name: Column) -> Column:
     """The day a file name stands for, NULL for the live file."""
     return F.regexp_extract(file_name, r"(\d{4}-\d{2}-\d{2})[^/]*$", 1).try_cast("date")
@@ -22,23 +26,29 @@ def log_date(file_name: Column) -> Column:
 def layout(file_name: Column) -> Column:
     """``live``, ``archive``, ``daily``, ``historical`` or ``other``."""
     return (
-        F.when(file_name == C.LIVE_FILE, "live")
-        .when(file_name.startswith(C.ARCHIVE_PREFIX), "archive")
-        .when(file_name.startswith(C.HISTORICAL_PREFIX), "historical")
+        F.when(file_name.rlike(C.LIVE_FILE_PATTERN), "live")
+        .when(file_name.rlike(C.ARCHIVE_FILE_PATTERN), "archive")
+        .when(file_name.rlike(C.HISTORICAL_FILE_PATTERN), "historical")
         .when(file_name.rlike(C.DAILY_FILE_PATTERN), "daily")
         .otherwise("other")
     )
 
 
-def _short_name(path: Column) -> Column:
-    # Folder and file, as in archive/<name>; the storage root is left out.
+def short_name(path: Column) -> Column:
+    """Folder and file, as in ``archive/<name>``, for display; the root is left out."""
     return F.substring_index(path, "/", -2)
 
 
 def with_file_info(lines: DataFrame) -> DataFrame:
-    """Add ``layout`` and ``log_date``, both derived from ``file_name``."""
+    """Add ``short_name``, ``layout`` and ``log_date``, derived from ``file_name``.
+
+    ``file_name`` is the identity of a file, its whole path: sensors that store
+    files of equal names below different roots stay apart.
+    """
     name = F.col("file_name")
-    return lines.withColumns({"layout": layout(name), "log_date": log_date(name)})
+    return lines.withColumns(
+        {"short_name": short_name(name), "layout": layout(name), "log_date": log_date(name)}
+    )
 
 
 def _describe(lines: DataFrame) -> DataFrame:
@@ -47,7 +57,7 @@ def _describe(lines: DataFrame) -> DataFrame:
     return with_file_info(
         lines.select(
             "value",
-            _short_name(meta["file_path"]).alias("file_name"),
+            meta["file_path"].alias("file_name"),
             meta["file_modification_time"].alias("file_modified"),
         )
     )
@@ -65,11 +75,23 @@ def read_log_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
 def stream_log_lines(
     spark: SparkSession, path: str, max_files_per_trigger: int | None = None
 ) -> DataFrame:
-    """The same lines as a stream over files as they appear below ``path``."""
-    reader = use_utc(spark).readStream.option("lineSep", "\n")
+    """The lines of rotated files, as a stream over files as they appear below ``path``.
+
+    A file source reads each path once.  The live file grows and is then moved
+    to another path, so its lines would come partly, or twice; they are left out
+    here and taken from the archive once the file is there.  Until then
+    ``with_live_lines`` adds them at query time.  Files count however old they
+    are: the source's age limit, which would skip archives that arrive late, is
+    set beyond any file's age.
+    """
+    reader = (
+        use_utc(spark)
+        .readStream.option("lineSep", "\n")
+        .option("maxFileAge", _ANY_AGE)
+    )
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    return _describe(reader.text(path))
+    return _describe(reader.text(path)).where(F.col("layout") != "live")
 
 
 def nonblank(lines: DataFrame) -> DataFrame:
@@ -87,72 +109,66 @@ def list_log_files(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     )
     return with_file_info(
         files.select(
-            "path",
-            _short_name(F.col("path")).alias("file_name"),
+            F.col("path").alias("file_name"),
             F.col("modificationTime").alias("file_modified"),
             F.col("length").alias("file_bytes"),
         )
     ).orderBy(F.desc("file_modified"), "file_name")
 
 
-def preset_hours(preset: str) -> int:
+def preset_hours(preset: str) -> int | None:
+    """Hours of a preset, None without a bound; an unknown preset means 24h."""
+    if preset == C.ALL_PRESET:
+        return None
     return C.PRESET_HOURS.get(preset, C.PRESET_HOURS[C.DEFAULT_PRESET])
 
 
-def select_log_files(
-    files: DataFrame,
-    preset: str,
-    as_of: datetime | date | str,
-    caps: dict[str, int] = C.ANALYTICS_FILE_CAPS,
-) -> DataFrame:
-    """The files a time preset stands for: live, then days backwards, up to a cap.
+def of_preset(preset: str, as_of: datetime | date | str) -> Column:
+    """Whether a file can hold lines of a preset: the live file, or one of its days.
 
-    ``files`` holds one row per file with a ``file_name``.  The cap is the
-    feature here (at most 20 rows come out); use ``time_range`` for an exact
-    filter on event time.
+    ``all`` is every file.  Other presets take dated files of any layout from the
+    day of ``as_of`` backwards; files without a date belong to ``all`` only.
+    """
+    hours = preset_hours(preset)
+    if hours is None:
+        return F.lit(True)
+    today = utc_moment(as_of).date()
+    first = today - timedelta(days=math.ceil(hours / 24) - 1)
+    name = F.col("file_name")
+    day = log_date(name)
+    known = layout(name) != "other"
+    return (layout(name) == "live") | (known & day.between(F.lit(first), F.lit(today)))
+
+
+def select_log_files(files: DataFrame, preset: str, as_of: datetime | date | str) -> DataFrame:
+    """The files a time preset stands for: live, then days backwards, all of them.
+
+    ``files`` holds one row per file with a ``file_name``.
     """
-    days = math.ceil(preset_hours(preset) / 24)
-    cap = caps.get(preset, caps[C.DEFAULT_PRESET])
-    today = F.lit(utc_moment(as_of).strftime("%Y-%m-%d")).cast("date")
-    described = with_file_info(files)
-    wanted = (F.col("layout") == "live") | (
-        (F.col("layout") == "archive")
-        & (F.col("log_date") <= today)
-        & (F.col("log_date") > F.date_sub(today, days))
-    )
     return (
-        described.where(wanted)
+        with_file_info(files)
+        .where(of_preset(preset, as_of))
         .orderBy((F.col("layout") == "live").desc(), F.desc("log_date"), "file_name")
-        .limit(cap)
     )
 
 
-def lines_of_preset(
-    lines: DataFrame,
-    preset: str,
-    as_of: datetime | date | str,
-    caps: dict[str, int] = C.ANALYTICS_FILE_CAPS,
-) -> DataFrame:
-    """Lines of the files :func:`select_log_files` picks from those present."""
-    chosen = select_log_files(lines.select("file_name").distinct(), preset, as_of, caps)
-    # At most 20 names by the cap, so the broadcast has a fixed bound.
-    return lines.join(F.broadcast(chosen.select("file_name")), "file_name", "left_semi")
+def lines_of_preset(lines: DataFrame, preset: str, as_of: datetime | date | str) -> DataFrame:
+    """Lines of the files :func:`select_log_files` picks: a plain filter, one scan."""
+    return lines.where(of_preset(preset, as_of))
 
 
 def read_preset(
-    spark: SparkSession,
-    root: str,
-    preset: str,
-    as_of: datetime | date | str,
-    caps: dict[str, int] = C.ANALYTICS_FILE_CAPS,
+    spark: SparkSession, root: str, preset: str, as_of: datetime | date | str
 ) -> DataFrame:
-    """Read only the files of a preset below ``root``.
+    """Read only the files of a preset below ``root``, searched to any depth.
 
-    The choice is made on the listing, so unwanted files are never opened; the
-    driver sees at most 20 paths.  Without any file the result is empty.
+    The filter is on the path alone, so Spark applies it to the file listing and
+    never opens the others.  Without any file the result is empty.
     """
-    files = list_log_files(spark, root)
-    paths = [row["path"] for row in select_log_files(files, preset, as_of, caps).collect()]
-    if not paths:
-        return read_log_lines(spark, root).where(F.lit(False))
-    return read_log_lines(spark, paths)
+    lines = (
+        use_utc(spark)
+        .read.option("lineSep", "\n")
+        .option("recursiveFileLookup", "true")
+        .text(root)
+    )
+    return lines_of_preset(_describe(lines), preset, as_of)

@@ -1,8 +1,11 @@
 """Lines to events.
 
-A line is an event when it is one JSON object and nothing else.  The line is
-parsed as the single element of an array: that way text after the object makes
-the whole line a reject, which a plain object parse would let pass.
+A line is an event when it is one JSON object and nothing else.  Spark's parser
+ignores what follows the value it was asked for, so a line is read wrapped: as
+the single element of an array, where text behind the object is an error.  The
+one thing such a line can still do is close the array itself, with a bracket
+behind a brace; lines that hold that pair are read a second time as the value of
+an object, which a bracket cannot close.  Text that passes both is one value.
 """
 
 from __future__ import annotations
@@ -14,8 +17,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from decoylog import constants as C
-from decoylog.functions.text import is_blank, let, present
-from decoylog.functions.times import parse_time
+from decoylog.functions.text import is_blank, let
+from decoylog.functions.times import json_text, json_time, truthy
 from decoylog.schema import INT_FIELDS, JSON_FIELDS, JSON_OBJECT
 
 _STRICT = {
@@ -37,19 +40,33 @@ def parse_lines(lines: DataFrame, fields: Collection[str] = JSON_FIELDS) -> Data
     """
     kept = [name for name in JSON_FIELDS if name in fields or name == "timestamp"]
     value = F.col("value")
+    # The time is kept as a variant, for its JSON type.
+    shape = [
+        T.StructField(name, T.VariantType()) if name == "timestamp" else JSON_OBJECT[name]
+        for name in kept
+    ]
     wrapped = F.from_json(
-        F.concat(F.lit("["), value, F.lit("\n]")),
-        T.ArrayType(T.StructType([JSON_OBJECT[name] for name in kept])),
-        _STRICT,
+        F.concat(F.lit("["), value, F.lit("\n]")), T.ArrayType(T.StructType(shape)), _STRICT
+    )
+    as_member = F.from_json(
+        F.concat(F.lit('{"line":'), value, F.lit("\n}")), "map<string, string>", _STRICT
+    )
+    # A second parse, of the few lines with that pair only.
+    single = ~value.rlike(r"\}[ \t\r\n]*\]") | let(
+        as_member, lambda m: F.coalesce(F.map_keys(m) == F.array(F.lit("line")), F.lit(False))
     )
-    closed = value.endswith("}") | value.rlike(r"\}[ \t\r\n]+$")
+    closed = (value.endswith("}") | value.rlike(r"\}[ \t\r\n]+$")) & single
 
     def only_object(objects: Column) -> Column:
         return F.when((F.size(objects) == 1) & closed, F.get(objects, F.lit(0)))
 
     def event(parsed: Column) -> Column:
-        ts = parse_time(parsed["timestamp"])
-        return let(ts, lambda moment: _event_row(value, parsed, moment, kept))
+        time = F.struct(
+            json_time(parsed["timestamp"]).alias("ts"),
+            json_text(parsed["timestamp"]).alias("text"),
+            truthy(parsed["timestamp"]).alias("given"),
+        )
+        return let(time, lambda found: _event_row(value, parsed, found, kept))
 
     # One generator makes all columns of a line.  A filter on any of them runs
     # after it, so the line is neither parsed nor classified a second time.
@@ -57,27 +74,32 @@ def parse_lines(lines: DataFrame, fields: Collection[str] = JSON_FIELDS) -> Data
     return lines.select("*", F.inline(rows))
 
 
-def _event_row(value: Column, parsed: Column, ts: Column, kept: list[str]) -> Column:
-    fields = [
-        parsed[name].try_cast("int") if name in INT_FIELDS else parsed[name] for name in kept
-    ]
+def _event_row(value: Column, parsed: Column, time: Column, kept: list[str]) -> Column:
+    def field(name: str) -> Column:
+        if name == "timestamp":
+            return time["text"]
+        return parsed[name].try_cast("int") if name in INT_FIELDS else parsed[name]
+
+    fields = [field(name) for name in kept]
+    ts = time["ts"]
     status = (
-        F.when(ts.isNotNull(), C.OK)
-        .when(present(parsed["timestamp"]), C.BAD_TIMESTAMP)
+        F.when(ts.isNotNull() & time["given"], C.OK)
+        .when(time["given"], C.BAD_TIMESTAMP)
         .when(parsed.isNotNull(), C.NO_TIMESTAMP)
         .when(is_blank(value), C.BLANK)
         .otherwise(C.MALFORMED)
     )
     return F.struct(
         *[field.alias(name) for field, name in zip(fields, kept, strict=True)],
-        ts.alias("ts"),
-        F.unix_millis(ts).alias("ts_ms"),
+        F.when(time["given"], ts).alias("ts"),
+        F.when(time["given"], F.unix_millis(ts)).alias("ts_ms"),
         status.alias("line_status"),
     )
 
 
 def admitted(parsed: DataFrame) -> DataFrame:
-    """The events all reports count: an object with a non-empty timestamp."""
+    """The events all reports count: an object with a timestamp other than an empty
+    text, zero, false or null."""
     return parsed.where(F.col("line_status").isin(*C.ADMITTED))
 
 

@@ -9,7 +9,7 @@ into thirty hours to make one-hour windows dense.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from decoylog import constants as C
@@ -89,6 +89,7 @@ def _mapped(events: DataFrame) -> DataFrame:
         ).alias("url"),
         every("concat('event ', event_id)").alias("message"),
         F.lit("ssh").alias("protocol"),
+        "event_id",
     ).withColumns(
         {
             "file_name": F.when(
@@ -97,7 +98,13 @@ def _mapped(events: DataFrame) -> DataFrame:
             "timestamp": F.when(
                 F.col("line_status") == C.OK,
                 F.date_format(F.timestamp_micros("ts_us"), ISO_MICROS),
-            ).when(F.col("line_status") == C.BAD_TIMESTAMP, "not-a-date"),
+            ).when(
+                F.col("line_status") == C.BAD_TIMESTAMP,
+                every(
+                    """element_at(array('not-a-date', '20240101', '{}', '[1]'),
+                    cast(event_id % 4 as int) + 1)"""
+                ),
+            ),
         }
     )
 
@@ -105,9 +112,38 @@ def _mapped(events: DataFrame) -> DataFrame:
 def sample_lines(events: DataFrame) -> DataFrame:
     """One raw line (``value``, ``file_name``) per row of the table."""
     document = F.to_json(F.struct(*JSON_FIELDS))
+    # Rejects and odd times come in several forms, by the event's number.
+    number = F.col("event_id")
+
+    def one_of(*forms: Column) -> Column:
+        return F.element_at(F.array(*forms), (number % len(forms) + 1).cast("int"))
+
+    def timed(json: str) -> Column:
+        rest = F.to_json(F.struct(*[f for f in JSON_FIELDS if f != "timestamp"]))
+        return F.concat(F.lit('{"timestamp":' + json + ","), F.substr(rest, F.lit(2)))
+
     value = (
-        F.when(F.col("line_status") == C.BLANK, "")
-        .when(F.col("line_status") == C.MALFORMED, "{bad")
+        F.when(F.col("line_status") == C.BLANK, one_of(F.lit(""), F.lit(" \t"), F.lit("\u00a0")))
+        .when(
+            F.col("line_status") == C.MALFORMED,
+            one_of(
+                F.lit("{bad"),
+                F.lit('{"timestamp":"2024-01-01T00:00:00Z"}],"}'),
+                F.lit('{"timestamp":"2024-01-01T00:00:00Z"}],[{}'),
+                F.lit('{"timestamp":"2024-01-01T00:00:00Z"} x'),
+                F.lit("null"),
+            ),
+        )
+        .when(
+            F.col("line_status") == C.NO_TIMESTAMP,
+            one_of(document, timed("false"), timed("0"), timed('""'), timed("null")),
+        )
+        .when(
+            F.col("line_status") == C.BAD_TIMESTAMP,
+            one_of(document, document, timed("{}"), timed("[1]")),
+        )
+        # Of equal keys the last one counts.
+        .when(number % 7 == 0, F.concat(F.lit('{"timestamp":"x",'), F.substr(document, F.lit(2))))
         .otherwise(document)
     )
     return with_file_info(_mapped(events).select(value.alias("value"), "file_name"))

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from decoylog import constants as C
-from decoylog.session import run_dir, use_utc
+from decoylog.session import use_utc
 from decoylog.sources.parse import admitted, parse_lines, rejects
 
 PARTITIONS = ("line_status", "event_date")
@@ -31,6 +31,9 @@ def to_stored(lines: DataFrame) -> DataFrame:
 def write_events(lines: DataFrame, path: str, mode: str = "append") -> None:
     """Parse lines and add them to the table at ``path``.
 
+    Appending does not look at what is there.  A job that may be repeated gives
+    the days it covers anew with :func:`replace_days`.
+
     There is no shuffle: input splits already hold few days each, and moving a
     whole day to one task would make the busiest day the slowest task.  Rows
     are sorted within each task so that parquet row groups hold few event codes
@@ -45,20 +48,39 @@ def write_events(lines: DataFrame, path: str, mode: str = "append") -> None:
     )
 
 
+def replace_days(lines: DataFrame, path: str) -> None:
+    """Parse lines and put them in the place of the days (and rejects) they belong to.
+
+    Running it again with the same lines changes nothing.
+    """
+    (
+        to_stored(lines)
+        .sortWithinPartitions(*PARTITIONS, "eventid", "ts")
+        .write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic")
+        .partitionBy(*PARTITIONS)
+        .parquet(path)
+    )
+
+
 def read_events(spark: SparkSession, path: str) -> DataFrame:
     return admitted(use_utc(spark).read.parquet(path)).drop("value")
 
 
-def stage_events(lines: DataFrame) -> DataFrame:
-    """Events of ``lines`` by way of a new table in the shared work folder.
+def with_live_lines(stored: DataFrame, live: DataFrame) -> DataFrame:
+    """Stored events of rotated files and the events of the live file, read now."""
+    return stored.unionByName(admitted(to_stored(live)).drop("value"), allowMissingColumns=True)
+
+
+def stage_events(lines: DataFrame, path: str) -> DataFrame:
+    """Events of ``lines`` by way of a new table at ``path``, which is the caller's.
 
     For reports straight from raw files: the lines are parsed once instead of
-    once per part, and a lost executor costs a re-read and not a re-parse.
+    once per part, and a lost executor costs a re-read and not a re-parse.  The
+    table is written at once.
     """
-    spark = lines.sparkSession
-    path = run_dir(spark, "events")
-    write_events(lines, path)
-    return read_events(spark, path)
+    write_events(lines, path, "overwrite")
+    return read_events(lines.sparkSession, path)
 
 
 def read_rejects(spark: SparkSession, path: str) -> DataFrame:

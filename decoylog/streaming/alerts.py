@@ -11,9 +11,11 @@ from pyspark.sql.streaming import StreamingQuery
 from decoylog import constants as C
 from decoylog.functions.times import interval_text, millis
 from decoylog.operators.detect import (
+    attempt_counts,
     detections,
     first_windows,
     slot_of,
+    slots_of,
     timed_attempts,
     windows_over,
 )
@@ -35,7 +37,7 @@ def start_detection_alerts(
         path,
         checkpoint,
         processing_time=processing_time,
-        finish=lambda batch: with_location(batch, geo),
+        finish=lambda batch: with_location(batch, geo, each_row=True),
     )
 
 
@@ -89,6 +91,36 @@ def start_brute_force_alerts(
     )
 
 
+def start_attempt_counts(
+    events: DataFrame, path: str, checkpoint: str, processing_time: str | None = None
+) -> StreamingQuery:
+    """Failures per (address, millisecond) of each micro-batch, for exact results.
+
+    There is no state and no watermark: counts of the same millisecond from
+    several batches add up when they are read, however late they come.
+    """
+    return start_batched(
+        timed_attempts(events).select("src_ip", "ts_ms", "eventid"),
+        path,
+        checkpoint,
+        processing_time=processing_time,
+        finish=attempt_counts,
+    )
+
+
+def brute_force_so_far(
+    counts: DataFrame,
+    geo: DataFrame | None = None,
+    threshold: int = C.BRUTE_FORCE_THRESHOLD,
+    window: timedelta = C.BRUTE_FORCE_WINDOW,
+) -> DataFrame:
+    """What the batch operator gives for all attempts counted so far."""
+    whole = counts.groupBy("src_ip", "ts_ms").agg(F.sum("failed").alias("failed"))
+    window_ms = millis(window)
+    windows = windows_over(slots_of(whole, window_ms), threshold, window_ms)
+    return with_location(first_windows(windows, window_ms), geo, each_row=True)
+
+
 def first_alerts(
     alerts: DataFrame, geo: DataFrame | None = None, window: timedelta = C.BRUTE_FORCE_WINDOW
 ) -> DataFrame:

@@ -28,6 +28,16 @@ def closed_sessions(
     return session_counts(events.withWatermark("ts", interval_text(delay)), interval)
 
 
+def running_sessions(
+    events: DataFrame, interval: timedelta = timedelta(hours=1)
+) -> DataFrame:
+    """Sessions per interval so far, open ones included (update mode).
+
+    Nothing is left out as late; the state is one row per interval with sessions.
+    """
+    return session_counts(events.where(F.col("ts").isNotNull()), interval)
+
+
 def running_type_counts(events: DataFrame) -> DataFrame:
     """Events per display name so far (update or complete mode).
 

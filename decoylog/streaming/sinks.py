@@ -26,20 +26,12 @@ def start_batched(
 ) -> StreamingQuery:
     """Write each micro-batch to ``path/batch_id=N``, replacing a replayed one.
 
-    ``finish`` may apply batch-only operators (such as the geo lookup); it may
-    read the batch more than once, so the batch is kept while it is written.
+    ``finish`` may apply batch-only operators, such as the geo lookup.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        target = f"{path}/batch_id={batch_id}"
-        if finish is None:
-            batch.write.mode("overwrite").parquet(target)
-            return
-        batch.persist()
-        try:
-            finish(batch).write.mode("overwrite").parquet(target)
-        finally:
-            batch.unpersist()
+        done = finish(batch) if finish else batch
+        done.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
 
     writer = (
         stream.writeStream.outputMode(output_mode)
@@ -49,6 +41,65 @@ def start_batched(
     return trigger(writer, processing_time).start()
 
 
+def _batch_ids(spark: SparkSession, path: str) -> list[int]:
+    """Numbers of the complete batches below ``path``: one per micro-batch kept."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(folder):
+        return []
+    found = [(status.getPath().getName(), status.getPath()) for status in files.listStatus(folder)]
+    success = spark._jvm.org.apache.hadoop.fs.Path
+    return sorted(
+        int(name.removeprefix("batch_id="))
+        for name, place in found
+        if name.startswith("batch_id=") and files.exists(success(place, "_SUCCESS"))
+    )
+
+
+def start_snapshots(
+    stream: DataFrame,
+    path: str,
+    checkpoint: str,
+    keys: list[str],
+    processing_time: str | None = None,
+) -> StreamingQuery:
+    """Keep the newest row of each key of an ``update`` mode stream.
+
+    Every micro-batch is merged with the snapshot before it into a new one, and
+    those older than that are deleted: two are on disk however long it runs.  The
+    one before stays, since a replayed batch merges with it again.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        older = [n for n in _batch_ids(spark, path) if n < batch_id]
+        rows = batch.withColumn("newer", F.lit(1))
+        if older:
+            before = spark.read.schema(batch.schema).parquet(f"{path}/batch_id={older[-1]}")
+            rows = before.withColumn("newer", F.lit(0)).unionByName(rows)
+        values = [c for c in batch.columns if c not in keys]
+        merged = rows.groupBy(*keys).agg(*[F.max_by(c, "newer").alias(c) for c in values])
+        merged.select(*batch.columns).write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+        for number in older[:-1]:
+            folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/batch_id={number}")
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+    writer = (
+        stream.writeStream.outputMode("update")
+        .foreachBatch(write)
+        .option("checkpointLocation", checkpoint)
+    )
+    return trigger(writer, processing_time).start()
+
+
+def read_snapshot(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """The newest snapshot; no rows before the first one."""
+    ids = _batch_ids(spark, path)
+    if not ids:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(f"{path}/batch_id={ids[-1]}")
+
+
 def read_batched(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """All rows written so far, with their ``batch_id``."""
     with_id = T.StructType([*schema.fields, T.StructField("batch_id", T.LongType())])

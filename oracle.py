@@ -1,14 +1,34 @@
 """The registered queries once more, as SQL for DuckDB.
 
 ``LOG`` rebuilds the log lines and events of ``decoylog.sources.sample`` from
-the ``events`` table; every statement starts with it.
+the ``events`` table; every statement starts with it.  Names, patterns and
+keywords are written out here, so a wrong value in the package shows.
 """
 
-from decoylog import constants as C
-
-_WS = "||".join(f"chr({ord(c)})" for c in C.WHITESPACE)
-_REQUEST = C.REQUEST_PATTERN.replace("'", "''")
-_HOST = C.HOST_PATTERN.replace("'", "''")
+# --- Fixed values, stated independently of the package ----------------------
+EVENT_NAMES = {
+    "cowrie.login.success": "Successful Login",
+    "cowrie.login.failed": "Failed Login",
+    "cowrie.session.connect": "Session Connected",
+    "cowrie.session.closed": "Session Closed",
+    "cowrie.command.input": "Command Executed",
+    "cowrie.session.file_download": "File Downloaded",
+    "cowrie.session.file_upload": "File Uploaded",
+    "cowrie.client.version": "SSH Client Version",
+    "cowrie.client.kex": "SSH Key Exchange",
+    "cowrie.direct-tcpip.request": "TCP Tunnel Request",
+    "cowrie.direct-tcpip.data": "TCP Tunnel Data",
+}
+MALWARE_URL_PARTS = (".exe", ".sh", ".py")
+ESCALATION_KEYWORDS = ("sudo", "su", "chmod +s", "passwd")
+RECON_KEYWORDS = ("whoami", "uname", "ps", "netstat", "ifconfig", "ls /etc")
+# Code points of white space.
+_WHITE = [9, 10, 11, 12, 13, 32, 160, 5760, *range(8192, 8203), 8232, 8233, 8239, 8287, 12288, 65279]
+
+_WS = "||".join(f"chr({point})" for point in _WHITE)
+# The sample's requests hold ASCII blanks only.
+_REQUEST = r"(?i)(?:GET|POST)\s+(\S+)\s+HTTP"
+_HOST = r"(?i)Host:\s*([^\r\n\\]+)"
 _ISO = "'%Y-%m-%dT%H:%M:%S.%fZ'"
 
 
@@ -28,7 +48,8 @@ _TEXT_FIELDS = [
     "timestamp", "eventid", "session", "src_ip", "src_port", "dst_ip", "dst_port", "username",
     "password", "input", "data", "url", "message", "protocol",
 ]
-_DOCUMENT = "'{' || concat_ws(',', " + ", ".join(_text(f) for f in _TEXT_FIELDS) + ") || '}'"
+_FIELDS = ["'\"timestamp\":' || time_json", *(_text(f) for f in _TEXT_FIELDS[1:])]
+_DOCUMENT = "'{' || concat_ws(',', " + ", ".join(_FIELDS) + ") || '}'"
 
 LOG = f"""
 WITH mapped AS (
@@ -39,11 +60,24 @@ WITH mapped AS (
       ELSE 'ok' END AS line_status
   FROM events
 ), log_rows AS (
-  SELECT ts_us, line_status,
+  SELECT event_id, ts_us, line_status,
     CASE WHEN ts_us < 1704153600000000 THEN 'archive/cowrie.json.2024-01-01'
       ELSE 'live/cowrie.json' END AS file_name,
     CASE line_status WHEN 'ok' THEN strftime(make_timestamp(ts_us), {_ISO})
-      WHEN 'bad_timestamp' THEN 'not-a-date' END AS timestamp,
+      WHEN 'bad_timestamp' THEN
+        CASE event_id % 4 WHEN 0 THEN 'not-a-date' WHEN 1 THEN '20240101' WHEN 2 THEN '{{}}'
+          ELSE '[1]' END
+      WHEN 'no_timestamp' THEN
+        CASE event_id % 5 WHEN 1 THEN 'false' WHEN 2 THEN '0' WHEN 3 THEN '' END
+      END AS timestamp,
+    CASE line_status WHEN 'ok' THEN '"' || strftime(make_timestamp(ts_us), {_ISO}) || '"'
+      WHEN 'bad_timestamp' THEN
+        CASE event_id % 4 WHEN 0 THEN '"not-a-date"' WHEN 1 THEN '"20240101"' WHEN 2 THEN '{{}}'
+          ELSE '[1]' END
+      WHEN 'no_timestamp' THEN
+        CASE event_id % 5 WHEN 1 THEN 'false' WHEN 2 THEN '0' WHEN 3 THEN '""'
+          WHEN 4 THEN 'null' END
+      END AS time_json,
     CASE WHEN line_status = 'ok' THEN make_timestamp(ts_us) END AS ts,
     CASE WHEN line_status = 'ok' THEN ts_us // 1000 END AS ts_ms,
     CASE WHEN event_id % 97 = 0 THEN NULL
@@ -84,7 +118,14 @@ WITH mapped AS (
     'event ' || event_id AS message, 'ssh' AS protocol
   FROM mapped
 ), log_lines AS (
-  SELECT *, CASE line_status WHEN 'blank' THEN '' WHEN 'malformed' THEN '{{bad'
+  SELECT *, CASE line_status
+    WHEN 'blank' THEN CASE event_id % 3 WHEN 0 THEN '' WHEN 1 THEN ' ' || chr(9) ELSE chr(160) END
+    WHEN 'malformed' THEN CASE event_id % 5 WHEN 0 THEN '{{bad'
+      WHEN 1 THEN '{{"timestamp":"2024-01-01T00:00:00Z"}}],"}}'
+      WHEN 2 THEN '{{"timestamp":"2024-01-01T00:00:00Z"}}],[{{}}'
+      WHEN 3 THEN '{{"timestamp":"2024-01-01T00:00:00Z"}} x' ELSE 'null' END
+    WHEN 'ok' THEN CASE WHEN event_id % 7 = 0 THEN '{{"timestamp":"x",' || substr({_DOCUMENT}, 2)
+      ELSE {_DOCUMENT} END
     ELSE {_DOCUMENT} END AS value
   FROM log_rows
 ), log_events AS (
@@ -94,7 +135,7 @@ WITH mapped AS (
     (3325256704, 3325256831, 'BB', 'B1', 'Beta'),
     (3405803776, 3405804031, 'CC', NULL, NULL)) t(lo, hi, country, region, city)
 ), names(eventid, event_name) AS (
-  VALUES {", ".join(f"('{k}', '{v}')" for k, v in C.EVENT_NAMES.items())}
+  VALUES {", ".join(f"('{k}', '{v}')" for k, v in EVENT_NAMES.items())}
 ), logins AS (
   SELECT *, coalesce(nullif(username, ''), 'unknown') || ':'
     || coalesce(nullif(password, ''), 'unknown') AS credential,
@@ -114,14 +155,14 @@ WITH mapped AS (
 ), command_counts AS (
   SELECT command, count(*) AS n FROM commands GROUP BY command
 ), detections AS (
-  SELECT 'malware_download' AS pattern, src_ip, ip_number, ts, url AS detail FROM log_events
-  WHERE eventid = 'cowrie.session.file_download' AND {_any("url", C.MALWARE_URL_PARTS)}
+  SELECT 'malware_download' AS pattern, src_ip, ip_number, ts, timestamp, url AS detail FROM log_events
+  WHERE eventid = 'cowrie.session.file_download' AND {_any("url", MALWARE_URL_PARTS)}
   UNION ALL
-  SELECT 'privilege_escalation', src_ip, ip_number, ts, input FROM log_events
-  WHERE eventid = 'cowrie.command.input' AND {_any("lower(input)", C.ESCALATION_KEYWORDS)}
+  SELECT 'privilege_escalation', src_ip, ip_number, ts, timestamp, input FROM log_events
+  WHERE eventid = 'cowrie.command.input' AND {_any("lower(input)", ESCALATION_KEYWORDS)}
   UNION ALL
-  SELECT 'recon_command', src_ip, ip_number, ts, input FROM log_events
-  WHERE eventid = 'cowrie.command.input' AND {_any("lower(input)", C.RECON_KEYWORDS)}
+  SELECT 'recon_command', src_ip, ip_number, ts, timestamp, input FROM log_events
+  WHERE eventid = 'cowrie.command.input' AND {_any("lower(input)", RECON_KEYWORDS)}
 )
 """
 
@@ -175,6 +216,12 @@ def _within(hours):
     AND ts <= TIMESTAMP '2024-01-02 06:00:00'"""
 
 
+#: The events at their own times, which cover thirty days; as of 2024-02-05.
+_SPREAD = """SELECT count(*) AS events, min(event_id) AS first_id, max(event_id) AS last_id
+  FROM events WHERE ts > TIMESTAMP '2024-02-05' - INTERVAL {hours} HOUR
+    AND ts <= TIMESTAMP '2024-02-05'"""
+
+
 def _top_values(column):
     return f"""SELECT {column}, count(*) AS count FROM logins
   WHERE {column} IS NOT NULL AND {column} <> ''
@@ -211,6 +258,19 @@ def _located(pattern, detail):
   FROM detections {_GEO_JOIN} WHERE pattern = '{pattern}'"""
 
 
+#: The days of the events table as files below a root, the last one the live file.
+_DAY = "CAST(CAST(ts AS DATE) AS VARCHAR)"
+_STORED_FILES = f"""SELECT 'archive/cowrie.json.' || {_DAY} AS short_name, 'archive' AS layout,
+    {_DAY} AS log_date, {_DAY} AS day FROM log_rows WHERE line_status = 'ok'
+  UNION ALL SELECT 'live/cowrie.json', 'live', NULL, 'live' FROM log_rows
+  WHERE line_status IN ('no_timestamp', 'malformed')"""
+
+
+def _stored_files(condition):
+    return f"""SELECT short_name, layout, log_date, count(*) AS lines
+  FROM ({_STORED_FILES}) t WHERE {condition} GROUP BY ALL"""
+
+
 def _files(condition):
     return f"""SELECT file_name, count(*) AS lines FROM log_lines
   WHERE {condition} GROUP BY file_name"""
@@ -229,8 +289,11 @@ _SUMMARY = f"""SELECT o.*, l.*,
   (SELECT count(*) FROM detections WHERE pattern = 'malware_download') AS malware_downloads,
   (SELECT count(*) FROM detections WHERE pattern = 'privilege_escalation') AS privilege_escalations,
   (SELECT count(*) FROM detections WHERE pattern = 'recon_command') AS recon_commands,
-  {_folded(f"SELECT src_ip, n AS count FROM ({_TOP_IPS}) x ORDER BY n DESC, src_ip LIMIT 20",
-           ["src_ip", "count"], "count DESC, src_ip", "top_source_ips")},
+  {_folded(f"""SELECT src_ip, n AS count, strftime(first_ts, {_ISO}) AS first_seen,
+             strftime(last_ts, {_ISO}) AS last_seen, g.country, g.city
+             FROM (SELECT * FROM ({_TOP_IPS}) x ORDER BY n DESC, src_ip LIMIT 20) y {_GEO_JOIN}""",
+           ["src_ip", "count", "first_seen", "last_seen", "country", "city"],
+           "count DESC, src_ip", "top_source_ips")},
   {_folded(f"{_TOP_CREDENTIALS} LIMIT 20",
            ["credential", "attempts", "successful", "unique_ips"],
            "attempts DESC, credential", "top_credentials")},
@@ -243,9 +306,24 @@ _SUMMARY = f"""SELECT o.*, l.*,
            ["command", "count", "full_command"], "count DESC, full_command", "top_commands")}
   FROM ({_OVERVIEW}) o, ({_LOGINS}) l"""
 
-_LOGIN_WATERMARK = "(SELECT max(ts_ms) - 7200000 FROM logins WHERE src_ip IS NOT NULL)"
-_SESSION_WATERMARK = """(SELECT max(ts_ms) - 7200000 FROM log_events
-  WHERE eventid IN ('cowrie.session.connect', 'cowrie.session.closed'))"""
+def _part(name, rows):
+    return f"SELECT '{name}' AS part, count(*) AS rows FROM ({rows}) t"
+
+
+_DASHBOARD = " UNION ALL ".join(
+    _part(name, rows)
+    for name, rows in {
+        "overview": "SELECT 1",
+        "login_summary": "SELECT 1",
+        "top_attackers": f"SELECT * FROM ({_TOP_IPS}) x LIMIT 3",
+        "brute_force": "SELECT * FROM brute LIMIT 3",
+        "countries": "SELECT DISTINCT country FROM log_events JOIN geo ON ip_number BETWEEN lo AND hi",
+        "credentials": f"SELECT * FROM ({_TOP_CREDENTIALS}) x LIMIT 12",
+        "commands": "SELECT * FROM command_counts LIMIT 12",
+        "command_summary": "SELECT 1",
+        "recent_logs": "SELECT * FROM log_events LIMIT 100",
+    }.items()
+)
 
 #: Queries on the log.
 ON_LOG = {
@@ -261,7 +339,7 @@ ON_LOG = {
     "top_credentials": f"{_TOP_CREDENTIALS} LIMIT 20",
     "top_usernames": _top_values("username"),
     "top_passwords": _top_values("password"),
-    "credential_cards": f"""SELECT row_number() OVER (ORDER BY attempts DESC, credential) AS rank,
+    "credential_cards": f"""SELECT row_number() OVER (ORDER BY attempts DESC, credential) AS rank, credential,
       coalesce(nullif(split_part(credential, ':', 1), ''), 'unknown') AS username,
       coalesce(nullif(split_part(credential, ':', 2), ''), 'unknown') AS password,
       attempts, successful, unique_ips FROM ({_TOP_CREDENTIALS} LIMIT 12) t""",
@@ -270,7 +348,7 @@ ON_LOG = {
     "top_commands": f"""SELECT {_SHORT} AS command, n AS count, command AS full_command
       FROM command_counts ORDER BY n DESC, full_command LIMIT 20""",
     "command_cards": f"""SELECT row_number() OVER (ORDER BY n DESC, c.command) AS rank,
-      {_SHORT} AS command, n AS count,
+      {_SHORT} AS command, c.command AS full_command, n AS count,
       round(n / greatest((SELECT sum(n) FROM command_counts), 1) * 100, 1) AS frequency
       FROM command_counts c ORDER BY rank LIMIT 12""",
     "http_requests": f"SELECT src_ip, session, {_TS} AS time, request FROM requests",
@@ -283,10 +361,10 @@ ON_LOG = {
     "privilege_escalation": _located("privilege_escalation", "command"),
     "recon_commands": _located("recon_command", "command"),
     "attack_patterns": _BRUTE + f""", patterns AS (
-      SELECT pattern, src_ip, ip_number, ts, detail FROM detections UNION ALL
-      SELECT 'brute_force', src_ip, ip_number, make_timestamp(start_ms * 1000),
+      SELECT pattern, src_ip, ip_number, ts, timestamp, detail FROM detections UNION ALL
+      SELECT 'brute_force', src_ip, ip_number, make_timestamp(start_ms * 1000), NULL,
         CAST(failed_attempts AS VARCHAR) FROM brute)
-      SELECT pattern, src_ip, {_TS} AS time, detail, g.country, g.city
+      SELECT pattern, src_ip, {_TS} AS time, timestamp, detail, g.country, g.city
       FROM patterns {_GEO_JOIN}""",
     "recent_logs": f"""SELECT message, session, eventid, src_ip, {_TS} AS time
       FROM (SELECT * FROM log_rows WHERE line_status NOT IN ('blank', 'malformed')) t
@@ -301,9 +379,19 @@ ON_LOG = {
     "time_range_1h": _within(1),
     "time_range_24h": _within(24),
     "time_range_7d": _within(168),
+    "time_range_30d": _within(720),
+    "time_range_unknown": _within(24),
+    "time_range_spread_7d": _SPREAD.format(hours=168),
+    "time_range_spread_30d": _SPREAD.format(hours=720),
     "time_range_all": f"SELECT message, session, {_TS} AS time FROM log_events",
+    # As of day two, one day back is that day itself: the live file only.
     "select_log_files_1h": _files("file_name = 'live/cowrie.json'"),
-    "select_log_files_7d": _files("true"),
+    **{f"select_log_files_{preset}": _files("true") for preset in ("7d", "30d", "all")},
+    "select_log_files_unknown": _files("file_name = 'live/cowrie.json'"),
+    "read_preset": _stored_files("day = '2024-01-02' OR day = 'live'"),
+    "read_preset_all": _stored_files("true"),
+    "list_log_files": f"""SELECT DISTINCT short_name, layout, log_date
+      FROM ({_STORED_FILES}) t""",
     "parse_lines": f"""SELECT file_name, line_status, CASE WHEN line_status IN ('blank',
       'malformed') THEN NULL ELSE timestamp END AS timestamp, {_TS} AS time, ts_ms,
       {", ".join(f"CASE WHEN line_status NOT IN ('blank', 'malformed') THEN {f} END AS {f}"
@@ -312,6 +400,7 @@ ON_LOG = {
       {", ".join(f for f in _TEXT_FIELDS if f != "timestamp")} FROM log_events""",
     "read_log_lines": """SELECT line_status,
       CASE WHEN line_status NOT IN ('blank', 'malformed') THEN eventid END AS eventid,
+      'other' AS layout, CAST(NULL AS VARCHAR) AS log_date, true AS named,
       count(*) AS lines FROM log_lines GROUP BY 1, 2""",
     "stored_events": """SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS event_date, line_status,
       count(*) AS events, count(DISTINCT eventid) AS codes FROM log_events GROUP BY 1, 2""",
@@ -330,7 +419,7 @@ ON_LOG = {
       count(*) FILTER (line_status = 'no_timestamp') AS no_timestamp,
       count(*) FILTER (line_status = 'bad_timestamp') AS bad_timestamp,
       count(*) FILTER (line_status IN ('ok', 'bad_timestamp')
-        AND eventid NOT IN ({_list(C.EVENT_NAMES)})) AS unknown_eventid,
+        AND eventid NOT IN ({_list(EVENT_NAMES)})) AS unknown_eventid,
       count(*) FILTER (line_status IN ('ok', 'bad_timestamp')
         AND eventid IS NULL) AS missing_eventid
       FROM log_rows GROUP BY file_name""",
@@ -343,6 +432,15 @@ ON_LOG = {
     "top_attackers": f"""SELECT src_ip, n AS count, {_LABEL} AS location_label
       FROM (SELECT * FROM ({_TOP_IPS}) x ORDER BY n DESC, src_ip LIMIT 3) t {_GEO_JOIN}""",
     "analytics_summary": _BRUTE + _SUMMARY,
+    "analytics_summary_empty": """SELECT CAST(0 AS BIGINT) AS total_events,
+      CAST(0 AS BIGINT) AS total_attempts, 0.0::DOUBLE AS success_rate,
+      CAST(0 AS BIGINT) AS unique_commands, CAST(0 AS BIGINT) AS brute_force_ips,
+      CAST(NULL AS VARCHAR) AS start, CAST(0 AS INTEGER) AS top_lists""",
+    "dashboard_report": _BRUTE + _DASHBOARD,
+    "written_report": _TYPES,
+    "log_table_zoned": _TABLE.replace(
+        "strftime(ts,", "strftime(timezone('Asia/Tokyo', timezone('UTC', ts)),"
+    ),
     "report_documents": f"""SELECT CAST(to_json({{'event_name': event_name, 'count': count}})
       AS VARCHAR) AS document FROM ({_TYPES}) t""",
     # Streams: what a run over all rows has given out when it ends.
@@ -354,30 +452,41 @@ ON_LOG = {
         CASE WHEN line_status <> 'malformed' THEN message END AS message,
         CASE WHEN line_status <> 'malformed' THEN src_ip END AS src_ip
         FROM log_lines WHERE line_status <> 'blank') t""",
-    "stream_sessions": f"""{_SESSIONS}
-      HAVING (ts_ms // 3600000 + 1) * 3600000 <= {_SESSION_WATERMARK}""",
+    "stream_sessions": _SESSIONS,
     "stream_type_counts": _TYPES,
     "stream_ip_counts": f"""SELECT src_ip, n AS count, strftime(first_ts, {_ISO}) AS first_seen,
       strftime(last_ts, {_ISO}) AS last_seen FROM ({_TOP_IPS}) x""",
-    "stream_detections": f"""SELECT pattern, src_ip, detail, {_TS} AS time, g.country, g.city
+    "stream_detections": f"""SELECT pattern, src_ip, detail, timestamp, {_TS} AS time, g.country, g.city
       FROM detections {_GEO_JOIN}""",
-    "stream_brute_force": _sliding(
-        3600000, 10, extra=f"AND (ts_ms // 3600000 + 2) * 3600000 <= {_LOGIN_WATERMARK}"
-    )
-    + _brute_rows(),
+    "stream_brute_force": _BRUTE + _brute_rows(),
 }
 
 IP_LOCATIONS = """
 WITH ranges AS (
   SELECT s_suppkey * 160001 AS lo, s_suppkey * 160001 + 80000 + s_suppkey * 7 % 80001 AS hi,
-    n_name AS country, r_name AS region, s_name AS city
+    n_name AS country, r_name AS region, s_name AS city, CAST(s_suppkey % 2 AS VARCHAR) AS eu,
+    'Etc/GMT+' || (s_suppkey % 12) AS timezone, s_suppkey / 2.0 AS lat, s_suppkey / 4.0 AS lon,
+    CAST(s_suppkey % 7 AS INTEGER) AS metro, CAST(s_suppkey % 50 AS INTEGER) AS area
   FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey
 ), addresses AS (
-  SELECT c_custkey, c_custkey * 104729 % 16777216 AS n FROM customer
+  SELECT c_custkey, c_custkey * 104729 % 16777216 AS n, c_custkey % 11 = 5 AS wide FROM customer
 )
-SELECT c_custkey, country, region, city FROM addresses LEFT JOIN ranges ON n BETWEEN lo AND hi
+SELECT c_custkey, CASE WHEN wide THEN 'WIDE' ELSE country END AS country, region, city, eu,
+  timezone, lat, lon, metro, area
+FROM addresses LEFT JOIN ranges ON n BETWEEN lo AND hi AND NOT wide
+"""
+
+GEO_PROBLEMS = """
+WITH r AS (SELECT s_suppkey AS id, s_suppkey * 1000 AS lo,
+    s_suppkey * 1000 + CASE WHEN s_suppkey % 13 = 0 THEN 1500 WHEN s_suppkey % 17 = 0 THEN -5
+      ELSE 999 END AS hi FROM supplier)
+SELECT lo, hi, 'reversed' AS problem FROM r WHERE lo > hi
+UNION ALL
+SELECT a.lo, a.hi, 'overlap' FROM r a
+WHERE a.lo <= a.hi AND EXISTS (SELECT 1 FROM r b
+  WHERE b.id <> a.id AND b.lo <= b.hi AND a.lo BETWEEN b.lo AND b.hi)
 """
 
 
 def oracle_sql():
-    return {**{name: LOG + sql for name, sql in ON_LOG.items()}, "ip_locations": IP_LOCATIONS}
+    return {**{name: LOG + sql for name, sql in ON_LOG.items()}, "ip_locations": IP_LOCATIONS, "geo_problems": GEO_PROBLEMS}

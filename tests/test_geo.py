@@ -3,7 +3,8 @@ import random
 
 from pyspark.sql import functions as F
 
-from decoylog import geographic_distribution, with_location, with_location_label
+from decoylog import geo_problems, geographic_distribution, with_location, with_location_label
+from decoylog.operators.geo import _filed
 from decoylog.sources.sample import sample_geo_ranges
 
 BLOCK = 1 << 16
@@ -157,3 +158,23 @@ def test_a_dominant_address_is_split(spark, plans):
                 spark.conf.unset(key)
             else:
                 spark.conf.set(key, value)
+
+
+def test_a_wide_range_is_a_few_rows(spark):
+    wide = [("2000::", "2fff:ffff:ffff:ffff:ffff:ffff:ffff:ffff", "W"), ("3000::1", "9::", "X")]
+    geo = spark.createDataFrame(wide, "lo string, hi string, country string")
+    assert _filed(geo).count() <= 16
+    found = countries(with_location(ips_of(spark, ["2abc::9", "3000::", "3::", "1.2.3.4"]), geo))
+    assert found == {"2abc::9": "W", "3000::": None, "3::": None, "1.2.3.4": None}
+
+
+def test_problems_are_reported(spark):
+    rows = [(0, 99), (50, 60), (200, 150), (300, 400), (400, 410), (500, 500), (500, 500), (-5, 3)]
+    geo = spark.createDataFrame(rows, "lo long, hi long")
+    found = sorted((r["lo"], r["hi"], r["problem"]) for r in geo_problems(geo).collect())
+    assert found == [
+        (-5, 3, "unreadable"), (50, 60, "overlap"), (200, 150, "reversed"),
+        (400, 410, "overlap"), (500, 500, "overlap"),
+    ]
+    texts = spark.createDataFrame([("1.1.1.1", "::5"), ("1.0.0.0", "1.0.0.9")], "lo string, hi string")
+    assert [r["problem"] for r in geo_problems(texts).collect()] == ["families"]

@@ -75,7 +75,9 @@ def test_dashboard(sample_500, geo_rows):
         *("time", "src_ip", "location", "eventid", "severity"),
         *("username", "password", "message"),
     ]
-    assert rows_of(parts["credentials"]) == [(1, "unknown", "unknown", 80, 0, 1)]
+    assert rows_of(parts["credentials"]) == [
+        (1, "unknown:unknown", "unknown", "unknown", 80, 0, 1)
+    ]
 
 
 def test_card_limits(events_of, geo_rows):
@@ -267,3 +269,20 @@ def test_plan_shapes(events_of, plans):
     events = events_of([{"src_ip": "a"}])
     for top in (dl.top_source_ips, dl.top_credentials, dl.top_commands, dl.recent_logs):
         assert "TakeOrderedAndProject" in plan(top(events))
+
+
+def test_summary_reads_the_events_five_times(spark, plans):
+    from decoylog.sources.sample import read_table, sample_events, sample_geo_ranges
+
+    events = sample_events(read_table(spark, "/root/testdata/sf0.001", "events"))
+    plan = plans[1](dl.analytics_summary(events, sample_geo_ranges(spark)))
+    plan = plan.split("== Initial Plan ==")[0]
+    assert plan.count("FileScan") <= 5, plan.count("FileScan")
+
+
+def test_patterns_compute_brute_force_once(spark, events_of, geo_rows, plans):
+    events = events_of([{"eventid": "cowrie.login.failed", "src_ip": "192.0.2.1"}] * 12)
+    plan = plans[1](dl.attack_patterns(events, geo_rows)).split("== Initial Plan ==")[0]
+    assert plan.count("Window [") <= 1
+    row = dl.attack_patterns(events, geo_rows).first()
+    assert (row["pattern"], row["detail"]) == ("brute_force", "12")
