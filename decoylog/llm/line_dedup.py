@@ -31,7 +31,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from decoylog.llm.common import NOT_WHITE, cut, let, text_key
+from decoylog.llm.common import NOT_WHITE, cut, let, release, text_key
 
 MIN_CHARS = 20
 CROWD = 64
@@ -325,6 +325,7 @@ def near_repeats(keyed: DataFrame, max_edits: int) -> DataFrame:
     )
     # A key with a single row, or with probes only, joins nothing.
     shared = cut(keys.join(crowds.where("rows > 1 AND indexed > 0"), "key"))
+    release(keyed.sparkSession)
     wanted = shared.groupBy(*LINE).agg(F.bool_or(F.col("rows") > CROWD).alias("crowded"))
     known = cut(_distinct(texts).join(wanted, list(LINE)))
 

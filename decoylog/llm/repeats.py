@@ -41,7 +41,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from decoylog.llm.common import cut, text_key
+from decoylog.llm.common import cut, release, text_key
 
 LEAST = 100
 ANCHOR = 32
@@ -244,6 +244,11 @@ def _merge(first: np.ndarray, last: np.ndarray) -> list[tuple[int, int]]:
 _RANGES = "array<struct<first: int, last: int>>"
 
 
+def _packed() -> Column:
+    """A segment is shorter than 2^20 bytes; see BLOCK."""
+    return F.shiftleft(F.col("first").cast("long"), 20) + (F.col("last") - F.col("first"))
+
+
 def _flagged(rows: DataFrame, kind: str) -> DataFrame:
     """Per document: the ranges of starts that repeat, and the segments still open."""
     by_anchor = Window.partitionBy("anchor")
@@ -265,17 +270,18 @@ def _flagged(rows: DataFrame, kind: str) -> DataFrame:
         ((F.col("low") != F.col("high")) & (F.col("nth") == 1)).alias("open"),
     ).where("repeat OR open")
     grouped = flagged.groupBy(*PLACE).agg(
-        F.collect_set(F.when(F.col("repeat"), F.struct("first", "last"))).alias("ranges"),
+        # First and length in one number: most rows of this exchange are ranges.
+        F.collect_list(F.when(F.col("repeat"), _packed())).alias("ranges"),
         F.collect_list(F.when(F.col("open"), F.struct("anchor", "crowded", "first", "last"))).alias("open"),
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lists = batch.column(2)
-            flat, ends = lists.flatten(), np.cumsum(
-                [0, *(len(x) for x in lists)]
-            )
-            first, last = (flat.field(i).to_numpy() for i in range(2))
+            ends = np.concatenate(([0], np.cumsum(pc.list_value_length(lists).to_numpy())))
+            flat = lists.flatten().to_numpy()
+            first = flat >> 20
+            last = first + (flat & _POSITION)
             merged = [
                 _merge(first[a:b], last[a:b]) if b > a else [] for a, b in zip(ends, ends[1:])
             ]
@@ -285,7 +291,7 @@ def _flagged(rows: DataFrame, kind: str) -> DataFrame:
                     batch.column(1),
                     pa.array(
                         [[{"first": f, "last": t} for f, t in m] for m in merged],
-                        type=batch.schema.field(2).type,
+                        type=pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())])),
                     ),
                     batch.column(3),
                 ],
@@ -449,6 +455,7 @@ def _prepared(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFra
     rows = docs.select("doc_id", text_key(text).alias("text_key"), text.alias("text"))
     texts = rows.select(*PLACE, "text", *_row_key("t"))
     flagged = cut(_flagged(_segment_rows(rows, kind), kind))
+    release(docs.sparkSession)
     total = flagged.agg(F.sum(F.size("open"))).first()[0] or 0
     parts = _open_parts(texts, flagged, kind)
     groups = _shard_groups(parts, max(1, -(-total // SHARD_SEGMENTS)), kind)
