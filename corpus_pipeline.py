@@ -6,13 +6,12 @@ A stage works on whatever columns the documents have besides doc_id and text.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
 from decoylog.llm import bpe, decontaminate, line_dedup, quality_rules, simhash
-from decoylog.llm.common import read_table, shared_folder
+from decoylog.llm.common import read_table
 from decoylog.llm.queries import MAX_EDITS, REACH, SHINGLE, WINDOW, vocabulary
+from decoylog.session import run_dir
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,9 +52,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages in turn, each stored below the shared folder."""
+    """All stages in turn, each stored below the shared folder until the session ends."""
     docs = read_table(spark, sf_dir, "documents")
-    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    folder = run_dir(spark, "pipeline")
     for number, (_, stage) in enumerate(STAGES):
         path = f"{folder}/{number}"
         stage(spark, docs, sf_dir).write.parquet(path)

@@ -8,6 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from decoylog.session import work_dir
+
 #: ASCII white space: space, tab, line feed, vertical tab, form feed, return.
 WHITE = " \t\n\x0b\x0c\r"
 WHITE_RUN = r"[\x20\x09-\x0D]+"
@@ -18,18 +20,11 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir``; below the warehouse where it is unset."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    warehouse = spark.conf.get("spark.sql.warehouse.dir")
-    return (folder or f"{warehouse.rstrip('/')}/_checkpoints").rstrip("/")
-
-
 def cut(df: DataFrame) -> DataFrame:
     """``df`` written to the shared checkpoint folder, its lineage ended there."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_folder(df.sparkSession))
+        context.setCheckpointDir(work_dir(df.sparkSession))
     return df.checkpoint()
 
 
@@ -59,11 +54,3 @@ def words_of(text: Column) -> Column:
 def text_key(text: Column) -> Column:
     """Tells apart the texts of rows that share a ``doc_id``."""
     return F.xxhash64(F.coalesce(text, F.lit("")), text.isNull())
-
-
-def same(left: DataFrame, right: DataFrame, *columns: str) -> Column:
-    """Equality of the columns in which a null equals a null."""
-    condition = F.lit(True)
-    for column in columns:
-        condition = condition & left[column].eqNullSafe(right[column])
-    return condition
