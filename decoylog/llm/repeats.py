@@ -46,7 +46,7 @@ from decoylog.llm.common import cut, release, text_key
 LEAST = 100
 ANCHOR = 32
 #: Different segments of one anchor that go into a suffix array together.
-CROWD = 2_048
+CROWD = 32_768
 #: Segments a shard is meant to hold.
 SHARD_SEGMENTS = 20_000
 #: Bytes of text whose anchors are found at a time.

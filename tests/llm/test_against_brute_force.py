@@ -181,7 +181,7 @@ def plain_repeats(rows):
     return out
 
 
-@pytest.mark.parametrize("crowd", [2048, 2])
+@pytest.mark.parametrize("crowd", [32_768, 2])
 def test_repeats(docs_of, words, monkeypatch, crowd):
     monkeypatch.setattr(repeats, "CROWD", crowd)
     source = random.Random(4)
