@@ -9,7 +9,7 @@ probabilities per class.  The posteriors are the training labels of a linear
 scorer over hashed words and word shapes, which then scores every document.
 
 All documents count in the estimation; the scorer is fitted on at most
-``TRAIN_ROWS`` of them (those of smallest text hash), a documented bound.
+``TRAIN_ROWS`` different texts (those of smallest hash), a documented bound.
 
 Defined results: a null or empty text, or one of white space only, has score 0
 and is not kept; repeated rows count as often as they come, and each has its
@@ -221,7 +221,7 @@ def fit_scorer(rows: list[tuple[np.ndarray, np.ndarray, float]]) -> np.ndarray:
 
 
 def _training_rows(docs: DataFrame, posterior: dict[str, float], most: int) -> list[tuple]:
-    """Places, weights and posterior of at most TRAIN_ROWS documents, by smallest hash."""
+    """Places, weights and posterior of at most TRAIN_ROWS different texts, by smallest hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict = {}
@@ -233,17 +233,19 @@ def _training_rows(docs: DataFrame, posterior: dict[str, float], most: int) -> l
                     pa.array([p for p, _ in made], type=pa.list_(pa.int32())),
                     pa.array([w for _, w in made], type=pa.list_(pa.float64())),
                     pa.array([r.votes() for r in readings], type=pa.string()),
+                    batch.column(1),
                 ],
-                names=["places", "weights", "pattern"],
+                names=["places", "weights", "pattern", "order"],
             )
 
-    chosen = docs.where(text_key(F.col("text")) <= most)
-    rows = _texts(chosen).mapInArrow(
-        run, "places array<int>, weights array<double>, pattern string"
+    keyed = docs.select("text", text_key(F.col("text")).alias("order"))
+    chosen = keyed.where(F.col("order") <= most).dropDuplicates(["order"])
+    rows = _texts(chosen, "order").mapInArrow(
+        run, "places array<int>, weights array<double>, pattern string, order bigint"
     )
     return [
         (np.array(r["places"], dtype=np.int64), np.array(r["weights"]), posterior[r["pattern"]])
-        for r in rows.limit(TRAIN_ROWS).toLocalIterator()
+        for r in rows.orderBy("order").limit(TRAIN_ROWS).toLocalIterator()
     ]
 
 
@@ -253,14 +255,14 @@ def classify(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
     table = patterns.groupBy("pattern").count().collect()
     names = sorted(row["pattern"] for row in table)
     by_name = {row["pattern"]: row["count"] for row in table}
-    total = sum(by_name.values())
+    different = patterns.select("order").distinct().count()
     posterior: dict[str, float] = {}
     weights = np.zeros((1 << FEATURE_BITS) + 1)
     if names:
         good, _, _ = estimate(names, np.array([by_name[n] for n in names], dtype=float))
         posterior = dict(zip(names, good.tolist()))
         # Hashes are evenly spread: those below this bound are TRAIN_ROWS or so.
-        share = min(1.0, 0.95 * TRAIN_ROWS / total)
+        share = min(1.0, 0.95 * TRAIN_ROWS / different)
         most = int(-(2**63) + share * (2**64 - 1))
         weights = fit_scorer(_training_rows(docs, posterior, min(most, 2**63 - 1)))
     shared = docs.sparkSession.sparkContext.broadcast((weights, posterior))
