@@ -38,9 +38,9 @@ from pyspark.sql import functions as F
 from decoylog.llm.common import cut
 
 ORDER = 4
-HASH_BITS = 22
+HASH_BITS = 20
 #: More languages than this cannot come from sound labels; the model refuses.
-MOST_LANGUAGES = 256
+MOST_LANGUAGES = 64
 #: Share of correctly labelled unseen documents above whose entropy a text is rejected.
 REJECT_ABOVE = 0.999
 UNKNOWN = "und"
