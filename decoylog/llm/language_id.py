@@ -22,7 +22,8 @@ of both folds.
 Defined results: a null text, or one without a letter, is ``und`` with score 0
 and is rejected; rows without a language are predicted but teach nothing;
 repeated rows count as often as they come; ties go to the language that sorts
-first; a table without any labelled row predicts ``und`` everywhere.
+first; a language that no unseen row was recognised in has the other languages'
+most lenient bound of rejection; a table without any labelled row predicts ``und`` everywhere.
 """
 
 from __future__ import annotations
@@ -390,7 +391,8 @@ def identify(docs: DataFrame, held_out: Column, unseen: Column) -> DataFrame:
     (a, b), bounds = calibrate(cut(scored)) if trial else ((0.0, 0.0), {})
     found = _scored(rows, fit(counts), "doc_id", "held_out")
     known = F.col("entropy").isNotNull()
-    bound = F.lit(None).cast("double")
+    # A language without calibrating documents has the most lenient bound there is.
+    bound = F.lit(float(max(bounds.values(), default=float("inf"))))
     for lang, most in bounds.items():
         bound = F.when(F.col("lang_pred") == lang, F.lit(float(most))).otherwise(bound)
     score = F.when(known, 1 / (1 + F.exp(-(F.lit(a) + F.lit(b) * F.col("margin"))))).otherwise(0.0)
