@@ -347,7 +347,8 @@ def _open_parts(texts: DataFrame, flagged: DataFrame, kind: str) -> DataFrame:
             )
 
     wanted = flagged.where(F.size("open") > 0).select(*PLACE, "open")
-    return _with_text(texts, wanted, "inner").select(*PLACE, "text", "open").mapInArrow(
+    rows = _with_text(texts, wanted, "inner")
+    return rows.select("doc_id", F.col("t2").alias("text_key"), "text", "open").mapInArrow(
         run,
         f"doc_id {kind}, text_key bigint, anchor bigint, crowded boolean, first int, part binary",
     )
@@ -453,7 +454,8 @@ def _prepared(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFra
     kind = docs.schema["doc_id"].dataType.simpleString()
     text = F.col("text").cast("string")
     rows = docs.select("doc_id", text_key(text).alias("text_key"), text.alias("text"))
-    texts = rows.select(*PLACE, "text", *_row_key("t"))
+    # Both uses need just these columns, so Spark sees one exchange in them.
+    texts = rows.select("doc_id", "text", *_row_key("t"))
     flagged = cut(_flagged(_segment_rows(rows, kind), kind))
     release(docs.sparkSession)
     total = flagged.agg(F.sum(F.size("open"))).first()[0] or 0
