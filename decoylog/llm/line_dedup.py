@@ -248,27 +248,31 @@ def _crowded(texts: DataFrame) -> DataFrame:
     Lines of one length that agree but for character j share the key of j; a line
     that is another one less a character shares that one's key.
     """
-    less = F.transform(
-        F.sequence(F.lit(1), F.char_length("line")),
-        lambda j: F.struct(
-            j.alias("j"),
-            F.concat(
-                F.substr(F.col("line"), F.lit(1), j - 1), F.substr(F.col("line"), j + 1)
-            ).alias("rest"),
-        ),
+    # Positions are dealt out first, so a row holds one shortened line at a time
+    # and hands on numbers only.
+    rest = F.concat(
+        F.substr(F.col("line"), F.lit(1), F.col("j") - 1), F.substr(F.col("line"), F.col("j") + 1)
+    )
+    each = texts.select(
+        "at", "line", F.explode(F.sequence(F.lit(1), F.char_length("line"))).alias("j")
+    ).select(
+        "at",
+        "j",
+        F.char_length("line").alias("n"),
+        F.xxhash64(F.lit("one"), rest).alias("rest"),
+        F.xxhash64(F.lit(7), rest).alias("rest2"),
     )
-    each = texts.select("at", "line", F.explode(less).alias("less"))
     same_size = each.select(
         "at",
         F.lit("same").alias("role"),
-        F.xxhash64(F.lit("same"), F.char_length("line"), "less.j", "less.rest").alias("key"),
-        F.xxhash64(F.lit(7), "less.rest").alias("key2"),
+        F.xxhash64(F.lit("same"), "n", "j", "rest").alias("key"),
+        F.col("rest2").alias("key2"),
     )
     longer = each.select(
         "at",
         F.lit("longer").alias("role"),
-        F.xxhash64(F.lit("one"), "less.rest").alias("key"),
-        F.xxhash64(F.lit(7), "less.rest").alias("key2"),
+        F.col("rest").alias("key"),
+        F.col("rest2").alias("key2"),
     )
     shorter = texts.select(
         "at",

@@ -5,7 +5,7 @@ import random
 
 import pytest
 
-from decoylog.llm import quality_rules
+from decoylog.llm import line_dedup, quality_rules
 
 
 def _lines(source, words, n, repeated):
@@ -41,3 +41,14 @@ def test_highest_value_of_a_share_is_beyond_the_cutoff(bad):
     # Ten per cent of symbols; all lines of ten words alike; the base rule's repeats.
     highest = {2: 10.0, 3: 9.0, 4: 49.0}[bad]
     assert (math.log1p(highest) / quality_rules.FLOORS[bad]) ** 2 > cutoff
+
+
+# --- op8: a crowded line is never held once per character ----------------------
+
+
+def test_crowded_lines_are_shortened_after_the_explode(spark, plans):
+    rows = [((1, 1, 0), "x" * 3000 + "a"), ((2, 2, 0), "x" * 3000 + "b"), ((3, 3, 0), "x" * 3000)]
+    schema = "at struct<doc_id: long, text_key: long, pos: int>, line string"
+    found = line_dedup._crowded(spark.createDataFrame(rows, schema))
+    assert "transform(" not in plans[0](found)
+    assert {r["at"].doc_id for r in found.distinct().collect()} == {2, 3}
