@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from decoylog.llm.license_texts import KNOWN
+from decoylog.llm.license_texts import KNOWN, WHOLE
 
 # Spellings that licence texts use for one another.
 EQUIVALENT = {
@@ -115,7 +115,10 @@ def scan(docs: DataFrame, known: DataFrame | None = None) -> DataFrame:
     The table of known digests is a few rows; a longer one is joined by whatever
     means Spark finds best, each document matching one row at most.
     """
-    known = known if known is not None else known_digests(docs.sparkSession)
+    if known is None:
+        spark = docs.sparkSession
+        whole = spark.createDataFrame(list(WHOLE.items()), "license_id string, license_digest string")
+        known = known_digests(spark).unionByName(whole)
     rows = with_digest(docs.select("doc_id", "text"), "digest")
     return rows.join(known, rows["digest"] == known["license_digest"], "left").select(
         "doc_id", "digest", "license_id"

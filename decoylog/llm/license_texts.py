@@ -129,3 +129,27 @@ KNOWN = {
     "MPL-2.0 (notice)": _MPL,
     "Zlib": _ZLIB,
 }
+
+#: Digests of the canonical forms of whole longer licences (``license_scan.with_digest``);
+#: "(terms)" is the text up to the end of its terms, without the appendix on its use.
+WHOLE = {
+    "Apache-2.0": "e7f60d659d13ab87d77f3ec7161a0b37fcadba00bca1ae9359f5c78ee5ccbac9",
+    "Apache-2.0 (terms)": "67b2cfda67ca97bcf37f8cf9ddc9cc915401f7c1d9e442adefe4e6db55b83ccb",
+    "CC0-1.0": "85023310c86fc0a23a4d4df83138b5bb6ed1fe67f7d202bf4ada1cbbbd4603ac",
+    "GFDL-1.2": "7e1243154282c1bc79aab9dde8543ca0dc7808b9b825a3cfb40058a474e5592f",
+    "GFDL-1.3": "1cb34c2aa4cd59b68095d69aafbac58a575e1dc66fb886d58889affee583b392",
+    "GPL-1.0": "6a989e9e3800b7bc5300e632e9306911e14a7f4e0fddaae76ec5fb86a5b72225",
+    "GPL-1.0 (terms)": "8649e3bbab1d552a05e410225fee7b9e1c8adc4774c7a91f780ec78a7649dd69",
+    "GPL-2.0": "852dfae4a45171f05a0954d9a132503513f97774e4fddc650064b0262b771170",
+    "GPL-2.0 (terms)": "9874e4266f010abb577451f2573e333f5b02d45418605edc887f8ab670d29020",
+    "GPL-3.0": "9e503558a0e7b087b4aa1a8a1a5bb26d53eb67f13185f34ba9287b50bf3836f6",
+    "GPL-3.0 (terms)": "842fccbaaaa15a4e6a2b744f7be5205435cc2d3cb8d13e79f46edbe79a3369e2",
+    "LGPL-2.0": "aef436a7f4191ac8b59ae18aa53a4bd9d10915f143ce22b420ef6d7a07d029ad",
+    "LGPL-2.0 (terms)": "8516ce142c8a6c4984aea0c29f68bb3b7c3e0ab4a1e0df66e9650cd5004d7ca1",
+    "LGPL-2.1": "73f8771023a7bd97f99604cee25be5ea96b506e8a15023953726f00bcf5e8cf9",
+    "LGPL-2.1 (terms)": "4c0e31071a3387f7e9a25974f05a970bc237220ca37b4f43dc9a1103959048aa",
+    "LGPL-3.0": "91b5d3e9e307d305f7c91670699dcefa38a95bc0127f171027869fadcae9f986",
+    "MPL-1.1": "2310bdec6e3c493fcf4e10b3eb0a9e1271da2198b169bc489c0f276295eee647",
+    "MPL-2.0": "bfe9951ed22e5ad9a4d9ec4866d915e6cc1eb1a24de92826e6537df388dce289",
+    "Unlicense": "788cc8843bf483eb3ea3b5f6c317b95502da6e7105963f7c57c872ceb263fd49",
+}

@@ -2,10 +2,11 @@
 
 import math
 import random
+from pathlib import Path
 
 import pytest
 
-from decoylog.llm import line_dedup, quality_rules
+from decoylog.llm import license_scan, line_dedup, quality_rules
 
 
 def _lines(source, words, n, repeated):
@@ -52,3 +53,21 @@ def test_crowded_lines_are_shortened_after_the_explode(spark, plans):
     found = line_dedup._crowded(spark.createDataFrame(rows, schema))
     assert "transform(" not in plans[0](found)
     assert {r["at"].doc_id for r in found.distinct().collect()} == {2, 3}
+
+
+# --- op9: longer licences as whole texts -----------------------------------------
+
+TEXTS = Path("/usr/share/common-licenses")
+
+
+@pytest.mark.skipif(not TEXTS.is_dir(), reason="no licence texts on this machine")
+def test_whole_longer_licences(docs_of):
+    files = {1: "Apache-2.0", 2: "GPL-2", 3: "GPL-3", 4: "LGPL-2.1", 5: "MPL-2.0", 6: "CC0-1.0"}
+    texts = {i: (TEXTS / name).read_text() for i, name in files.items()}
+    rows = [(i, text.replace("\n", "\r\n")) for i, text in texts.items()]
+    rows += [(7, texts[3] + " and more"), (8, texts[1].split("APPENDIX")[0])]
+    found = {r.doc_id: r.license_id for r in license_scan.scan(docs_of(rows)).collect()}
+    assert found == {
+        1: "Apache-2.0", 2: "GPL-2.0", 3: "GPL-3.0", 4: "LGPL-2.1", 5: "MPL-2.0", 6: "CC0-1.0",
+        7: None, 8: "Apache-2.0 (terms)",
+    }
