@@ -1,7 +1,7 @@
 """The operators that SQL can express, as DuckDB SQL over the same tables.
 
 Left out are those that it cannot: learned models (op1, op2), robust scatter
-(op10), byte-level codes (op6, op7) and similarity graphs over all pairs (op3).
+(op10), byte-level codes (op6, op7, op12) and the similarity graph of op3.
 """
 
 OP4 = r"""
@@ -76,4 +76,60 @@ SELECT t.doc_id, CAST(coalesce(len(string_split(t.text, chr(10))), 0) AS BIGINT)
 FROM documents t LEFT JOIN per p USING (doc_id)
 """
 
-SQL = {"op4_decontamination": OP4, "op8_line_dedup": OP8}
+OP11 = r"""
+WITH good AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+pairs AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM good a JOIN good b ON a.vec_id <> b.vec_id
+  WHERE list_cosine_similarity(a.v, b.v) >= 0.9),
+reach AS (
+  WITH RECURSIVE r(a, b) AS (
+    SELECT a, b FROM pairs UNION SELECT r.a, p.b FROM r JOIN pairs p ON r.b = p.a)
+  SELECT a, min(b) AS least FROM r GROUP BY a),
+n AS (SELECT a, count(*) AS n_links FROM pairs GROUP BY a)
+SELECT e.vec_id, coalesce(n.n_links, 0) AS n_links,
+       least(e.vec_id, coalesce(r.least, e.vec_id)) AS component_id,
+       e.vec_id = least(e.vec_id, coalesce(r.least, e.vec_id)) AS kept
+FROM embeddings e LEFT JOIN n ON n.a = e.vec_id LEFT JOIN reach r ON r.a = e.vec_id
+"""
+
+OP13 = r"""
+WITH t AS (
+  SELECT doc_id, coalesce(text, '') AS text,
+         regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS u,
+         sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h
+  FROM documents),
+h AS (
+  SELECT *, CAST(len(u) AS BIGINT) AS n,
+         CAST('0x' || h[1:8] AS BIGINT) AS h1, CAST('0x' || h[9:16] AS BIGINT) AS h2,
+         CAST('0x' || h[17:24] AS BIGINT) AS h3, CAST('0x' || h[25:32] AS BIGINT) AS h4
+  FROM t),
+f AS (
+  SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS lo, greatest(h1 % (n + 1), h2 % (n + 1)) AS hi,
+         CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>')
+                OR contains(text, '<M>') OR h3 % 100 >= 90 THEN 'plain'
+              WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form
+  FROM h),
+p AS (
+  SELECT *, array_to_string(u[1 : lo], '') AS pre, array_to_string(u[lo + 1 : hi], '') AS mid,
+         array_to_string(u[hi + 1 : n], '') AS suf
+  FROM f)
+SELECT doc_id, n, form,
+       CASE WHEN form <> 'plain' THEN CAST(length(pre) AS BIGINT) END AS prefix_chars,
+       CASE WHEN form <> 'plain' THEN CAST(length(mid) AS BIGINT) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN text
+              WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid
+              ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256,
+       sha256(text) AS restored_sha256
+FROM p
+"""
+
+SQL = {
+    "op4_decontamination": OP4,
+    "op8_line_dedup": OP8,
+    "op11_embedding_links": OP11,
+    "op13_fill_middle": OP13,
+}

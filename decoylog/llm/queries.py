@@ -5,12 +5,15 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from decoylog.llm import (
+    alignment,
     bpe,
     decontaminate,
+    embedding_links,
+    fill_middle,
     language_id,
     license_scan,
     line_dedup,
@@ -30,7 +33,9 @@ SHINGLE, REACH = 3, 2
 WINDOW = 10
 MAX_EDITS = 1
 VOCABULARY = "byte_bpe_50k.json"
+PIECES = "piece_bpe_32k.model"
 LIMIT = 512
+COSINE = 0.9
 #: Parts of the documents by checksum: one is held out, one calibrates.
 FOLDS, HELD_OUT, CALIBRATION = 4, 2, 3
 
@@ -100,6 +105,32 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_embedding_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_links.near_duplicates(read_table(spark, sf_dir, "embeddings"), COSINE)
+
+
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align_documents(
+        read_table(spark, sf_dir, "documents"),
+        vocabulary(),
+        public_tokenizers.path(PIECES),
+        keep_groups=False,
+    )
+
+
+def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = fill_middle.fill_in_middle(read_table(spark, sf_dir, "documents"))
+
+    def digest(text: Column) -> Column:
+        return F.sha2(text.cast("binary"), 256)
+
+    return found.select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars",
+        digest(F.col("output")).alias("output_sha256"),
+        digest(fill_middle.restored(F.col("output"), F.col("form"))).alias("restored_sha256"),
+    )
+
+
 def queries() -> dict[str, Query]:
     made = (
         op1_language_id,
@@ -112,6 +143,9 @@ def queries() -> dict[str, Query]:
         op8_line_dedup,
         op9_license_scan,
         op10_quality_rules,
+        op11_embedding_links,
+        op12_alignment,
+        op13_fill_middle,
     )
     return {query.__name__: query for query in made}
 

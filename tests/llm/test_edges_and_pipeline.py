@@ -5,18 +5,21 @@ import sys
 from collections import Counter
 from pathlib import Path
 
+import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[2]))
 
 import corpus_pipeline  # noqa: E402
-from decoylog.llm.queries import vocabulary  # noqa: E402
+from decoylog.llm.queries import PIECES, vocabulary  # noqa: E402
 from decoylog import llm  # noqa: E402
 from decoylog.llm import (  # noqa: E402
+    alignment,
     bpe,
     components,
     decontaminate,
+    fill_middle,
     language_id,
     license_scan,
     line_dedup,
@@ -50,10 +53,12 @@ def operators(items):
         "op8": line_dedup.line_report,
         "op9": license_scan.scan,
         "op10": quality_rules.judge,
+        "op12": lambda d: alignment.align_documents(d, path, public_tokenizers.path(PIECES)),
+        "op13": fill_middle.fill_in_middle,
     }
 
 
-NAMES = ["op1", "op2", "op3", "op4", "op5", "op6", "op7", "op8", "op9", "op10"]
+NAMES = ["op1", "op2", "op3", "op4", "op5", "op6", "op7", "op8", "op9", "op10", "op12", "op13"]
 
 
 @pytest.mark.parametrize("name", NAMES)
@@ -83,6 +88,10 @@ def test_edge_values(edges, items):
     assert by["op5"][6].n_removed > 90_000 and by["op5"][1].n_bytes == 0
     assert by["op6"][1].n_tokens == 0 == by["op7"][2].n_tokens
     assert by["op8"][1].n_lines == 0 and by["op8"][2].n_lines == 1 and by["op8"][5].n_removed == 1
+    assert (by["op12"][1].n_a, by["op12"][2].groups_sha256, by["op12"][1].groups) == (0, "", [])
+    assert by["op12"][None].n_links > 0 and by["op12"][6].n_a > 20_000
+    assert (by["op13"][1].n, by["op13"][2].form, by["op13"][1].prefix_chars) == (0, "plain", None)
+    assert by["op13"][6].n == 3_001 + 40_000
     assert by["op10"][6].n_words == 20_001 and by["op10"][6].base_failed
 
 
@@ -166,6 +175,6 @@ def test_sql(spark, name):
 
 def test_every_operator_is_registered():
     numbers = sorted(int(n[2:].split("_")[0]) for n in llm.queries())
-    assert numbers == list(range(1, 11))
+    assert numbers == list(range(1, 14))
     used = {f.__name__ for _, f in corpus_pipeline.STAGES}
     assert len(used) == 5
