@@ -2,9 +2,9 @@
 
 Both tokenizers encode a text; each token covers a range of its bytes.  The
 cumulative ends of both token lists are dictionaries from end to index.  The ends
-that both have, the intersection of the dictionaries' keys, are sorted and slice
-both id lists into groups.  Within a group no other ends agree, so its links (pairs
-of overlapping tokens) are found by walking both sides once.
+that both have, the sorted intersection of the dictionaries' keys, slice both id
+lists into groups.  Within a group no other ends agree, so its links (pairs of
+overlapping tokens) are found by walking both sides once.
 
 A pair of ids counts the documents that hold it linked.  Every task counts its own
 documents first, so the shuffle moves one row per pair and batch.  The counts go
@@ -22,13 +22,14 @@ from __future__ import annotations
 
 import hashlib
 import json
-from collections import Counter
-from collections.abc import Iterator
-from itertools import accumulate, count
+import re
+from collections.abc import Iterator, Sequence
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 import sentencepiece
+import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -38,32 +39,62 @@ from decoylog.session import run_dir
 
 #: Pairs whose counts are handed to every task.
 HOT = 1 << 17
-#: Characters encoded at a time, and documents given out at a time.
+#: Characters and documents given out at a time.
 BLOCK, OUT = 1 << 20, 512
+#: Groups a task remembers, by kind.
+REMEMBERED = 1 << 16
+# Fixed value: how this family of vocabularies cuts texts before merging.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Runs of white space from this length on are left to the library.
+WHITE_RUN = 4_096
+LONG_WHITE = re.compile(r"\s{%d}" % WHITE_RUN)
 
 
 class ByteLevel:
-    """A byte-level tokenizer (JSON of the tokenizers library); special texts are plain text."""
+    """A byte-level vocabulary (JSON of the tokenizers library); special texts are plain text.
+
+    Where merges are numbered in rank order and texts are cut by the usual pattern,
+    the vocabulary is read as ranks, which gives the same ids with less work.  The
+    rank coder cannot take very long runs of white space; the library itself can.
+    """
 
     def __init__(self, definition: str) -> None:
-        self.tokenizer = Tokenizer.from_str(definition)
-        self.tokenizer.encode_special_tokens = True
-        self.tokenizer.no_truncation()
-        self.tokenizer.no_padding()
-        alphabet = byte_alphabet()
+        self.definition = definition
+        self._library: Tokenizer | None = None
         data = json.loads(definition)
-        entries = data["model"]["vocab"] | {t["content"]: t["id"] for t in data["added_tokens"]}
-        self.bytes = [b""] * (max(entries.values()) + 1)
-        for entry, code in entries.items():
-            self.bytes[code] = (
-                bytes(alphabet[c] for c in entry)
-                if all(c in alphabet for c in entry)
-                else entry.encode()
+        alphabet = byte_alphabet()
+        vocabulary = data["model"]["vocab"]
+        special = {t["content"]: t["id"] for t in data["added_tokens"]}
+        self.bytes = [b""] * (max([*vocabulary.values(), *special.values()]) + 1)
+        for entry, code in (special | vocabulary).items():
+            plain = entry not in special and all(c in alphabet for c in entry)
+            self.bytes[code] = bytes(alphabet[c] for c in entry) if plain else entry.encode()
+        merges = [m.split(" ") if isinstance(m, str) else m for m in data["model"]["merges"]]
+        merged = [vocabulary[a + b] for a, b in merges]
+        cut = data["pre_tokenizer"] or {}
+        usual = cut.get("type") == "ByteLevel" and cut.get("use_regex") and not cut["add_prefix_space"]
+        ordered = all(a < b for a, b in zip(merged, merged[1:]))
+        self.ranks = None
+        if usual and ordered and not data["normalizer"]:
+            ranks = {self.bytes[code]: code for e, code in vocabulary.items() if e not in special}
+            self.ranks = tiktoken.Encoding(
+                "ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}
             )
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        spaced = [" " + text for text in texts]
-        return [e.ids for e in self.tokenizer.encode_batch_fast(spaced, add_special_tokens=False)]
+    @property
+    def library(self) -> Tokenizer:
+        if self._library is None:
+            self._library = Tokenizer.from_str(self.definition)
+            self._library.encode_special_tokens = True
+            self._library.no_truncation()
+            self._library.no_padding()
+        return self._library
+
+    def encode(self, text: str) -> list[int]:
+        spaced = " " + text
+        if self.ranks and (len(text) < WHITE_RUN or not LONG_WHITE.search(spaced)):
+            return self.ranks.encode_ordinary(spaced)
+        return self.library.encode_batch_fast([spaced], add_special_tokens=False)[0].ids
 
 
 class Pieces:
@@ -79,11 +110,11 @@ class Pieces:
             return bytes([int(piece[1:-1], 16)])
         return piece.replace("▁", " ").encode()
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        return self.model.encode(texts, num_threads=1)
+    def encode(self, text: str) -> list[int]:
+        return self.model.encode(text)
 
 
-def sides(a: list[int], b: list[int], len_a: list[int], len_b: list[int]) -> Iterator[tuple[int, int]]:
+def sides(a: Sequence[int], b: Sequence[int], len_a: list[int], len_b: list[int]) -> Iterator[tuple[int, int]]:
     """Overlapping pairs of a group whose sides cover the same bytes, in order."""
     i = j = 0
     end_a, end_b = len_a[a[0]], len_b[b[0]]
@@ -104,9 +135,14 @@ class Aligner:
 
     def __init__(self, bytes_a: list[bytes], bytes_b: list[bytes]) -> None:
         self.bytes_a, self.bytes_b = bytes_a, bytes_b
-        self.len_a, self.len_b = list(map(len, bytes_a)), list(map(len, bytes_b))
+        self.sizes_a, self.sizes_b = list(map(len, bytes_a)), list(map(len, bytes_b))
+        self.len_a, self.len_b = np.array(self.sizes_a), np.array(self.sizes_b)
         self.digits = list(map(str, range(max(len(bytes_a), len(bytes_b)))))
         self.width = len(bytes_b)
+        #: Groups of one token on each side, by link.
+        self.ones: dict[int, str] = {}
+        #: Other groups, with their links.
+        self.several: dict[tuple, tuple[str, list[int]]] = {}
 
     def covers(self, a: list[int], b: list[int], data: bytes) -> bool:
         join = b"".join
@@ -115,43 +151,61 @@ class Aligner:
             and join(map(self.bytes_b.__getitem__, b)) == data
         )
 
-    def align(self, a: list[int], b: list[int]) -> tuple[list[str], list[int]]:
+    def _several(self, key: tuple[tuple[int, ...], tuple[int, ...]]) -> tuple[str, list[int]]:
+        if len(self.several) >= REMEMBERED:
+            self.several.clear()
+        left, right = (",".join(map(self.digits.__getitem__, x)) for x in key)
+        linked = [x * self.width + y for x, y in sides(*key, self.sizes_a, self.sizes_b)]
+        made = f"{left}|{right}", linked
+        # Long ones hardly come again.
+        if len(linked) <= 16:
+            self.several[key] = made
+        return made
+
+    def _one(self, link: int) -> str:
+        if len(self.ones) >= REMEMBERED:
+            self.ones.clear()
+        made = self.ones[link] = "%s|%s" % tuple(map(self.digits.__getitem__, divmod(link, self.width)))
+        return made
+
+    def align(self, a: list[int], b: list[int]) -> tuple[list[str], np.ndarray]:
         """The groups as text, and each link as one number (A id times B's ids, plus B id)."""
-        at_a = dict(zip(accumulate(map(self.len_a.__getitem__, a)), count(1)))
-        at_b = dict(zip(accumulate(map(self.len_b.__getitem__, b)), count(1)))
-        digits, width = self.digits, self.width
-        groups, links = [], []
-        i = j = 0
-        for end in sorted(at_a.keys() & at_b.keys()):
-            to_i, to_j = at_a[end], at_b[end]
-            one, two = a[i], b[j]
-            if to_i - i == 1 and to_j - j == 1:
-                groups.append(f"{digits[one]}|{digits[two]}")
-                links.append(one * width + two)
-            else:
-                in_a, in_b = a[i:to_i], b[j:to_j]
-                left, right = (",".join(map(digits.__getitem__, x)) for x in (in_a, in_b))
-                groups.append(f"{left}|{right}")
-                if len(in_a) == 1:
-                    links += [one * width + y for y in in_b]
-                elif len(in_b) == 1:
-                    links += [x * width + two for x in in_a]
-                else:
-                    links += [x * width + y for x, y in sides(in_a, in_b, self.len_a, self.len_b)]
-            i, j = to_i, to_j
-        return groups, links
-
-
-def blocks(texts: pa.Array) -> Iterator[tuple[int, list[str]]]:
+        ids_a, ids_b = np.array(a, np.int64), np.array(b, np.int64)
+        ends_b = np.cumsum(self.len_b[ids_b])
+        at_a = dict(zip(np.cumsum(self.len_a[ids_a]).tolist(), range(1, len(a) + 1)))
+        # B's dictionary is its ends in order, so probing A's with them one after the
+        # other gives the intersection of the keys, and gives it sorted.
+        found = np.fromiter(map(at_a.get, ends_b.tolist(), repeat(0)), np.int64, len(b))
+        to_b = np.flatnonzero(found) + 1
+        to_a = found[to_b - 1]
+        size_a, size_b = np.diff(to_a, prepend=0), np.diff(to_b, prepend=0)
+        single = (size_a == 1) & (size_b == 1)
+        links = ids_a[to_a - 1] * self.width + ids_b[to_b - 1]
+        groups = list(map(self.ones.get, links.tolist()))
+        more: list[int] = []
+        wide = np.flatnonzero(~single)
+        for g, i, j, k, m in zip(*(x.tolist() for x in (
+            wide, (to_a - size_a)[wide], to_a[wide], (to_b - size_b)[wide], to_b[wide]
+        ))):
+            key = (tuple(a[i:j]), tuple(b[k:m]))
+            groups[g], linked = self.several.get(key) or self._several(key)
+            more += linked
+        if None in groups:
+            for g in [g for g, group in enumerate(groups) if group is None]:
+                groups[g] = self._one(int(links[g]))
+        return groups, np.concatenate([links[single], np.array(more, np.int64)])
+
+
+def blocks(texts: pa.Array) -> Iterator[tuple[int, list[str | None]]]:
     """Runs of texts of bounded length: (place of the first, texts); one text is never cut."""
     start, part, size = 0, [], 0
     for at, text in enumerate(texts):
-        found = text.as_py() or ""
-        if part and (size + len(found) > BLOCK or len(part) >= OUT):
+        found = text.as_py()
+        if part and (size + len(found or "") > BLOCK or len(part) >= OUT):
             yield start, part
             start, part, size = at, [], 0
         part.append(found)
-        size += len(found)
+        size += len(found or "")
     if part:
         yield start, part
 
@@ -175,29 +229,36 @@ def _aligned(docs: DataFrame, path_a: str, path_b: str, keep_groups: bool) -> tu
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, pieces = ByteLevel(shared.value[0]), Pieces(shared.value[1])
         aligner = Aligner(tokens.bytes, pieces.bytes)
-        for batch in batches:
-            for start, texts in blocks(batch.column("text")):
-                made = []
-                for text, a, b in zip(texts, tokens.encode(texts), pieces.encode(texts)):
-                    if not text or not aligner.covers(a, b, b" " + text.encode()):
-                        made.append((0, 0, 0, 0, "", [], [], [])[: 8 if keep_groups else 7])
-                        continue
+
+        def row(text: str | None) -> tuple:
+            if text:
+                a, b = tokens.encode(text), pieces.encode(text)
+                if aligner.covers(a, b, b" " + text.encode()):
                     groups, links = aligner.align(a, b)
-                    held = Counter(links)
+                    pairs, times = np.unique(links, return_counts=True)
                     digest = hashlib.sha256(";".join(groups).encode()).hexdigest()
-                    row = (len(a), len(b), len(groups), len(links), digest, list(held), list(held.values()))
-                    made.append((*row, groups) if keep_groups else row)
-                part = batch.slice(start, len(texts))
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), part.column("row_id")]
-                    + [pa.array(list(v), t) for v, t in zip(zip(*made), types)],
-                    names=names,
-                )
+                    return len(a), len(b), len(groups), len(links), digest, pairs, times, groups
+            return 0, 0, 0, 0, "", np.empty(0, np.int64), np.empty(0, np.int64), []
 
-    types = [*[pa.int64()] * 4, pa.string(), pa.list_(pa.int64()), pa.list_(pa.int32())]
+        for batch in batches:
+            for start, texts in blocks(batch.column("text")):
+                *made, pairs, times, groups = zip(*map(row, texts))
+                offsets = pa.array(np.cumsum([0, *map(len, pairs)]), pa.int32())
+                part = batch.slice(start, len(texts))
+                arrays = [
+                    part.column("doc_id"),
+                    part.column("row_id"),
+                    *[pa.array(values, kind) for values, kind in zip(made, types)],
+                    pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(pairs))),
+                    pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(times), pa.int32())),
+                ]
+                if keep_groups:
+                    arrays.append(pa.array(groups, pa.list_(pa.string())))
+                yield pa.RecordBatch.from_arrays(arrays, names=names)
+
+    types = [*[pa.int64()] * 4, pa.string()]
     names = ["doc_id", "row_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "pairs", "times"]
     if keep_groups:
-        types.append(pa.list_(pa.string()))
         names.append("groups")
     schema = f"doc_id {kind}, {_ALIGNED}" + (", groups array<string>" if keep_groups else "")
     text = F.col("text").cast("string").alias("text")

@@ -131,6 +131,9 @@ def brute_alignment(texts):
     tokens = alignment.ByteLevel(open(vocabulary(), encoding="utf-8").read())
     pieces = alignment.Pieces(open(public_tokenizers.path(PIECES), "rb").read())
 
+    def library(text):
+        return tokens.library.encode(" " + text, add_special_tokens=False).ids
+
     def ranges(ids, table):
         out, at = [], 0
         for code in ids:
@@ -144,7 +147,7 @@ def brute_alignment(texts):
             made.append(([], [], [], []))
             continue
         data = b" " + text.encode()
-        a, b = tokens.encode([text])[0], pieces.encode([text])[0]
+        a, b = library(text), pieces.encode(text)
         if b"".join(tokens.bytes[c] for c in a) != data or b"".join(pieces.bytes[c] for c in b) != data:
             made.append(([], [], [], []))
             continue
@@ -242,3 +245,13 @@ def test_containers_select_every_offset(kind):
     assert type(made).__name__ == kind
     for k in [0, 1, len(offsets) // 2, len(offsets) - 1, *draw.integers(0, len(offsets), 40)]:
         assert made.select(int(k)) == offsets[k]
+
+
+def test_ranks_give_the_ids_of_the_library():
+    tokens = alignment.ByteLevel(open(vocabulary(), encoding="utf-8").read())
+    assert tokens.ranks
+    for start in range(0, 0x110000, 512):
+        part = [chr(c) for c in range(start, start + 512) if not 0xD800 <= c < 0xE000]
+        text = "".join(f"a{c}b {c}1 {c}{c}! {c} 2{c}3" for c in part)
+        expected = tokens.library.encode_batch_fast([" " + text], add_special_tokens=False)[0].ids
+        assert tokens.encode(text) == expected, hex(start)
