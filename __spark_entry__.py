@@ -20,7 +20,7 @@ from decoylog.functions.times import iso_micros, iso_millis
 from decoylog.operators.quality import QUALITY_FIELDS
 from decoylog.plans.report import brute_force_cards, top_attackers
 from decoylog.schema import JSON_FIELDS
-from decoylog.session import run_dir, use_utc
+from decoylog.session import file_system, run_dir, use_utc
 from decoylog.sources.sample import (
     AS_OF,
     read_table,
@@ -28,7 +28,6 @@ from decoylog.sources.sample import (
     sample_geo_ranges,
     sample_lines,
 )
-from decoylog.sources.store import PARTITIONS
 from decoylog.streaming.sinks import read_snapshot, start_snapshots
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -202,30 +201,102 @@ def _read_log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).agg(F.count(F.lit(1)).alias("lines"))
 
 
+def _numbered_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All lines in every state, with the ``day`` and the ``part`` of the file they go to."""
+    parsed = dl.parse_lines(sample_lines(read_table(spark, sf_dir, "events")), ["timestamp"])
+    return parsed.select(
+        "value",
+        F.coalesce(F.date_format("ts", "yyyy-MM-dd"), F.lit("live")).alias("day"),
+        (F.char_length("value") % 3).alias("part"),
+        "line_status",
+    )
+
+
+def _put_files(lines: DataFrame, root: str) -> None:
+    """Write lines as files named as the log's writer names them, several a day.
+
+    A day's parts go to the archive; lines without a time are the live files of as
+    many sensors.
+    """
+    spark = lines.sparkSession
+    new = f"{root}/.new"
+    lines.select("value", "day", "part").repartition("day", "part").write.mode(
+        "overwrite"
+    ).partitionBy("day", "part").option("lineSep", "\n").text(new)
+    files, at = file_system(spark, new)
+    for status in files.globStatus(at(f"{new}/day=*/part=*/part-*")):
+        found = status.getPath()
+        part = found.getParent().getName().removeprefix("part=")
+        day = found.getParent().getParent().getName().removeprefix("day=")
+        name = f"s{part}/live/cowrie.json" if day == "live" else f"archive/cowrie.json.{day}.{part}"
+        files.mkdirs(at(f"{root}/{name}").getParent())
+        files.delete(at(f"{root}/{name}"), False)
+        files.rename(found, at(f"{root}/{name}"))
+    files.delete(at(new), True)
+
+
 def _file_tree(spark: SparkSession, sf_dir: str) -> str:
-    """The lines as a folder of dated archive files and the live file."""
+    """The lines as a folder of dated archive files and live files."""
     root = f"{run_dir(spark, 'files')}/root"
-    parsed = dl.parse_lines(sample_lines(read_table(spark, sf_dir, "events")), ["timestamp"])
-    chosen = parsed.select(
-        "value", "line_status", F.date_format("ts", "yyyy-MM-dd").alias("day")
-    ).where(F.col("line_status").isin(C.OK, C.NO_TIMESTAMP, C.MALFORMED))
-    days = [row["day"] for row in chosen.where("day IS NOT NULL").select("day").distinct().collect()]
-    for day in days:  # the days of a month at most
-        _one_file(chosen.where(F.col("day") == day), f"{root}/archive", f"cowrie.json.{day}")
-    _one_file(chosen.where("day IS NULL"), f"{root}/live", "cowrie.json")
+    _put_files(_numbered_lines(spark, sf_dir), root)
     return root
 
 
-def _one_file(lines: DataFrame, folder: str, name: str) -> None:
-    """Write the lines and give the one file its name, as the log's writer does."""
-    spark = lines.sparkSession
-    part = f"{folder}/.{name}"
-    lines.select("value").coalesce(1).write.option("lineSep", "\n").text(part)
-    path = spark._jvm.org.apache.hadoop.fs.Path
-    files = path(part).getFileSystem(spark._jsc.hadoopConfiguration())
-    (found,) = [s.getPath() for s in files.globStatus(path(f"{part}/part-*"))]
-    files.rename(found, path(f"{folder}/{name}"))
-    files.delete(path(part), True)
+def _daily_load(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table kept up by several loads and a stream, then merged: lines per state and day."""
+    folder = run_dir(spark, "daily")
+    root, table = f"{folder}/root", f"{folder}/table"
+    lines = _numbered_lines(spark, sf_dir)
+    first = F.col("day") == "2024-01-01"
+    # Day one, and live files that are still short.
+    _put_files(lines.where(first | (F.col("line_status") == C.MALFORMED)), root)
+    dl.load_files(spark, root, table)
+    # Everything, where the live files have grown; the second call finds nothing new.
+    _put_files(lines, root)
+    dl.load_files(spark, root, table)
+    dl.load_files(spark, root, table)
+    # One part once more as a stream, and lines of day one that come late, in a file of their own.
+    _put_files(lines.where("part = 2").withColumn("day", F.lit("2024-01-03")), f"{folder}/more")
+    stream = dl.stream_log_lines(use_utc(spark), f"{folder}/more/archive")
+    dl.start_ingest(stream, table, f"{folder}/checkpoint").awaitTermination()
+    _put_files(lines.where(first & (F.col("part") == 0)).withColumn("part", F.lit(9)), root)
+    dl.load_files(spark, root, table)
+    dl.merge_loads(spark, table)
+    dl.vacuum(spark, table)
+    return (
+        dl.stored_rows(spark, table)
+        .groupBy("line_status", F.col("event_date").cast("string").alias("event_date"))
+        .agg(
+            F.count(F.lit(1)).alias("lines"),
+            F.count("value").alias("texts"),
+            F.countDistinct("eventid").alias("codes"),
+        )
+    )
+
+
+def _load_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the ledger of a load says of each file."""
+    table = f"{run_dir(spark, 'ledger')}/table"
+    dl.load_files(spark, _file_tree(spark, sf_dir), table)
+    files = dl.load_ledger(spark, table).withColumn("path", F.col("file_name"))
+    name = F.regexp_extract("path", r"([^/]+/[^/]+)$", 1)
+    sensor = F.regexp_extract("path", r"/(s\d)/live/", 1)
+    return files.select(
+        name.alias("short_name"), sensor.alias("sensor"),
+        "ok", "bad_timestamp", "no_timestamp", "malformed", "blank",
+        _time("first_ts", "first_time"), _time("last_ts", "last_time"),
+    )
+
+
+def _covering_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The day before ``AS_OF``, from the files that the index says can hold it."""
+    root, index = _file_tree(spark, sf_dir), f"{run_dir(spark, 'index')}/index"
+    dl.index_files(spark, f"{root}/archive", index)
+    start = str(AS_OF_TIME - timedelta(hours=24))
+    # The live files are not in the index, so they are read whatever they hold.
+    lines = dl.read_covering(spark, root, index, start, AS_OF)
+    events = dl.time_range(dl.parse_events(lines), "24h", AS_OF)
+    return events.groupBy("short_name").agg(F.count(F.lit(1)).alias("events"))
 
 
 def _read_preset(preset: str) -> Query:
@@ -418,11 +489,11 @@ def _stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = run_dir(spark, "ingest")
     lines = dl.stream_log_lines(use_utc(spark), _written_lines(spark, sf_dir))
     dl.start_ingest(lines, f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
-    return spark.read.parquet(f"{folder}/out").select(
-        PARTITIONS[0],
+    return dl.stored_rows(spark, f"{folder}/out").select(
+        "line_status",
         "timestamp",
         _time(),
-        F.col(PARTITIONS[1]).cast("string").alias(PARTITIONS[1]),
+        F.col("event_date").cast("string").alias("event_date"),
         "eventid",
         "message",
         "src_ip",
@@ -520,6 +591,9 @@ def log_queries() -> dict[str, Query]:
         "read_preset": _read_preset("24h"),
         "read_preset_all": _read_preset("all"),
         "list_log_files": _list_log_files,
+        "daily_load": _daily_load,
+        "load_ledger": _load_ledger,
+        "covering_files": _covering_files,
         "parse_lines": on_parsed(_parsed),
         "parse_events": on_lines(
             lambda lines: dl.parse_events(lines).select("file_name", _time(), *JSON_FIELDS)

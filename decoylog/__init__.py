@@ -44,6 +44,7 @@ from decoylog.plans.report import (
     to_documents,
     write_report,
 )
+from decoylog.sources.ledger import covering_files, index_files, load_ledger, read_covering
 from decoylog.sources.lines import (
     lines_of_preset,
     list_log_files,
@@ -55,10 +56,14 @@ from decoylog.sources.lines import (
 )
 from decoylog.sources.parse import admitted, parse_events, parse_lines, rejects
 from decoylog.sources.store import (
+    load_files,
+    load_lines,
+    merge_loads,
     read_events,
     read_rejects,
-    replace_days,
     stage_events,
+    stored_rows,
+    vacuum,
     with_live_lines,
     write_events,
 )

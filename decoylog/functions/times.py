@@ -91,6 +91,12 @@ def utc_moment(as_of: datetime | date | str) -> datetime:
     return as_of.astimezone(UTC).replace(tzinfo=None) if as_of.tzinfo else as_of
 
 
+def moment(as_of: datetime | date | str) -> Column:
+    """A point in time as a column, whatever the session's zone."""
+    since = utc_moment(as_of) - datetime(1970, 1, 1)
+    return F.timestamp_micros(F.lit(since // timedelta(microseconds=1)))
+
+
 def millis(length: timedelta) -> int:
     return length // timedelta(milliseconds=1)
 

@@ -4,8 +4,8 @@ Spark would run ``ip BETWEEN lo AND hi`` as a nested loop over all pairs.  Here
 each range is filed once, under the longest prefix (in hex digits, by steps)
 that its two ends share: one row per range however wide it is, IPv4 and IPv6
 alike.  An address can only lie in a range filed under one of its own prefixes,
-so it is joined on those: 9 keys for IPv4 (steps of one digit), 17 for IPv6
-(steps of two).  As ranges do not overlap, a prefix holds at most 15 (255) that
+so it is joined on those: at most 9 keys for IPv4 (steps of one digit), 17 for IPv6
+(steps of two), and no others than lengths that occur in the table.  As ranges do not overlap, a prefix holds at most 15 (255) that
 span its next digits, which bounds what a key can bring together.
 
 Prefixes of two digits and fewer are shared by very many addresses; their few
@@ -62,8 +62,8 @@ def _usable() -> Column:
     return F.coalesce((F.col("lo") <= F.col("hi")) & same_family, F.lit(False))
 
 
-def _filed(geo: DataFrame, *carried: Column) -> DataFrame:
-    """Usable ranges with the prefix they are filed under: prefix, salt, lo, hi, ..."""
+def _ranges(geo: DataFrame, *carried: Column) -> DataFrame:
+    """Usable ranges with the digits their ends share, whole steps of them: digits, lo, hi, ..."""
     lo, hi = _ends(geo)
     ranges = geo.select(lo.alias("lo"), hi.alias("hi"), *carried).where(_usable())
     is_v4 = _is_v4(F.col("lo"))
@@ -75,30 +75,39 @@ def _filed(geo: DataFrame, *carried: Column) -> DataFrame:
             lambda n: _prefix(F.col("lo"), n) == _prefix(F.col("hi"), n),
         )
     )
-    digits = (shared - shared % step).alias("digits")
+    return ranges.withColumn("digits", shared - shared % step)
+
+
+def _filed(geo: DataFrame, *carried: Column) -> DataFrame:
+    """Usable ranges with the prefix they are filed under: prefix, salt, lo, hi, ..."""
     shallow = F.col("digits") <= _SHALLOW_DIGITS
     salts = F.when(shallow, F.sequence(F.lit(0), F.lit(_SALTS - 1))).otherwise(
         F.array(F.lit(0))
     )
     return (
-        ranges.select("*", digits)
+        _ranges(geo, *carried)
         .withColumn("prefix", _prefix(F.col("lo"), F.col("digits")))
         .withColumn("salt", F.explode(salts))
         .drop("digits")
     )
 
 
-def _probes(rows: DataFrame, key: Column, every: bool = False) -> DataFrame:
-    """``rows`` once per prefix of their address: ..., key, prefix, salt.
+def _levels(geo: DataFrame, v4: bool) -> Column:
+    """The numbers of digits that ranges of a family are filed under, as one value: at
+    most 9 (17) numbers, gathered by the query itself."""
+    family = _is_v4(F.col("lo")) if v4 else ~_is_v4(F.col("lo"))
+    return _ranges(geo).where(family).agg(F.array_sort(F.collect_set("digits"))).scalar()
+
+
+def _probes(rows: DataFrame, key: Column, geo: DataFrame, every: bool = False) -> DataFrame:
+    """``rows`` once per prefix of their address that ranges are filed under: ..., prefix, salt.
 
-    What is no address has no prefix; ``every`` keeps such rows, once.
+    What is no address has no prefix; ``every`` keeps rows without a prefix, once.
     """
-    last, step = (
-        F.when(_is_v4(F.col("key")), v4).otherwise(v6)
-        for v4, v6 in ((_V4_DIGITS, _V6_DIGITS), (_V4_STEP, _V6_STEP))
-    )
     salt = F.pmod(F.xxhash64("key"), F.lit(_SALTS)).cast("int")
-    levels = F.when(F.col("key").isNotNull(), F.sequence(F.lit(0), last, step))
+    levels = F.when(_is_v4(F.col("key")), _levels(geo, True)).when(
+        F.col("key").isNotNull(), _levels(geo, False)
+    )
     return (
         rows.withColumn("key", key)
         .withColumn("digits", F.explode_outer(levels) if every else F.explode(levels))
@@ -118,7 +127,7 @@ def _matches(probes: DataFrame, filed: DataFrame, how: str = "inner") -> DataFra
 def locate(ips: DataFrame, geo: DataFrame, ip_col: str = "src_ip") -> DataFrame:
     """``ips`` that lie in a range, with their ``location``."""
     filed = _filed(geo, _location(geo).alias("location"))
-    probes = _probes(ips.select(ip_col), ip_key(F.col(ip_col)))
+    probes = _probes(ips.select(ip_col), ip_key(F.col(ip_col)), geo)
     return _matches(probes, filed).select(ip_col, "location")
 
 
@@ -143,7 +152,7 @@ def with_location(
         )
         filed = _filed(geo, _location(geo).alias("location"))
         found = _matches(
-            _probes(numbered, ip_key(F.col(f"row.{ip_col}")), every=True), filed, "left"
+            _probes(numbered, ip_key(F.col(f"row.{ip_col}")), geo, every=True), filed, "left"
         )
         located = found.groupBy("id").agg(
             F.first("row").alias("row"), F.first("location", ignorenulls=True).alias("location")
@@ -179,7 +188,7 @@ def geo_problems(geo: DataFrame) -> DataFrame:
         F.col("lo").alias("given_lo"), F.col("hi").alias("given_hi"), "copies",
         own_lo.alias("start"), own_hi.alias("end"),
     ).where((F.col("start") <= F.col("end")) & (F.substring("start", 1, 1) == F.substring("end", 1, 1)))
-    probes = _probes(starts, F.col("start"))
+    probes = _probes(starts, F.col("start"), copies)
     other = (F.col("lo") != F.col("start")) | (F.col("hi") != F.col("end"))
     overlapping = (
         _matches(probes, _filed(copies))

@@ -25,11 +25,16 @@ def work_dir(spark: SparkSession) -> str:
     return (configured or f"{warehouse}/_work").rstrip("/")
 
 
+def file_system(spark: SparkSession, path: str) -> tuple:
+    """The file system of a path, and how it names paths."""
+    at = spark._jvm.org.apache.hadoop.fs.Path
+    return at(path).getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
 def run_dir(spark: SparkSession, name: str) -> str:
     """A new folder below :func:`work_dir`, deleted when the session's JVM ends."""
     path = f"{work_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
-    files.mkdirs(folder)
-    files.deleteOnExit(folder)
+    files, at = file_system(spark, path)
+    files.mkdirs(at(path))
+    files.deleteOnExit(at(path))
     return path

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 from datetime import date, datetime, timedelta
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 from decoylog import constants as C
 from decoylog.functions.text import is_blank
 from decoylog.functions.times import utc_moment
-from decoylog.session import use_utc
+from decoylog.session import run_dir, use_utc
 
 
 #: Older than any file there is.
@@ -59,6 +60,7 @@ def _describe(lines: DataFrame) -> DataFrame:
             "value",
             meta["file_path"].alias("file_name"),
             meta["file_modification_time"].alias("file_modified"),
+            meta["file_size"].alias("file_bytes"),
         )
     )
 
@@ -109,13 +111,29 @@ def list_log_files(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     )
     return with_file_info(
         files.select(
-            F.col("path").alias("file_name"),
+            F.col("_metadata.file_path").alias("file_name"),
+            F.col("path").alias("file_path"),
             F.col("modificationTime").alias("file_modified"),
             F.col("length").alias("file_bytes"),
         )
     ).orderBy(F.desc("file_modified"), "file_name")
 
 
+def read_files(spark: SparkSession, files: DataFrame) -> DataFrame:
+    """The lines of listed files.  Their paths go through the driver, as those of any scan."""
+    filled = files.where("file_bytes > 0")
+    paths = [row["file_path"] for row in filled.select("file_path").collect()]
+    if not paths:
+        return _describe(use_utc(spark).read.text(_no_folder(spark)))
+    # A listed path is taken as it is, not as a pattern.
+    literal = [re.sub(r"([\\*?\[\]{}])", r"\\\1", path) for path in paths]
+    return read_log_lines(spark, literal)
+
+
+def _no_folder(spark: SparkSession) -> str:
+    return run_dir(spark, "no-files")
+
+
 def preset_hours(preset: str) -> int | None:
     """Hours of a preset, None without a bound; an unknown preset means 24h."""
     if preset == C.ALL_PRESET:

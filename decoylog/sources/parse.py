@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from decoylog import constants as C
-from decoylog.functions.text import is_blank, let
-from decoylog.functions.times import json_text, json_time, truthy
+from decoylog.functions.text import is_blank
+from decoylog.functions.times import json_text, json_time, parse_time, truthy
 from decoylog.schema import INT_FIELDS, JSON_FIELDS, JSON_OBJECT
 
 _STRICT = {
@@ -40,61 +40,68 @@ def parse_lines(lines: DataFrame, fields: Collection[str] = JSON_FIELDS) -> Data
     """
     kept = [name for name in JSON_FIELDS if name in fields or name == "timestamp"]
     value = F.col("value")
-    # The time is kept as a variant, for its JSON type.
-    shape = [
-        T.StructField(name, T.VariantType()) if name == "timestamp" else JSON_OBJECT[name]
-        for name in kept
-    ]
-    wrapped = F.from_json(
-        F.concat(F.lit("["), value, F.lit("\n]")), T.ArrayType(T.StructType(shape)), _STRICT
-    )
+    wrapped = F.concat(F.lit("["), value, F.lit("\n]"))
+    shape = T.ArrayType(T.StructType([JSON_OBJECT[name] for name in kept]))
     as_member = F.from_json(
         F.concat(F.lit('{"line":'), value, F.lit("\n}")), "map<string, string>", _STRICT
     )
     # A second parse, of the few lines with that pair only.
-    single = ~value.rlike(r"\}[ \t\r\n]*\]") | let(
-        as_member, lambda m: F.coalesce(F.map_keys(m) == F.array(F.lit("line")), F.lit(False))
+    single = (
+        ~value.contains("]")
+        | ~value.rlike(r"\}[ \t\r\n]*\]")
+        | F.coalesce(F.map_keys(as_member) == F.array(F.lit("line")), F.lit(False))
     )
     closed = (value.endswith("}") | value.rlike(r"\}[ \t\r\n]+$")) & single
+    objects = F.col("_objects")
+    one = F.when((F.size(objects) == 1) & closed, F.get(objects, F.lit(0)))
+    # Text that begins like this can only have been a JSON text; of any other the type
+    # decides what it means, which its variant tells.
+    text, odd = F.col("_object.timestamp"), F.col("_odd")
+    timed = T.ArrayType(T.StructType([T.StructField("timestamp", T.VariantType())]))
+    typed = F.get(F.from_json(wrapped, timed, _STRICT), F.lit(0))["timestamp"]
+    plain = odd.isNull()
+    time = F.struct(
+        F.when(plain, parse_time(text)).otherwise(json_time(odd)).alias("_ts"),
+        F.when(plain, text).otherwise(json_text(odd)).alias("_text"),
+        F.when(plain, text.isNotNull()).otherwise(truthy(odd)).alias("_given"),
+    )
+    rows = _once(lines, F.struct(F.from_json(wrapped, shape, _STRICT).alias("_objects")))
+    rows = _once(rows, F.struct(one.alias("_object")))
+    rows = _once(rows, F.struct(F.when(~text.rlike(r"^\d{4}-"), typed).alias("_odd")))
+    rows = _once(rows, time)
+    return rows.select(*[F.col(f"`{name}`") for name in lines.columns], *_event_columns(kept))
 
-    def only_object(objects: Column) -> Column:
-        return F.when((F.size(objects) == 1) & closed, F.get(objects, F.lit(0)))
 
-    def event(parsed: Column) -> Column:
-        time = F.struct(
-            json_time(parsed["timestamp"]).alias("ts"),
-            json_text(parsed["timestamp"]).alias("text"),
-            truthy(parsed["timestamp"]).alias("given"),
-        )
-        return let(time, lambda found: _event_row(value, parsed, found, kept))
+def _once(rows: DataFrame, made: Column) -> DataFrame:
+    """Adds the fields of a struct, which is evaluated once however often they are used.
 
-    # One generator makes all columns of a line.  A filter on any of them runs
-    # after it, so the line is neither parsed nor classified a second time.
-    rows = F.transform(F.array(let(wrapped, only_object)), event)
-    return lines.select("*", F.inline(rows))
+    A generator makes them, so that filters on them run after it and projections are
+    not merged into it.
+    """
+    return rows.select("*", F.inline(F.array(made)))
 
 
-def _event_row(value: Column, parsed: Column, time: Column, kept: list[str]) -> Column:
+def _event_columns(kept: list[str]) -> list[Column]:
     def field(name: str) -> Column:
         if name == "timestamp":
-            return time["text"]
-        return parsed[name].try_cast("int") if name in INT_FIELDS else parsed[name]
+            return F.col("_text")
+        found = F.col(f"_object.{name}")
+        return found.try_cast("int") if name in INT_FIELDS else found
 
-    fields = [field(name) for name in kept]
-    ts = time["ts"]
+    ts, given = F.col("_ts"), F.col("_given")
     status = (
-        F.when(ts.isNotNull() & time["given"], C.OK)
-        .when(time["given"], C.BAD_TIMESTAMP)
-        .when(parsed.isNotNull(), C.NO_TIMESTAMP)
-        .when(is_blank(value), C.BLANK)
+        F.when(ts.isNotNull() & given, C.OK)
+        .when(given, C.BAD_TIMESTAMP)
+        .when(F.col("_object").isNotNull(), C.NO_TIMESTAMP)
+        .when(is_blank(F.col("value")), C.BLANK)
         .otherwise(C.MALFORMED)
     )
-    return F.struct(
-        *[field.alias(name) for field, name in zip(fields, kept, strict=True)],
-        F.when(time["given"], ts).alias("ts"),
-        F.when(time["given"], F.unix_millis(ts)).alias("ts_ms"),
+    return [
+        *[field(name).alias(name) for name in kept],
+        F.when(given, ts).alias("ts"),
+        F.when(given, F.unix_millis(ts)).alias("ts_ms"),
         status.alias("line_status"),
-    )
+    ]
 
 
 def admitted(parsed: DataFrame) -> DataFrame:

@@ -258,12 +258,14 @@ def _located(pattern, detail):
   FROM detections {_GEO_JOIN} WHERE pattern = '{pattern}'"""
 
 
-#: The days of the events table as files below a root, the last one the live file.
-_DAY = "CAST(CAST(ts AS DATE) AS VARCHAR)"
-_STORED_FILES = f"""SELECT 'archive/cowrie.json.' || {_DAY} AS short_name, 'archive' AS layout,
-    {_DAY} AS log_date, {_DAY} AS day FROM log_rows WHERE line_status = 'ok'
-  UNION ALL SELECT 'live/cowrie.json', 'live', NULL, 'live' FROM log_rows
-  WHERE line_status IN ('no_timestamp', 'malformed')"""
+#: The lines as files below a root, three a day; those without a time are live files.
+_FILED = """(SELECT *, length(value) % 3 AS part,
+    coalesce(CAST(CAST(ts AS DATE) AS VARCHAR), 'live') AS day FROM log_lines)"""
+_SHORT_NAME = """CASE day WHEN 'live' THEN 'live/cowrie.json'
+    ELSE 'archive/cowrie.json.' || day || '.' || part END"""
+_STORED_FILES = f"""SELECT {_SHORT_NAME} AS short_name,
+    CASE day WHEN 'live' THEN 'live' ELSE 'archive' END AS layout,
+    nullif(day, 'live') AS log_date, day, part FROM {_FILED} t"""
 
 
 def _stored_files(condition):
@@ -271,6 +273,23 @@ def _stored_files(condition):
   FROM ({_STORED_FILES}) t WHERE {condition} GROUP BY ALL"""
 
 
+_LOADED = f"""SELECT line_status, CAST(CAST(ts AS DATE) AS VARCHAR) AS event_date,
+    count(*) AS lines, count(*) FILTER (line_status IN ('malformed', 'no_timestamp')) AS texts,
+    count(DISTINCT eventid) FILTER (line_status NOT IN ('blank', 'malformed')) AS codes
+  FROM (SELECT * FROM {_FILED} a UNION ALL SELECT * FROM {_FILED} b WHERE part = 2
+    UNION ALL SELECT * FROM {_FILED} c WHERE part = 0 AND day = '2024-01-01') t
+  GROUP BY ALL"""
+_LEDGER = f"""SELECT {_SHORT_NAME} AS short_name,
+    CASE day WHEN 'live' THEN 's' || part ELSE '' END AS sensor,
+    {", ".join(f"count(*) FILTER (line_status = '{s}') AS {s}" for s in
+               ("ok", "bad_timestamp", "no_timestamp", "malformed", "blank"))},
+    strftime(min(ts), {_ISO}) AS first_time, strftime(max(ts), {_ISO}) AS last_time
+  FROM {_FILED} t GROUP BY day, part"""
+_COVERED = f"""SELECT {_SHORT_NAME} AS short_name, count(*) AS events FROM {_FILED} t
+  WHERE line_status = 'ok' AND ts > TIMESTAMP '2024-01-01 06:00:00'
+    AND ts <= TIMESTAMP '2024-01-02 06:00:00' GROUP BY day, part"""
+
+
 def _files(condition):
     return f"""SELECT file_name, count(*) AS lines FROM log_lines
   WHERE {condition} GROUP BY file_name"""
@@ -390,8 +409,11 @@ ON_LOG = {
     "select_log_files_unknown": _files("file_name = 'live/cowrie.json'"),
     "read_preset": _stored_files("day = '2024-01-02' OR day = 'live'"),
     "read_preset_all": _stored_files("true"),
-    "list_log_files": f"""SELECT DISTINCT short_name, layout, log_date
-      FROM ({_STORED_FILES}) t""",
+    "list_log_files": f"""SELECT short_name, layout, log_date
+      FROM (SELECT DISTINCT * FROM ({_STORED_FILES}) t) f""",
+    "daily_load": _LOADED,
+    "load_ledger": _LEDGER,
+    "covering_files": _COVERED,
     "parse_lines": f"""SELECT file_name, line_status, CASE WHEN line_status IN ('blank',
       'malformed') THEN NULL ELSE timestamp END AS timestamp, {_TS} AS time, ts_ms,
       {", ".join(f"CASE WHEN line_status NOT IN ('blank', 'malformed') THEN {f} END AS {f}"
@@ -448,10 +470,10 @@ ON_LOG = {
       CAST(CAST(ts AS DATE) AS VARCHAR) AS event_date, eventid, message, src_ip,
       CASE WHEN line_status IN ('malformed', 'no_timestamp') THEN value END AS value
       FROM (SELECT ts, line_status, value, timestamp,
-        CASE WHEN line_status <> 'malformed' THEN eventid END AS eventid,
-        CASE WHEN line_status <> 'malformed' THEN message END AS message,
-        CASE WHEN line_status <> 'malformed' THEN src_ip END AS src_ip
-        FROM log_lines WHERE line_status <> 'blank') t""",
+        CASE WHEN line_status NOT IN ('blank', 'malformed') THEN eventid END AS eventid,
+        CASE WHEN line_status NOT IN ('blank', 'malformed') THEN message END AS message,
+        CASE WHEN line_status NOT IN ('blank', 'malformed') THEN src_ip END AS src_ip
+        FROM log_lines) t""",
     "stream_sessions": _SESSIONS,
     "stream_type_counts": _TYPES,
     "stream_ip_counts": f"""SELECT src_ip, n AS count, strftime(first_ts, {_ISO}) AS first_seen,

@@ -175,10 +175,6 @@ def test_store_round_trip(spark, log_root, tmp_path):
     assert stored.count() == parsed.count() == 9
     kept = dl.read_rejects(spark, path)
     assert sorted(r["value"] for r in kept.collect()) == ['{"eventid":"x"}', "{bad\rbad"]
-    # A job that is repeated gives its days anew and doubles nothing.
-    dl.replace_days(lines, path)
-    dl.replace_days(lines, path)
-    assert dl.read_events(spark, path).count() == 9
 
 
 def test_stored_table_is_pruned_and_filters_are_pushed(spark, log_root, tmp_path, plans):
