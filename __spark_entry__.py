@@ -28,7 +28,7 @@ from decoylog.sources.sample import (
     sample_geo_ranges,
     sample_lines,
 )
-from decoylog.streaming.sinks import read_snapshot, start_snapshots
+from decoylog.streaming.sinks import read_snapshot, start_batched, start_snapshots
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -365,10 +365,32 @@ def _empty_summary(events: DataFrame, geo: DataFrame) -> DataFrame:
 
 
 def _dashboard(events: DataFrame, geo: DataFrame) -> DataFrame:
-    """How many rows each part of the dashboard has; the parts are queries of their own."""
+    """The rows of each part of the dashboard, in one shape: two texts, two numbers."""
+    start, end = (iso_micros(F.col(name)) for name in ("start", "end"))
+    shown = {
+        "overview": (start, end, "total_events", "unique_ips"),
+        "login_summary": (None, None, "total_attempts", "successful_logins"),
+        "top_attackers": ("src_ip", "location_label", "count", None),
+        "brute_force": ("src_ip", None, "failed_attempts", None),
+        "countries": ("country", None, "count", "unique_ips"),
+        "credentials": ("username", "password", "attempts", "unique_ips"),
+        "commands": ("command", None, "count", F.round(F.col("frequency") * 10)),
+        "command_summary": (None, None, "total_commands", "unique_commands"),
+        "recent_logs": ("src_ip", "message", None, None),
+    }
+
+    def column(value: Column | str | None, kind: str, name: str) -> Column:
+        found = F.col(value) if isinstance(value, str) else F.lit(value) if value is None else value
+        return found.cast(kind).alias(name)
+
+    names = (("a", "string"), ("b", "string"), ("n", "bigint"), ("m", "bigint"))
+    report = dl.dashboard_report(events, geo)
+    assert set(report) == set(shown)
     parts = [
-        part.agg(F.count(F.lit(1)).alias("rows")).select(F.lit(name).alias("part"), "rows")
-        for name, part in dl.dashboard_report(events, geo).items()
+        report[part].select(
+            F.lit(part).alias("part"), *[column(v, kind, name) for v, (name, kind) in zip(values, names)]
+        )
+        for part, values in shown.items()
     ]
     return reduce(DataFrame.union, parts)
 
@@ -536,6 +558,61 @@ def _stream_brute_force(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _brute_force(dl.brute_force_so_far(counts, sample_geo_ranges(spark)))
 
 
+def _stream_brute_force_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = run_dir(spark, "slot-alerts")
+    events = sample_events(_stream(spark, sf_dir))
+    dl.start_brute_force_alerts(events, f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
+    alerts = spark.read.parquet(f"{folder}/out")
+    return _brute_force(dl.first_alerts(alerts, sample_geo_ranges(spark)))
+
+
+def _stream_keyed_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = run_dir(spark, "keyed-alerts")
+    alerts = dl.keyed_alerts(sample_events(_stream(spark, sf_dir)))
+    start_batched(alerts, f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
+    found = spark.read.schema(alerts.schema).parquet(f"{folder}/out/batch_id=*")
+    return _brute_force(dl.with_location(found, sample_geo_ranges(spark), each_row=True))
+
+
+def _stream_closed_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = run_dir(spark, "closed")
+    closed = dl.closed_sessions(sample_events(_stream(spark, sf_dir)))
+    start_batched(closed, f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
+    return _sessions(spark.read.schema(closed.schema).parquet(f"{folder}/out/batch_id=*"))
+
+
+def _stream_corrected_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All events in three pieces that each cover the whole time, so that most come late."""
+    folder = run_dir(spark, "corrected")
+    events = read_table(spark, sf_dir, "events")
+    for piece in range(3):
+        events.where(F.col("event_id") % 3 == piece).write.mode("append").parquet(f"{folder}/in")
+        stream = use_utc(spark).readStream.schema(events.schema).parquet(f"{folder}/in")
+        dl.start_closed_sessions(
+            sample_events(stream), f"{folder}/out", f"{folder}/checkpoint"
+        ).awaitTermination()
+    return _sessions(dl.corrected_sessions(spark, f"{folder}/out"))
+
+
+def _stream_follow_live(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines in three days: each is the live file, is followed, and is rotated."""
+    folder = run_dir(spark, "follow")
+    lines = _numbered_lines(spark, sf_dir).withColumn("day", F.lit("2024-01-01"))
+    _put_files(lines, f"{folder}/written")
+    files, at = file_system(spark, folder)
+    live = f"{folder}/root/live/cowrie.json"
+    for name in ("live", "archive"):
+        files.mkdirs(at(f"{folder}/root/{name}"))
+    for part in range(3):
+        files.rename(at(f"{folder}/written/archive/cowrie.json.2024-01-01.{part}"), at(live))
+        if part != 1:  # the second day is rotated before it has been seen
+            stream = dl.follow_live(spark, live, f"{folder}/root/archive")
+            dl.start_ingest(stream, f"{folder}/table", f"{folder}/checkpoint").awaitTermination()
+        files.rename(at(live), at(f"{folder}/root/archive/cowrie.json.2024-01-0{part + 1}"))
+    rows = dl.stored_rows(spark, f"{folder}/table")
+    return rows.groupBy("line_status", "eventid", "layout").agg(F.count(F.lit(1)).alias("lines"))
+
+
 def log_queries() -> dict[str, Query]:
     """The log operators' queries, by name."""
     return {
@@ -622,6 +699,11 @@ def log_queries() -> dict[str, Query]:
         "stream_ip_counts": _stream_ip_counts,
         "stream_detections": _stream_detections,
         "stream_brute_force": _stream_brute_force,
+        "stream_brute_force_alerts": _stream_brute_force_alerts,
+        "stream_keyed_alerts": _stream_keyed_alerts,
+        "stream_closed_sessions": _stream_closed_sessions,
+        "stream_corrected_sessions": _stream_corrected_sessions,
+        "stream_follow_live": _stream_follow_live,
     }
 
 

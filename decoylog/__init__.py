@@ -70,16 +70,21 @@ from decoylog.sources.store import (
 from decoylog.streaming.alerts import (
     brute_force_so_far,
     first_alerts,
+    keyed_alerts,
     start_attempt_counts,
     start_brute_force_alerts,
     start_detection_alerts,
 )
 from decoylog.streaming.ingest import start_ingest
+from decoylog.streaming.live import follow_live
 from decoylog.streaming.metrics import (
     closed_sessions,
+    corrected_sessions,
+    late_events,
     running_ip_counts,
     running_sessions,
     running_type_counts,
+    start_closed_sessions,
 )
 
 __all__ = [name for name in dir() if not name.startswith("_")]

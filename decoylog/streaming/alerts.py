@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+import sys
+from collections.abc import Iterator
 from datetime import timedelta
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from decoylog import constants as C
 from decoylog.functions.times import interval_text, millis
@@ -23,6 +30,9 @@ from decoylog.operators.geo import with_location
 from decoylog.streaming.metrics import DEFAULT_DELAY
 from decoylog.streaming.sinks import start_batched
 
+# Tasks get this module's functions with their work, so they need no copy of the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 def start_detection_alerts(
     events: DataFrame,
@@ -91,6 +101,96 @@ def start_brute_force_alerts(
     )
 
 
+def _per_millisecond(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Attempts of a batch, counted per (address, millisecond) before they are moved."""
+    for batch in batches:
+        counts = pa.table(batch).group_by(["src_ip", "ts_ms"]).aggregate(
+            [("failed", "sum"), ("ts", "max")]
+        )
+        yield from counts.rename_columns(["src_ip", "ts_ms", "failed", "ts"]).to_batches()
+
+
+def judge_windows(
+    times: np.ndarray, failed: np.ndarray, threshold: int, window_ms: int, passed_ms: int
+) -> tuple[int | None, int]:
+    """The first judged attempt whose window is over the threshold, and how many are judged.
+
+    ``times`` ascend without repeats.  An attempt is judged once nothing can join its
+    window any more, that is when its end has passed.
+    """
+    judged = int(np.searchsorted(times, passed_ms - window_ms, side="left"))
+    sums = np.concatenate([[0], np.cumsum(failed)])
+    ends = np.searchsorted(times, times[:judged] + window_ms, side="right")
+    over = np.flatnonzero(sums[ends] - sums[:judged] >= threshold)
+    return (int(over[0]) if len(over) else None), judged
+
+
+def keyed_alerts(
+    events: DataFrame,
+    threshold: int = C.BRUTE_FORCE_THRESHOLD,
+    window: timedelta = C.BRUTE_FORCE_WINDOW,
+    delay: timedelta = DEFAULT_DELAY,
+) -> DataFrame:
+    """Brute force as it can be told: one row per address, once its window is over.
+
+    For append mode.  The state of an address is its attempts, as counts per
+    millisecond in order, as far back as the oldest one that is not judged: one
+    window and the watermark's delay.  A timer at that attempt's window end brings
+    the address up when the watermark passes it.  The alert is the batch operator's
+    row for all attempts that were not late; after it only a mark is kept.  A row of
+    the shuffle is an (address, millisecond) with its counts, made where it is read.
+    """
+    window_ms = millis(window)
+
+    def update(
+        key: tuple[str], frames: Iterator[pd.DataFrame], state: GroupState
+    ) -> Iterator[pd.DataFrame]:
+        old = state.get if state.exists else ([], [], False)
+        new = [f for f in frames if len(f)]
+        if old[2]:
+            return
+        times = np.concatenate([np.array(old[0], np.int64), *[f["ts_ms"].to_numpy() for f in new]])
+        counts = np.concatenate([np.array(old[1], np.int64), *[f["failed"].to_numpy() for f in new]])
+        times, at = np.unique(times, return_inverse=True)
+        failed = np.bincount(at, counts, len(times)).astype(np.int64)
+        passed = state.getCurrentWatermarkMs()
+        found, judged = judge_windows(times, failed, threshold, window_ms, passed)
+        if found is not None:
+            start = int(times[found])
+            inside = int(failed[(times >= start) & (times <= start + window_ms)].sum())
+            state.update(([], [], True))
+            yield pd.DataFrame({"src_ip": [key[0]], "failed_attempts": [inside], "start_ms": [start]})
+            return
+        times, failed = times[judged:], failed[judged:]
+        if not len(times):
+            state.remove()
+            return
+        state.update((times.tolist(), failed.tolist(), False))
+        state.setTimeoutTimestamp(max(int(times[0]) + window_ms, passed) + 1)
+
+    attempts = timed_attempts(events).select(
+        "src_ip", "ts_ms", (F.col("eventid") == C.LOGIN_FAILED).cast("bigint").alias("failed"), "ts"
+    )
+    found = (
+        attempts.mapInArrow(_per_millisecond, attempts.schema)
+        .withWatermark("ts", interval_text(delay))
+        .groupBy("src_ip")
+        .applyInPandasWithState(
+            update,
+            "src_ip string, failed_attempts bigint, start_ms bigint",
+            "times array<bigint>, failed array<bigint>, done boolean",
+            "append",
+            GroupStateTimeout.EventTimeTimeout,
+        )
+    )
+    return found.select(
+        "src_ip",
+        "failed_attempts",
+        F.timestamp_millis("start_ms").alias("window_start"),
+        F.timestamp_millis(F.col("start_ms") + window_ms).alias("window_end"),
+    )
+
+
 def start_attempt_counts(
     events: DataFrame, path: str, checkpoint: str, processing_time: str | None = None
 ) -> StreamingQuery:

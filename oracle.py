@@ -182,6 +182,7 @@ def _sliding(window_ms, threshold, name="brute", extra=""):
 
 
 _BRUTE = _sliding(3600000, 10)
+_ATTEMPT_MARK = "(SELECT max(ts_ms) - 7200000 FROM logins WHERE src_ip IS NOT NULL)"
 _GEO_JOIN = "LEFT JOIN geo g ON ip_number BETWEEN g.lo AND g.hi"
 _TS = f"strftime(ts, {_ISO})"
 _NAME = "coalesce(n.event_name, nullif(e.eventid, ''), 'unknown')"
@@ -325,24 +326,35 @@ _SUMMARY = f"""SELECT o.*, l.*,
            ["command", "count", "full_command"], "count DESC, full_command", "top_commands")}
   FROM ({_OVERVIEW}) o, ({_LOGINS}) l"""
 
-def _part(name, rows):
-    return f"SELECT '{name}' AS part, count(*) AS rows FROM ({rows}) t"
+def _part(name, a, b, n, m, rows):
+    return f"""SELECT '{name}' AS part, CAST({a} AS VARCHAR) AS a, CAST({b} AS VARCHAR) AS b,
+  CAST({n} AS BIGINT) AS n, CAST({m} AS BIGINT) AS m FROM ({rows}) t"""
 
 
+_COMMAND_TOTALS = """SELECT coalesce(sum(n), 0) AS n, count(*) AS m FROM command_counts"""
 _DASHBOARD = " UNION ALL ".join(
-    _part(name, rows)
-    for name, rows in {
-        "overview": "SELECT 1",
-        "login_summary": "SELECT 1",
-        "top_attackers": f"SELECT * FROM ({_TOP_IPS}) x LIMIT 3",
-        "brute_force": "SELECT * FROM brute LIMIT 3",
-        "countries": "SELECT DISTINCT country FROM log_events JOIN geo ON ip_number BETWEEN lo AND hi",
-        "credentials": f"SELECT * FROM ({_TOP_CREDENTIALS}) x LIMIT 12",
-        "commands": "SELECT * FROM command_counts LIMIT 12",
-        "command_summary": "SELECT 1",
-        "recent_logs": "SELECT * FROM log_events LIMIT 100",
-    }.items()
-)
+    "(" + _part(*part) + ")"
+    for part in (
+        ("overview", "start", '"end"', "total_events", "unique_ips", _OVERVIEW),
+        ("login_summary", "NULL", "NULL", "total_attempts", "successful_logins", _LOGINS),
+        ("top_attackers", "src_ip", "label", "n", "NULL", f"""SELECT src_ip, n, {_LABEL} AS label
+          FROM (SELECT * FROM ({_TOP_IPS}) x ORDER BY n DESC, src_ip LIMIT 3) y {_GEO_JOIN}"""),
+        ("brute_force", "src_ip", "NULL", "failed_attempts", "NULL", """SELECT * FROM brute
+          ORDER BY failed_attempts DESC, src_ip LIMIT 3"""),
+        ("countries", "country", "NULL", "n", "ips", """SELECT country, count(*) AS n,
+          count(DISTINCT src_ip) AS ips FROM log_events JOIN geo ON ip_number BETWEEN lo AND hi
+          GROUP BY country"""),
+        ("credentials", "coalesce(nullif(split_part(credential, ':', 1), ''), 'unknown')",
+         "coalesce(nullif(split_part(credential, ':', 2), ''), 'unknown')", "attempts",
+         "unique_ips", f"{_TOP_CREDENTIALS} LIMIT 12"),
+        ("commands", _SHORT, "NULL", "n", "round(n / total * 100, 1) * 10", """SELECT *,
+          (SELECT greatest(sum(n), 1) FROM command_counts) AS total FROM command_counts
+          ORDER BY n DESC, command LIMIT 12"""),
+        ("command_summary", "NULL", "NULL", "n", "m", _COMMAND_TOTALS),
+        ("recent_logs", "src_ip", "message", "NULL", "NULL", """SELECT * FROM log_events
+          ORDER BY ts DESC NULLS LAST, session, message LIMIT 100"""),
+    )
+)
 
 #: Queries on the log.
 ON_LOG = {
@@ -481,6 +493,20 @@ ON_LOG = {
     "stream_detections": f"""SELECT pattern, src_ip, detail, timestamp, {_TS} AS time, g.country, g.city
       FROM detections {_GEO_JOIN}""",
     "stream_brute_force": _BRUTE + _brute_rows(),
+    # What the watermark, two hours behind the newest attempt, has passed.
+    "stream_brute_force_alerts": _BRUTE + _brute_rows() + f"""
+      WHERE (start_ms // 3600000 + 2) * 3600000 <= {_ATTEMPT_MARK}""",
+    "stream_keyed_alerts": _BRUTE + _brute_rows() + f"""
+      WHERE start_ms + 3600000 < {_ATTEMPT_MARK}""",
+    "stream_closed_sessions": f"""{_SESSIONS} HAVING (ts_ms // 3600000 + 1) * 3600000 <=
+      (SELECT max(ts_ms) - 7200000 FROM log_events
+       WHERE eventid IN ('cowrie.session.connect', 'cowrie.session.closed'))""",
+    "stream_corrected_sessions": f"""{_SESSIONS} HAVING (ts_ms // 3600000 + 1) * 3600000 <=
+      (SELECT max(ts_ms) - 7200000 FROM log_events)""",
+    "stream_follow_live": f"""SELECT line_status,
+      CASE WHEN line_status NOT IN ('blank', 'malformed') THEN eventid END AS eventid,
+      CASE part WHEN 1 THEN 'archive' ELSE 'live' END AS layout, count(*) AS lines
+      FROM {_FILED} t GROUP BY 1, 2, 3""",
 }
 
 IP_LOCATIONS = """
