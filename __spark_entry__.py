@@ -330,8 +330,10 @@ def _staged_range(lines: DataFrame) -> DataFrame:
     return dl.login_summary(dl.time_range(staged, "24h", AS_OF))
 
 
-def _summary(events: DataFrame, geo: DataFrame) -> DataFrame:
-    row = dl.analytics_summary(events, geo)
+def _summary(
+    events: DataFrame, geo: DataFrame, summary: Callable[..., DataFrame] = dl.analytics_summary
+) -> DataFrame:
+    row = summary(events, geo)
     ips = F.transform(
         "top_source_ips",
         lambda ip: F.struct(
@@ -354,6 +356,62 @@ def _summary(events: DataFrame, geo: DataFrame) -> DataFrame:
     )
 
 
+def _distinct_rollup(as_of: str) -> Query:
+    """Distinct counts per preset, country and credential from hourly partials."""
+
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        events = sample_events(read_table(spark, sf_dir, "events"))
+        path, geo = f"{run_dir(spark, 'rollup')}/rollup", sample_geo_ranges(spark)
+        # In two loads that overlap, as days that are loaded again do.
+        dl.update_rollup(events.where("ts IS NULL OR ts < '2024-01-02'"), path)
+        dl.update_rollup(events.where("ts IS NULL OR ts >= '2024-01-01 20:00:00'"), path)
+
+        def rows(found: DataFrame, preset: str, what: str, key: str, count: str) -> DataFrame:
+            return found.select(
+                F.lit(preset).alias("preset"), F.lit(what).alias("what"),
+                F.col(key).alias("key"), F.col(count).alias("n"),
+            )
+
+        parts = []
+        for preset in ("1h", "24h", "all"):
+            sets = dl.value_sets(spark, path, events, preset, as_of)
+            countries = dl.addresses_per_country(spark, path, sets, geo)
+            tried = dl.addresses_per_credential(spark, path, sets)
+            parts += [
+                rows(dl.distinct_counts(sets).where("kind <> 'credential'"), preset, "all", "kind", "n"),
+                rows(countries, preset, "country", "country", "unique_ips"),
+                rows(tried, preset, "credential", "credential", "unique_ips"),
+            ]
+        return reduce(DataFrame.union, parts)
+
+    return query
+
+
+def _top_values(column: str, tracked: int) -> Callable[[DataFrame], DataFrame]:
+    return lambda events: dl.top_values(events, column, tracked=tracked)[0]
+
+
+def _recent_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table = f"{run_dir(spark, 'recent')}/table"
+    dl.write_events(sample_lines(read_table(spark, sf_dir, "events")), table)
+    return dl.recent_stored(spark, table).select("message", "session", "eventid", "src_ip", _time())
+
+
+def _drift(lines: DataFrame) -> DataFrame:
+    """Some lines get a field more, an object for a text, or a text for a number."""
+    number = F.char_length("value") % 5
+    changed = (
+        F.when(number == 0, F.regexp_replace("value", r"\}$", ',"arch":"arm","rtt":1.5}'))
+        .when(number == 1, F.regexp_replace("value", '"dst_port":2222', '"dst_port":"ssh"'))
+        .when(number == 2, F.regexp_replace("value", '"protocol":"ssh"', '"protocol":{"v":[2]}'))
+        .otherwise(F.col("value"))
+    )
+    return dl.schema_drift(lines.withColumn("value", changed)).select(
+        "file_name", F.col("log_date").cast("string").alias("log_date"),
+        "field", "json_type", "problem", "lines",
+    )
+
+
 def _empty_summary(events: DataFrame, geo: DataFrame) -> DataFrame:
     row = dl.analytics_summary(events.where("eventid = 'no such event'"), geo)
     lists = ("top_source_ips", "top_credentials", "top_usernames", "top_passwords", "top_commands")
@@ -686,6 +744,15 @@ def log_queries() -> dict[str, Query]:
         "log_file_inventory": on_checked(_inventory),
         "top_attackers": with_geo(top_attackers),
         "analytics_summary": with_geo(_summary),
+        "summary_in_one_scan": with_geo(
+            lambda events, geo: _summary(events, geo, dl.summary_in_one_scan)
+        ),
+        "distinct_rollup": _distinct_rollup(AS_OF),
+        "distinct_rollup_cut_hours": _distinct_rollup("2024-01-02 05:30:00"),
+        "top_passwords_by_sketch": on_events(_top_values("password", 1_000)),
+        "top_sessions_by_sketch": on_events(_top_values("session", 100)),
+        "recent_stored": _recent_stored,
+        "schema_drift": on_lines(_drift),
         "analytics_summary_empty": with_geo(_empty_summary),
         "dashboard_report": with_geo(_dashboard),
         "written_report": on_events(_written_report),

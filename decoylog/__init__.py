@@ -25,9 +25,18 @@ from decoylog.operators.detect import (
     privilege_escalation,
     recon_commands,
 )
+from decoylog.operators.drift import field_types, file_schemas, schema_drift
 from decoylog.operators.geo import geo_problems, with_location, with_location_label
+from decoylog.operators.heavy import hourly_sketches, top_values
 from decoylog.operators.listing import log_table, recent_logs, with_severity
 from decoylog.operators.quality import ingest_stats, log_file_inventory, validate_logs
+from decoylog.operators.rollup import (
+    addresses_per_country,
+    addresses_per_credential,
+    distinct_counts,
+    update_rollup,
+    value_sets,
+)
 from decoylog.operators.timerange import time_range
 from decoylog.operators.traffic import (
     events_by_type,
@@ -37,6 +46,7 @@ from decoylog.operators.traffic import (
     top_source_ips,
     with_event_name,
 )
+from decoylog.plans.one_scan import summary_in_one_scan
 from decoylog.plans.report import (
     analytics_report,
     analytics_summary,
@@ -61,6 +71,7 @@ from decoylog.sources.store import (
     merge_loads,
     read_events,
     read_rejects,
+    recent_stored,
     stage_events,
     stored_rows,
     vacuum,

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from decoylog import constants as C
+from decoylog.functions.rows import once
 from decoylog.functions.text import is_blank
 from decoylog.functions.times import json_text, json_time, parse_time, truthy
 from decoylog.schema import INT_FIELDS, JSON_FIELDS, JSON_OBJECT
@@ -65,22 +66,13 @@ def parse_lines(lines: DataFrame, fields: Collection[str] = JSON_FIELDS) -> Data
         F.when(plain, text).otherwise(json_text(odd)).alias("_text"),
         F.when(plain, text.isNotNull()).otherwise(truthy(odd)).alias("_given"),
     )
-    rows = _once(lines, F.struct(F.from_json(wrapped, shape, _STRICT).alias("_objects")))
-    rows = _once(rows, F.struct(one.alias("_object")))
-    rows = _once(rows, F.struct(F.when(~text.rlike(r"^\d{4}-"), typed).alias("_odd")))
-    rows = _once(rows, time)
+    rows = once(lines, F.struct(F.from_json(wrapped, shape, _STRICT).alias("_objects")))
+    rows = once(rows, F.struct(one.alias("_object")))
+    rows = once(rows, F.struct(F.when(~text.rlike(r"^\d{4}-"), typed).alias("_odd")))
+    rows = once(rows, time)
     return rows.select(*[F.col(f"`{name}`") for name in lines.columns], *_event_columns(kept))
 
 
-def _once(rows: DataFrame, made: Column) -> DataFrame:
-    """Adds the fields of a struct, which is evaluated once however often they are used.
-
-    A generator makes them, so that filters on them run after it and projections are
-    not merged into it.
-    """
-    return rows.select("*", F.inline(F.array(made)))
-
-
 def _event_columns(kept: list[str]) -> list[Column]:
     def field(name: str) -> Column:
         if name == "timestamp":

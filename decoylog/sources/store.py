@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from decoylog import constants as C
+from decoylog.operators.listing import recent_logs
 from decoylog.schema import EVENT
 from decoylog.session import file_system, use_utc
 from decoylog.sources import ledger
@@ -197,6 +198,29 @@ def read_events(spark: SparkSession, path: str) -> DataFrame:
     return admitted(_all_rows(spark, path)).drop("value", "load")
 
 
+def recent_stored(spark: SparkSession, path: str, limit: int = C.RECENT_LIMIT) -> DataFrame:
+    """The latest entries of a stored table, undated ones last, from as few days as hold them.
+
+    The days' sizes come from the files' footers.  Days are taken from the newest
+    backwards until they hold ``limit`` rows, and undated rows only if all days do not,
+    so what is read follows the limit and not the table.
+    """
+    if limit < 1:
+        raise ValueError("limit must be at least 1")
+    rows = _all_rows(spark, path).where(F.col("line_status").isin(*C.ADMITTED, C.NO_TIMESTAMP))
+    sizes = rows.groupBy("event_date").agg(F.count(F.lit(1)).alias("rows")).collect()
+    days, held = [], 0
+    for day, size in sorted(((r[0], r[1]) for r in sizes if r[0] is not None), reverse=True):
+        if held >= limit:
+            break
+        days.append(day)
+        held += size
+    chosen = F.col("event_date").isin(days) if days else F.lit(False)
+    if held < limit:
+        chosen = chosen | F.col("event_date").isNull()
+    return recent_logs(rows.where(chosen).drop("value", "load"), limit)
+
+
 def read_rejects(spark: SparkSession, path: str) -> DataFrame:
     return rejects(_all_rows(spark, path))
 

@@ -149,9 +149,9 @@ WITH mapped AS (
   FROM log_events
   WHERE eventid = 'cowrie.direct-tcpip.data' AND regexp_matches(data, '{_REQUEST}')
 ), commands AS (
-  SELECT trim(input, {_WS}) AS command FROM log_events
+  SELECT trim(input, {_WS}) AS command, ts FROM log_events
   WHERE eventid = 'cowrie.command.input' AND trim(input, {_WS}) <> ''
-  UNION ALL SELECT request FROM requests
+  UNION ALL SELECT request, ts FROM requests
 ), command_counts AS (
   SELECT command, count(*) AS n FROM commands GROUP BY command
 ), detections AS (
@@ -356,6 +356,66 @@ _DASHBOARD = " UNION ALL ".join(
     )
 )
 
+
+
+def _distinct(as_of):
+    """Distinct counts of three ranges; sessions, addresses and commands, and two groupings."""
+
+    def one(preset, hours):
+        inside = "true" if hours is None else (
+            f"ts > TIMESTAMP '{as_of}' - INTERVAL {hours} HOUR AND ts <= TIMESTAMP '{as_of}'"
+        )
+        def counted(kind, column, rows):
+            # A kind without any value has no row.
+            return f"""SELECT '{preset}' AS preset, 'all' AS what, '{kind}' AS key,
+              count(DISTINCT {column}) AS n FROM {rows} WHERE {inside}
+              HAVING count(DISTINCT {column}) > 0"""
+        return " UNION ALL ".join([
+            counted("session", "nullif(session, '')", "log_events"),
+            counted("address", "src_ip", "log_events"),
+            counted("command", "command", "commands"),
+            f"""SELECT '{preset}', 'country', country, count(DISTINCT src_ip)
+              FROM log_events JOIN geo ON ip_number BETWEEN lo AND hi WHERE {inside} GROUP BY country""",
+            f"""SELECT '{preset}', 'credential', credential, count(DISTINCT src_ip)
+              FROM logins WHERE src_ip IS NOT NULL AND {inside} GROUP BY credential""",
+        ])
+
+    return " UNION ALL ".join(one(p, h) for p, h in (("1h", 1), ("24h", 24), ("all", None)))
+
+
+_DRIFT_TYPES = {
+    "VARCHAR": "STRING", "UBIGINT": "BIGINT", "BIGINT": "BIGINT", "DOUBLE": "DECIMAL",
+    "BOOLEAN": "BOOLEAN", "OBJECT": "OBJECT", "ARRAY": "ARRAY", "NULL": "VOID",
+}
+_DRIFT = f""", changed AS (
+  SELECT file_name, CASE length(value) % 5
+    WHEN 0 THEN regexp_replace(value, '[}}]$', ',"arch":"arm","rtt":1.5}}')
+    WHEN 1 THEN replace(value, '"dst_port":2222', '"dst_port":"ssh"')
+    WHEN 2 THEN replace(value, '"protocol":"ssh"', '"protocol":{{"v":[2]}}')
+    ELSE value END AS value
+  FROM log_lines WHERE line_status NOT IN ('blank', 'malformed')
+), documents_of AS (
+  -- A key that comes twice counts as its last: the sample's first one is a time 'x'.
+  SELECT file_name, CAST(replace(value, '{{"timestamp":"x",', '{{') AS JSON) AS doc FROM changed
+), fields AS (
+  SELECT file_name, doc, unnest(json_keys(doc)) AS field FROM documents_of
+), typed AS (
+  SELECT file_name, field,
+    CASE json_type(doc, '$.' || field)
+      {" ".join(f"WHEN '{a}' THEN '{b}'" for a, b in _DRIFT_TYPES.items())} END AS json_type
+  FROM fields
+)
+SELECT file_name,
+  nullif(regexp_extract(file_name, '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}'), '') AS log_date,
+  field, json_type,
+  CASE WHEN field IN ({_list(_TEXT_FIELDS)}) THEN 'changed_type' ELSE 'unknown_field' END
+    AS problem, count(*) AS lines
+FROM typed WHERE field NOT IN ({_list(_TEXT_FIELDS)})
+  OR NOT (json_type = 'VOID'
+    OR json_type = CASE WHEN field IN ('src_port', 'dst_port') THEN 'BIGINT' ELSE 'STRING' END
+    OR (field = 'timestamp' AND json_type = 'BIGINT'))
+GROUP BY ALL"""
+
 #: Queries on the log.
 ON_LOG = {
     "events_by_type": _TYPES,
@@ -466,6 +526,19 @@ ON_LOG = {
     "top_attackers": f"""SELECT src_ip, n AS count, {_LABEL} AS location_label
       FROM (SELECT * FROM ({_TOP_IPS}) x ORDER BY n DESC, src_ip LIMIT 3) t {_GEO_JOIN}""",
     "analytics_summary": _BRUTE + _SUMMARY,
+    "summary_in_one_scan": _BRUTE + _SUMMARY,
+    "distinct_rollup": _distinct("2024-01-02 06:00:00"),
+    "distinct_rollup_cut_hours": _distinct("2024-01-02 05:30:00"),
+    "top_passwords_by_sketch": """SELECT password, count(*) AS count FROM log_events
+      WHERE password IS NOT NULL AND password <> ''
+      GROUP BY password ORDER BY count DESC, password LIMIT 20""",
+    "top_sessions_by_sketch": """SELECT session, count(*) AS count FROM log_events
+      WHERE session IS NOT NULL AND session <> ''
+      GROUP BY session ORDER BY count DESC, session LIMIT 20""",
+    "recent_stored": f"""SELECT message, session, eventid, src_ip, {_TS} AS time
+      FROM (SELECT * FROM log_rows WHERE line_status NOT IN ('blank', 'malformed')) t
+      ORDER BY ts DESC NULLS LAST, session, message LIMIT 100""",
+    "schema_drift": _DRIFT,
     "analytics_summary_empty": """SELECT CAST(0 AS BIGINT) AS total_events,
       CAST(0 AS BIGINT) AS total_attempts, 0.0::DOUBLE AS success_rate,
       CAST(0 AS BIGINT) AS unique_commands, CAST(0 AS BIGINT) AS brute_force_ips,
