@@ -4,6 +4,9 @@ Left out are those that it cannot: learned models (op1, op2), robust scatter
 (op10), byte-level codes (op6, op7, op12) and the similarity graph of op3.
 """
 
+from decoylog.llm.license_scan import EQUIVALENT
+from decoylog.llm.license_texts import KNOWN, WHOLE
+
 OP4 = r"""
 WITH w AS (
   SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
@@ -76,6 +79,43 @@ SELECT t.doc_id, CAST(coalesce(len(string_split(t.text, chr(10))), 0) AS BIGINT)
 FROM documents t LEFT JOIN per p USING (doc_id)
 """
 
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+_SPELLINGS = ", ".join(f"{_quoted(a)}: {_quoted(b)}" for a, b in EQUIVALENT.items())
+_KNOWN = ", ".join(f"({_quoted(name)}, {_quoted(text)})" for name, text in KNOWN.items())
+_WHOLE = ", ".join(f"({_quoted(name)}, {_quoted(digest)})" for name, digest in WHOLE.items())
+_COPYRIGHT = (
+    r"(?m)^[^\p{L}\p{N}\n(©]*"
+    r"(?:copyright[^\p{L}\p{N}\n]*(?:\(c\)|©|[0-9]{4})|\(c\)[^\p{L}\p{N}\n]*[0-9]{4}|©)[^\n]*$"
+    r"|(?m)^[^\p{L}\p{N}\n]*all rights reserved\.?[ \t]*$"
+)
+OP9 = f"""
+WITH texts AS (
+  SELECT 'document' AS role, NULL AS name, doc_id, row_number() OVER () AS row, text FROM documents
+  UNION ALL SELECT 'known', name, NULL, NULL, text FROM (VALUES {_KNOWN}) k(name, text)),
+lines AS (
+  SELECT *, regexp_replace(regexp_replace(lower(text), '\\r\\n?', chr(10), 'g'),
+    {_quoted(_COPYRIGHT)}, ' ', 'g') AS form FROM texts),
+signs AS (
+  SELECT *, replace(regexp_replace(regexp_replace(form, 'https?://(www\\.)?', '', 'g'),
+    '[''‘’`](s\\b)', '\\1', 'g'), '&', ' and ') AS plain FROM lines),
+words AS (
+  SELECT *, string_split(trim(regexp_replace(plain, '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')), ' ') AS ws
+  FROM signs),
+forms AS (
+  SELECT *, array_to_string(list_transform(ws, lambda w:
+    coalesce(MAP {{{_SPELLINGS}}}[w], w)), ' ') AS canonical FROM words),
+digests AS (SELECT *, CASE WHEN canonical <> '' THEN sha256(canonical) END AS digest FROM forms),
+known AS (
+  SELECT digest, min(name) AS license_id FROM digests
+  WHERE role = 'known' AND digest IS NOT NULL GROUP BY digest
+  UNION ALL SELECT w.digest, w.name FROM (VALUES {_WHOLE}) w(name, digest))
+SELECT d.doc_id, d.digest, k.license_id FROM digests d LEFT JOIN known k USING (digest)
+WHERE d.role = 'document'
+"""
+
 OP11 = r"""
 WITH good AS (
   SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings
@@ -130,6 +170,7 @@ FROM p
 SQL = {
     "op4_decontamination": OP4,
     "op8_line_dedup": OP8,
+    "op9_license_scan": OP9,
     "op11_embedding_links": OP11,
     "op13_fill_middle": OP13,
 }

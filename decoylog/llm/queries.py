@@ -47,7 +47,12 @@ def vocabulary() -> str:
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     part = F.crc32(F.col("doc_id").cast("string").cast("binary")) % FOLDS
-    found = language_id.identify(docs, part == HELD_OUT, part == CALIBRATION)
+
+    def in_part(number: int) -> Column:
+        """A row without a doc_id is in no part."""
+        return F.coalesce(part == number, F.lit(False))
+
+    found = language_id.identify(docs, in_part(HELD_OUT), in_part(CALIBRATION))
     return found.select("doc_id", "held_out", "lang_pred", "score", "rejected")
 
 

@@ -465,12 +465,69 @@ def _prepared(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFra
 
 
 def maximal_repeats(docs: DataFrame) -> DataFrame:
-    """The repeat groups of the shards' suffix arrays with all their occurrences.
-
-    shard and number name a group; length bytes from start on are equal in all
-    members.  A passage longer than a segment shows as groups that overlap.
+    """Repeat groups with all their occurrences: group, length, doc_id, start, earliest.
+
+    ``length`` bytes from ``start`` on are equal in all members of a group, and
+    ``earliest`` marks the one that comes first in the corpus.  The groups of the
+    shards' trees hold one of each different segment; segments of equal content take
+    part through it, so each member is given out once for every copy of its segment.
+    A segment that has copies is a group as a whole, unless a tree has it as one.
+    Every string of ``LEAST`` bytes that occurs twice lies in a group that has all its
+    occurrences.  A passage longer than a segment shows as groups that overlap.
+    Segments of crowded anchors that differ are not compared here: they are in a group
+    with their copies only (:func:`without_repeats` does compare them).
     """
-    return _prepared(docs)[3].drop("text_key")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    text = F.col("text").cast("string")
+    rows = docs.select("doc_id", text_key(text).alias("text_key"), text.alias("text"))
+    # Equal rows of the table are one document.
+    found = cut(_segment_rows(rows, kind).distinct())
+    same = ["anchor", "content"]
+    firsts = found.groupBy(*same).agg(
+        F.min(_place("first")).alias("rep"),
+        F.min_by("last", _place("first")).alias("last"),
+        F.count(F.lit(1)).alias("copies"),
+    )
+    contents = firsts.groupBy("anchor").agg(F.count(F.lit(1)).alias("contents"))
+    firsts = cut(firsts.join(contents, "anchor"))
+    several = firsts.where("contents > 1")
+    groups = _prepared(docs)[3]
+
+    # A representative of a content, with the copies' places beside its own.
+    of = several.select(
+        *same, "rep", F.xxhash64("rep.doc_id", F.lit(3)).alias("r1"), F.col("rep.text_key").alias("r2"),
+        F.col("rep.first").alias("r_first"), F.col("last").alias("r_last"),
+    )
+    member = groups.select(
+        F.concat_ws("-", "shard", "number").alias("group"), "length",
+        F.xxhash64("doc_id", F.lit(3)).alias("r1"), F.col("text_key").alias("r2"), "start",
+    )
+    inside = (F.col("start") >= F.col("r_first")) & (
+        F.col("start") + F.col("length") <= F.col("r_last") + LEAST
+    )
+    in_segment = member.join(of, ["r1", "r2"]).where(inside)
+    by_tree = in_segment.select(
+        "group", "length", *same, (F.col("start") - F.col("r_first")).alias("offset")
+    )
+    taken = by_tree.where("offset = 0").select("length", *same)
+    whole = (
+        firsts.where("copies > 1")
+        .select(*same, (F.col("last") - F.col("rep.first") + LEAST).alias("length"))
+        .join(taken, ["length", *same], "left_anti")
+        .select(F.concat_ws("=", *same).alias("group"), "length", *same, F.lit(0).alias("offset"))
+    )
+    placed = (
+        by_tree.unionByName(whole)
+        .join(found.select(*same, *PLACE, "first"), same)
+        .select("group", "length", *PLACE, (F.col("first") + F.col("offset")).alias("start"))
+        .distinct()
+    )
+    first = placed.groupBy("group").agg(F.min(_place("start")).alias("origin"))
+    return (
+        placed.join(first, "group")
+        .withColumn("earliest", F.col("origin") == _place("start"))
+        .select("group", "length", "doc_id", "start", "earliest")
+    )
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
