@@ -42,7 +42,7 @@ HOT = 1 << 17
 #: Characters and documents given out at a time.
 BLOCK, OUT = 1 << 20, 512
 #: Groups a task remembers, by kind.
-REMEMBERED = 1 << 16
+REMEMBERED = 1 << 17
 # Fixed value: how this family of vocabularies cuts texts before merging.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Runs of white space from this length on are left to the library.
@@ -144,12 +144,9 @@ class Aligner:
         #: Other groups, with their links.
         self.several: dict[tuple, tuple[str, list[int]]] = {}
 
-    def covers(self, a: list[int], b: list[int], data: bytes) -> bool:
-        join = b"".join
-        return (
-            join(map(self.bytes_a.__getitem__, a)) == data
-            and join(map(self.bytes_b.__getitem__, b)) == data
-        )
+    def gives_back(self, b: list[int], data: bytes) -> bool:
+        """Whether B's tokens are the text; A's are, as byte-level merging loses nothing."""
+        return b"".join(map(self.bytes_b.__getitem__, b)) == data
 
     def _several(self, key: tuple[tuple[int, ...], tuple[int, ...]]) -> tuple[str, list[int]]:
         if len(self.several) >= REMEMBERED:
@@ -233,7 +230,7 @@ def _aligned(docs: DataFrame, path_a: str, path_b: str, keep_groups: bool) -> tu
         def row(text: str | None) -> tuple:
             if text:
                 a, b = tokens.encode(text), pieces.encode(text)
-                if aligner.covers(a, b, b" " + text.encode()):
+                if aligner.gives_back(b, b" " + text.encode()):
                     groups, links = aligner.align(a, b)
                     pairs, times = np.unique(links, return_counts=True)
                     digest = hashlib.sha256(";".join(groups).encode()).hexdigest()
