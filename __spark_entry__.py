@@ -202,14 +202,21 @@ def _read_log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _numbered_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All lines in every state, with the ``day`` and the ``part`` of the file they go to."""
-    parsed = dl.parse_lines(sample_lines(read_table(spark, sf_dir, "events")), ["timestamp"])
-    return parsed.select(
+    """All lines in every state, with the ``day`` and the ``part`` of the file they go to.
+
+    Written first, as they are used several times.
+    """
+    folder = run_dir(spark, "numbered")
+    lines = sample_lines(read_table(spark, sf_dir, "events")).select("value")
+    lines.write.parquet(f"{folder}/lines")
+    parsed = dl.parse_lines(spark.read.parquet(f"{folder}/lines"), ["timestamp"])
+    parsed.select(
         "value",
         F.coalesce(F.date_format("ts", "yyyy-MM-dd"), F.lit("live")).alias("day"),
         (F.char_length("value") % 3).alias("part"),
         "line_status",
-    )
+    ).write.parquet(f"{folder}/numbered")
+    return spark.read.parquet(f"{folder}/numbered")
 
 
 def _put_files(lines: DataFrame, root: str) -> None:
