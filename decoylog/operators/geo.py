@@ -92,11 +92,16 @@ def _filed(geo: DataFrame, *carried: Column) -> DataFrame:
     )
 
 
-def _levels(geo: DataFrame, v4: bool) -> Column:
-    """The numbers of digits that ranges of a family are filed under, as one value: at
-    most 9 (17) numbers, gathered by the query itself."""
-    family = _is_v4(F.col("lo")) if v4 else ~_is_v4(F.col("lo"))
-    return _ranges(geo).where(family).agg(F.array_sort(F.collect_set("digits"))).scalar()
+def _levels(geo: DataFrame) -> Column:
+    """The numbers of digits that ranges of each family are filed under, as one value: at
+    most 9 and 17 numbers, gathered by the query itself."""
+    v4 = _is_v4(F.col("lo"))
+
+    def digits(family: Column) -> Column:
+        return F.array_sort(F.collect_set(F.when(family, F.col("digits"))))
+
+    both = _ranges(geo).agg(digits(v4).alias("v4"), digits(~v4).alias("v6"))
+    return both.select(F.struct("v4", "v6")).scalar()
 
 
 def _probes(rows: DataFrame, key: Column, geo: DataFrame, every: bool = False) -> DataFrame:
@@ -105,9 +110,8 @@ def _probes(rows: DataFrame, key: Column, geo: DataFrame, every: bool = False) -
     What is no address has no prefix; ``every`` keeps rows without a prefix, once.
     """
     salt = F.pmod(F.xxhash64("key"), F.lit(_SALTS)).cast("int")
-    levels = F.when(_is_v4(F.col("key")), _levels(geo, True)).when(
-        F.col("key").isNotNull(), _levels(geo, False)
-    )
+    known = _levels(geo)
+    levels = F.when(_is_v4(F.col("key")), known["v4"]).when(F.col("key").isNotNull(), known["v6"])
     return (
         rows.withColumn("key", key)
         .withColumn("digits", F.explode_outer(levels) if every else F.explode(levels))
