@@ -84,14 +84,15 @@ def test_models_are_kneser_ney(docs_of):
     source = random.Random(11)
     texts = [prose("aa", source, 8) for _ in range(12)]
     docs = docs_of([(i, t, "aa") for i, t in enumerate(texts)])
-    model = language_id.fit(language_id.gram_counts(docs, F.lit(0)))["aa"]
+    (model,) = language_id.Models(language_id.gram_counts(docs, F.lit(0))).read(0)
     plain = plain_kneser_ney(texts)
     grams = ["  ba", " bal", "balu", "alum", "zzzz", "sa b", "mi z", "lulu"]
-    packed = np.array([language_id.packed(np.array([ord(c) for c in g]), 4)[0] for g in grams])
+    each = [language_id.packed(np.array([ord(c) for c in g])) for g in grams]
+    packed = tuple(np.concatenate(column) for column in zip(*each))
     assert language_id.log_probability(model, packed) == pytest.approx([plain(g) for g in grams])
     for hashes, _, contexts, _ in model:
-        assert (np.diff(hashes.astype(np.int64)) > 0).all()
-        assert (np.diff(contexts.astype(np.int64)) > 0).all()
+        assert (hashes[1:] > hashes[:-1]).all()
+        assert (contexts[1:] > contexts[:-1]).all()
 
 
 def test_blocks_change_no_entropy(monkeypatch):
@@ -101,12 +102,44 @@ def test_blocks_change_no_entropy(monkeypatch):
     scorer = lambda: language_id.Scorer({"models": [[]], "memory": None})
     assert model
     monkeypatch.setattr(
-        language_id, "log_probability", lambda _, grams: (grams % np.uint64(97)).astype(float)
+        language_id, "log_probability", lambda _, grams: (grams[1] % np.uint64(97)).astype(float)
     )
-    whole = language_id.entropies(scorer(), texts)
+    whole = language_id.cross_sums(scorer(), texts)
     monkeypatch.setattr(language_id, "BLOCK", 16)
     monkeypatch.setattr(language_id, "REMEMBERED", 50)
-    assert language_id.entropies(scorer(), texts) == pytest.approx(whole)
+    for part, expected in zip(language_id.cross_sums(scorer(), texts), whole):
+        assert part == pytest.approx(expected)
+
+
+def test_ranges_change_no_result(docs_of, monkeypatch):
+    source = random.Random(15)
+    langs = sorted(SYLLABLES)
+    rows = [(i, prose(langs[i % 3], source, 1 + i % 30), langs[i % 3]) for i in range(120)]
+    rows += rows[:5] + [(None, "lumi sa", "aa")] * 2 + [(500, None, None), (501, "", "aa"), (502, "7", "bb")]
+    docs = docs_of(rows)
+    part = F.coalesce(F.col("doc_id") % 4, F.lit(0))
+
+    def found():
+        got = language_id.identify(docs, part == 2, part == 3).collect()
+        return sorted(tuple(-1 if x is None else x for x in r) for r in got)
+
+    whole = found()
+    assert len(whole) == len(rows)
+    monkeypatch.setattr(language_id, "RANGE_ROWS", 150)
+    assert language_id.Models(language_id.gram_counts(docs, F.lit(0))).ranges > 3
+    for a, b in zip(found(), whole, strict=True):
+        assert a[:3] == b[:3] and a[5] == b[5]
+        assert a[3:5] == pytest.approx(b[3:5])
+
+
+def test_no_limit_of_languages_and_whole_code_points(docs_of):
+    # Each language has letters of its own, some of them 2^16 apart.
+    letters = [chr(0x4E00 + i) for i in range(70)] + [chr(0x24E00 + i) for i in range(70)]
+    rows = [(4 * i + k, letters[i] * (k + 3), f"l{i:03}") for i in range(140) for k in (0, 1, 2)]
+    docs = docs_of(rows)
+    found = language_id.identify(docs, F.col("doc_id") % 4 == 2, F.lit(False)).collect()
+    assert len(found) == len(rows)
+    assert all(r.lang_pred == f"l{r.doc_id // 4:03}" for r in found)
 
 
 def test_estimation_finds_the_accuracies():
