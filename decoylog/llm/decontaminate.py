@@ -175,12 +175,8 @@ def _scan(docs: DataFrame, bitmap: np.ndarray, least: dict[int, int]) -> DataFra
 def _prefixes(texts: DataFrame, shingles: DataFrame) -> DataFrame:
     """The rarest shingle of every window that can occur, and its offset there."""
     each = texts.select("window_id", F.posexplode("hashes").alias("offset", "hash"))
-    # Only the frequencies of benchmark shingles are needed.
-    frequency = (
-        shingles.join(each.select("hash").distinct(), "hash", "left_semi")
-        .groupBy("hash")
-        .agg(F.count(F.lit(1)).alias("frequency"))
-    )
+    # Counted before any join, so a frequent shingle moves as partial counts only.
+    frequency = shingles.groupBy("hash").agg(F.count(F.lit(1)).alias("frequency"))
     rarest = F.min(F.struct("frequency", "offset", "hash")).alias("rarest")
     return (
         each.join(frequency, "hash", "left")
