@@ -6,7 +6,9 @@ over a bounded sample of the distinct fingerprints deals all of them into
 shards: an inner node holds a vantage point and a radius, the near side holds
 the fingerprints within the radius.  A fingerprint is data in its one home shard
 and a query in every shard that the triangle inequality cannot rule out, so
-pairs across a boundary meet in the home of the smaller one.  Inside a shard the
+pairs across a boundary meet in the home of the smaller one.  A shard that is still
+too large is dealt again by a tree over a sample of its own, as often as it takes, so
+the number of shards has no ceiling.  Inside a shard the
 same descent is repeated for data and queries together, on whole arrays, until
 the leaves are small enough to compare directly.  The pairs found are exact; the
 sample only decides how even the shards are.  A shard hands on what its pairs
@@ -21,6 +23,7 @@ names it; an empty table gives an empty result.
 from __future__ import annotations
 
 import math
+import pickle
 from collections.abc import Iterator
 from itertools import repeat
 
@@ -139,8 +142,13 @@ def build_tree(sample: np.ndarray, depth: int) -> tuple | int:
     return node(np.sort(sample), depth)
 
 
-def route(tree: tuple | int, values: np.ndarray, reach: int) -> Iterator[tuple]:
-    """(shard, values, home) for every shard the triangle inequality leaves open."""
+def route(
+    tree: tuple | int, values: np.ndarray, reach: int, home: np.ndarray | None = None
+) -> Iterator[tuple]:
+    """(shard, values, home) for every shard the triangle inequality leaves open.
+
+    Values that are not at ``home`` before are queries everywhere.
+    """
 
     def visit(node: tuple | int, values: np.ndarray, home: np.ndarray) -> Iterator[tuple]:
         if not len(values):
@@ -157,7 +165,7 @@ def route(tree: tuple | int, values: np.ndarray, reach: int) -> Iterator[tuple]:
         ):
             yield from visit(child, values[open_], (home & mine)[open_])
 
-    yield from visit(tree, values, np.ones(len(values), dtype=bool))
+    yield from visit(tree, values, np.ones(len(values), dtype=bool) if home is None else home)
 
 
 def pairs_within(data: np.ndarray, queries: np.ndarray, reach: int) -> Iterator[tuple]:
@@ -209,12 +217,82 @@ def forest(values: np.ndarray, pairs: Iterator[tuple]) -> tuple[np.ndarray, np.n
     return nodes[root[moved]], nodes[moved]
 
 
+def _most_depth() -> int:
+    """Levels that one sample can shape, 64 fingerprints for each of the leaves."""
+    return int(math.log2(SAMPLE / 64))
+
+
+def _depth(n: int) -> int:
+    return min(max(0, math.ceil(math.log2(max(n, 1) / SHARD_SIZE))), _most_depth())
+
+
+def _dealt_again(dealt: DataFrame, reach: int) -> DataFrame:
+    """Shards of over twice ``SHARD_SIZE`` fingerprints split until no tree can split them.
+
+    Each tree is built in a task from a sample of bounded expected size; the driver
+    holds their nodes, about one for each ``SHARD_SIZE`` fingerprints.
+    """
+    spark = dealt.sparkSession
+    level = 0
+    while True:
+        level += 1
+        dealt = cut(dealt)
+        own = dealt.where("home")
+        sizes = own.groupBy("shard").agg(F.count(F.lit(1)).alias("n"))
+        large = sizes.where(F.col("n") > 2 * SHARD_SIZE)
+        chance = F.pmod(F.xxhash64("fingerprint", F.lit(level)), F.lit(1 << 30)) / (1 << 30)
+        sample = own.join(large, "shard").where(chance * F.col("n") < SAMPLE)
+
+        def build(table: pa.Table) -> pa.Table:
+            values = table.column("fingerprint").to_numpy().view(np.uint64)
+            tree = build_tree(values, _depth(table.column("n")[0].as_py()))
+            return pa.table(
+                {"shard": table.column("shard")[:1], "tree": pa.array([pickle.dumps(tree)])}
+            )
+
+        made = sample.groupBy("shard").applyInArrow(build, "shard bigint, tree binary").collect()
+        trees = {row["shard"]: pickle.loads(row["tree"]) for row in made}
+        # A shard whose sample cannot be split stays as it is.
+        trees = {shard: tree for shard, tree in trees.items() if not isinstance(tree, int)}
+        if not trees:
+            return dealt
+        shared = spark.sparkContext.broadcast(trees)
+
+        def deal(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                shards, values = (batch.column(i).to_numpy() for i in (0, 1))
+                values = values.view(np.uint64)
+                home = batch.column(2).to_numpy(zero_copy_only=False)
+                order = np.argsort(shards, kind="stable")
+                starts = np.flatnonzero(np.diff(shards[order], prepend=-1))
+                parts = []
+                for rows in np.split(order, starts[1:]):
+                    if not len(rows):
+                        continue
+                    shard = int(shards[rows[0]])
+                    tree = shared.value.get(shard)
+                    if tree is None:
+                        parts.append((shards[rows], values[rows], home[rows]))
+                        continue
+                    for leaf, found, mine in route(tree, values[rows], reach, home[rows]):
+                        # Two shards of one number would be searched as one, nothing worse.
+                        number = xxh64_intdigest(f"{shard} {leaf}") >> 1
+                        parts.append((np.full(len(found), number), found, mine))
+                if parts:
+                    number, found, mine = (np.concatenate(column) for column in zip(*parts))
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(number), pa.array(found.view(np.int64)), pa.array(mine)],
+                        names=["shard", "fingerprint", "home"],
+                    )
+
+        dealt = dealt.mapInArrow(deal, dealt.schema)
+
+
 def links(distinct: DataFrame, reach: int) -> DataFrame:
     """Links (a, b) of distinct fingerprints that connect all those within ``reach`` bits."""
     spark = distinct.sparkSession
     n = distinct.count()
-    depth = max(0, math.ceil(math.log2(max(n, 1) / SHARD_SIZE)))
-    depth = min(depth, int(math.log2(SAMPLE / 64)))
+    depth = _depth(n)
     rows = (
         distinct.orderBy(F.xxhash64("fingerprint")).limit(min(SAMPLE, 64 << depth)).toArrow()
         if depth
@@ -229,7 +307,7 @@ def links(distinct: DataFrame, reach: int) -> DataFrame:
             for shard, found, home in route(tree.value, values, reach):
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(np.full(len(found), shard, dtype=np.int32)),
+                        pa.array(np.full(len(found), shard, dtype=np.int64)),
                         pa.array(found.view(np.int64)),
                         pa.array(home),
                     ],
@@ -242,7 +320,9 @@ def links(distinct: DataFrame, reach: int) -> DataFrame:
         a, b = forest(values, pairs_within(values[home], values, reach))
         return pa.table({"a": a.view(np.int64), "b": b.view(np.int64)})
 
-    dealt = distinct.mapInArrow(deal, "shard int, fingerprint bigint, home boolean")
+    dealt = distinct.mapInArrow(deal, "shard bigint, fingerprint bigint, home boolean")
+    if n > SHARD_SIZE << _most_depth():
+        dealt = _dealt_again(dealt, reach)
     return dealt.groupBy("shard").applyInArrow(search, "a bigint, b bigint")
 
 

@@ -1,11 +1,12 @@
-"""Repeat groups over whole texts, and rows without an id."""
+"""Repeat groups over whole texts, rows without an id, and shards that are split again."""
 
 from collections import defaultdict
 
+import numpy as np
 import pytest
 
 from decoylog import llm
-from decoylog.llm import repeats
+from decoylog.llm import repeats, simhash
 from decoylog.llm.license_texts import KNOWN
 
 LEAST = repeats.LEAST
@@ -72,3 +73,44 @@ def test_licence_sql_knows_what_the_scan_knows(spark, tmp_path):
     found = llm.queries()["op9_license_scan"](spark, str(tmp_path)).select(*columns)
     assert sorted(map(repr, map(tuple, found.collect()))) == sorted(map(repr, result.fetchall()))
     assert found.where("license_id IS NOT NULL").count() > len(KNOWN)
+
+
+# --- op3: shards that one sample cannot shape are dealt again ------------------
+
+
+def test_large_shards_are_split_again(spark, monkeypatch):
+    source = np.random.default_rng(17)
+    loose = source.integers(0, 1 << 63, 2500, dtype=np.uint64)
+    near = loose[:600] ^ (np.uint64(1) << source.integers(0, 62, 600, dtype=np.uint64))
+    dense = np.uint64(12345) ^ (np.uint64(1) << source.integers(0, 62, 40, dtype=np.uint64))
+    values = np.unique(np.concatenate((loose, near, dense)))
+    distinct = spark.createDataFrame([(int(v),) for v in values], "fingerprint bigint")
+    monkeypatch.setattr(simhash, "SHARD_SIZE", 64)
+    monkeypatch.setattr(simhash, "SAMPLE", 512)
+    dealt = []
+    again = simhash._dealt_again
+    monkeypatch.setattr(
+        simhash, "_dealt_again", lambda d, reach: dealt.append(again(d, reach)) or dealt[-1]
+    )
+    found = simhash.links(distinct, 2).collect()
+    homes = dealt[0].where("home")
+    assert homes.count() == len(values)
+    sizes = [r["count"] for r in homes.groupBy("shard").count().collect()]
+    assert len(sizes) > 20 and max(sizes) <= 128
+    least = {int(v): int(v) for v in values}
+
+    def root(v, up):
+        while up[v] != v:
+            v = up[v]
+        return v
+
+    plain = dict(least)
+    for v in values:
+        for w in values[np.bitwise_count(values ^ v) <= 2]:
+            a, b = root(int(v), plain), root(int(w), plain)
+            plain[max(a, b)] = min(a, b)
+    for r in found:
+        assert (r.a ^ r.b).bit_count() <= 2 or root(r.a, plain) == root(r.b, plain)
+        a, b = root(r.a, least), root(r.b, least)
+        least[max(a, b)] = min(a, b)
+    assert all(root(int(v), least) == root(int(v), plain) for v in values)
