@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
@@ -38,3 +40,19 @@ def run_dir(spark: SparkSession, name: str) -> str:
     files.mkdirs(at(path))
     files.deleteOnExit(at(path))
     return path
+
+
+@contextmanager
+def open_files(spark: SparkSession, most: int) -> Iterator[None]:
+    """Within it, a task that writes by partition columns keeps up to ``most`` files open.
+
+    Else it sorts its rows by those columns first, and holds all of them to do so.
+    Beyond ``most`` files it sorts the rows that are left.
+    """
+    name = "spark.sql.maxConcurrentOutputFileWriters"
+    before = spark.conf.get(name)
+    spark.conf.set(name, most)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
