@@ -356,17 +356,25 @@ def near_repeats(keyed: DataFrame, max_edits: int) -> DataFrame:
     return cut(known.join(late, "at", "left_semi").select(*LINE))
 
 
-def _kept(docs: DataFrame, max_edits: int) -> DataFrame:
-    """Lines that stay, at the place where they stay."""
+def _staying(docs: DataFrame, max_edits: int) -> DataFrame:
+    """Numbers of the lines that stay, of each document that keeps any.
+
+    They are found by numbers alone; texts stay where they are.
+    """
     keyed = _keyed(lines_of(docs))
-    return _distinct(keyed).join(near_repeats(keyed, max_edits), list(LINE), "left_anti")
+    repeats = near_repeats(keyed, max_edits)
+    release(docs.sparkSession)
+    return (
+        _distinct(keyed)
+        .join(repeats, list(LINE), "left_anti")
+        .groupBy(F.col("at.doc_id").alias("__doc_id"), F.col("at.text_key").alias("__text_key"))
+        .agg(F.collect_list("at.pos").alias("__stay"))
+    )
 
 
 def line_report(docs: DataFrame, max_edits: int = 1) -> DataFrame:
     """doc_id, n_lines, n_removed and removed (numbers from 0) of every row."""
-    stay = _kept(docs, max_edits).groupBy(
-        F.col("at.doc_id").alias("__doc_id"), F.col("at.text_key").alias("__text_key")
-    ).agg(F.collect_list("at.pos").alias("stay"))
+    stay = _staying(docs, max_edits)
     lines = F.coalesce(F.size(F.split("text", "\n")), F.lit(0))
     rows = docs.select(
         "doc_id",
@@ -380,30 +388,24 @@ def line_report(docs: DataFrame, max_edits: int = 1) -> DataFrame:
     return rows.join(stay, on, "left").select(
         "doc_id",
         F.col("n_lines").cast("long").alias("n_lines"),
-        F.array_except(everything, F.coalesce("stay", none)).alias("removed"),
+        F.array_except(everything, F.coalesce("__stay", none)).alias("removed"),
     ).withColumn("n_removed", F.size("removed").cast("long"))
 
 
 def without_repeats(docs: DataFrame, max_edits: int = 1) -> DataFrame:
     """The documents, all columns, with the repeated lines taken out of the text."""
-    lines = F.transform(
-        F.sort_array(F.collect_list(F.struct(F.col("at.pos").alias("pos"), "line"))),
-        lambda x: x["line"],
+    stay = _staying(docs, max_edits)
+    rows = docs.withColumn("__own_key", text_key(F.col("text")))
+    on = rows["doc_id"].eqNullSafe(stay["__doc_id"]) & (rows["__own_key"] == stay["__text_key"])
+    numbers = F.sort_array(F.coalesce("__stay", F.array().cast("array<int>")))
+    lines_left = let(
+        F.split("text", "\n"),
+        lambda lines: F.array_join(F.transform(numbers, lambda n: F.get(lines, n)), "\n"),
     )
-    texts = _kept(docs, max_edits).groupBy(
-        F.col("at.doc_id").alias("__doc_id"), F.col("at.text_key").alias("__text_key")
-    ).agg(F.array_join(lines, "\n").alias("__text"))
-    rows = docs.withColumn("__own_key", text_key(F.col("text"))).withColumn(
-        "text", F.when(F.col("text").isNotNull(), "")
+    new_text = F.when(F.col("text").isNotNull(), lines_left)
+    made = rows.join(stay, on, "left").select(
+        *[new_text.alias("text") if name == "text" else F.col(name) for name in docs.columns]
     )
-    on = rows["doc_id"].eqNullSafe(texts["__doc_id"]) & (rows["__own_key"] == texts["__text_key"])
-    new_text = F.coalesce("__text", "text")
-    columns = [
-        new_text.alias("text")
-        if name == "text"
-        else F.char_length(new_text).cast(docs.schema[name].dataType).alias(name)
-        if name == "n_chars"
-        else F.col(name)
-        for name in docs.columns
-    ]
-    return rows.join(texts, on, "left").select(*columns)
+    if "n_chars" not in docs.columns:
+        return made
+    return made.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
