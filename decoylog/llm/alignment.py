@@ -6,6 +6,13 @@ that both have, the sorted intersection of the dictionaries' keys, slice both id
 lists into groups.  Within a group no other ends agree, so its links (pairs of
 overlapping tokens) are found by walking both sides once.
 
+Texts are aligned by units, each of which is white space and what follows it up to
+the next white space that is not a carriage return.  Both tokenizers end a token where
+a unit ends: the pattern of A's family does, and no piece of B has such white space
+after anything else.  So a task aligns the units it has not met as one text, remembers
+the short ones, and puts texts together from them.  Pairs of vocabularies without that
+property align whole texts.
+
 A pair of ids counts the documents that hold it linked.  Every task counts its own
 documents first, so the shuffle moves one row per pair and batch.  The counts go
 back to the documents in two ways: those of the ``HOT`` most frequent pairs, a
@@ -24,7 +31,7 @@ import hashlib
 import json
 import re
 from collections.abc import Iterator, Sequence
-from itertools import repeat
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +39,7 @@ import sentencepiece
 import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from sentencepiece import sentencepiece_model_pb2
 from tokenizers import Tokenizer
 
 from decoylog.llm.bpe import byte_alphabet
@@ -43,6 +51,12 @@ HOT = 1 << 17
 BLOCK, OUT = 1 << 20, 512
 #: Groups a task remembers, by kind.
 REMEMBERED = 1 << 17
+#: Units a task remembers, the characters such a unit may have, and of new ones aligned at a time.
+UNITS, SHORT, TOGETHER = 1 << 18, 32, 1 << 14
+#: What A's pattern takes for white space; a unit; what no piece may hold to be read by units.
+WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+UNIT = re.compile(rf"[{WHITE}]*[^{WHITE}]+(?:\r[{WHITE}]*[^{WHITE}]+)*(?:\r[{WHITE}]*)?|[{WHITE}]+")
+INNER_WHITE = re.compile(rf"[^{WHITE}](?!\r)[{WHITE}]")
 # Fixed value: how this family of vocabularies cuts texts before merging.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Runs of white space from this length on are left to the library.
@@ -50,6 +64,11 @@ WHITE_RUN = 4_096
 LONG_WHITE = re.compile(r"\s{%d}" % WHITE_RUN)
 
 
+def too_white(text: str) -> bool:
+    """Whether the rank coder cannot take the text."""
+    return len(text) >= WHITE_RUN and LONG_WHITE.search(text) is not None
+
+
 class ByteLevel:
     """A byte-level vocabulary (JSON of the tokenizers library); special texts are plain text.
 
@@ -92,7 +111,7 @@ class ByteLevel:
 
     def encode(self, text: str) -> list[int]:
         spaced = " " + text
-        if self.ranks and (len(text) < WHITE_RUN or not LONG_WHITE.search(spaced)):
+        if self.ranks and not too_white(spaced):
             return self.ranks.encode_ordinary(spaced)
         return self.library.encode_batch_fast([spaced], add_special_tokens=False)[0].ids
 
@@ -103,6 +122,20 @@ class Pieces:
     def __init__(self, model: bytes) -> None:
         self.model = sentencepiece.SentencePieceProcessor(model_proto=model)
         self.bytes = [self._bytes(i) for i in range(self.model.get_piece_size())]
+        made = sentencepiece_model_pb2.ModelProto.FromString(model)
+        texts, kinds = made.normalizer_spec, {p.type for p in made.pieces}
+        # Merges look at neighbours alone, so units that share no piece do not meet.
+        self.by_unit = (
+            made.trainer_spec.model_type == made.trainer_spec.BPE
+            and not made.trainer_spec.treat_whitespace_as_suffix
+            and texts.name == "identity"
+            and not texts.precompiled_charsmap
+            and texts.add_dummy_prefix
+            and texts.escape_whitespaces
+            and not texts.remove_extra_whitespaces
+            and not kinds & {made.SentencePiece.USER_DEFINED, made.SentencePiece.UNUSED}
+            and not any(INNER_WHITE.search(p.piece.replace("▁", " ")) for p in made.pieces)
+        )
 
     def _bytes(self, code: int) -> bytes:
         piece = self.model.id_to_piece(code)
@@ -165,8 +198,13 @@ class Aligner:
         made = self.ones[link] = "%s|%s" % tuple(map(self.digits.__getitem__, divmod(link, self.width)))
         return made
 
-    def align(self, a: list[int], b: list[int]) -> tuple[list[str], np.ndarray]:
-        """The groups as text, and each link as one number (A id times B's ids, plus B id)."""
+    def align(
+        self, a: list[int], b: list[int]
+    ) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+        """The groups as text and their ends, each link as one number and its group.
+
+        The number of a link is its A id times B's ids, plus its B id.
+        """
         ids_a, ids_b = np.array(a, np.int64), np.array(b, np.int64)
         ends_b = np.cumsum(self.len_b[ids_b])
         at_a = dict(zip(np.cumsum(self.len_a[ids_a]).tolist(), range(1, len(a) + 1)))
@@ -180,6 +218,7 @@ class Aligner:
         links = ids_a[to_a - 1] * self.width + ids_b[to_b - 1]
         groups = list(map(self.ones.get, links.tolist()))
         more: list[int] = []
+        sizes: list[int] = []
         wide = np.flatnonzero(~single)
         for g, i, j, k, m in zip(*(x.tolist() for x in (
             wide, (to_a - size_a)[wide], to_a[wide], (to_b - size_b)[wide], to_b[wide]
@@ -187,10 +226,160 @@ class Aligner:
             key = (tuple(a[i:j]), tuple(b[k:m]))
             groups[g], linked = self.several.get(key) or self._several(key)
             more += linked
+            sizes.append(len(linked))
         if None in groups:
             for g in [g for g, group in enumerate(groups) if group is None]:
                 groups[g] = self._one(int(links[g]))
-        return groups, np.concatenate([links[single], np.array(more, np.int64)])
+        of = np.concatenate([np.flatnonzero(single), np.repeat(wide, np.array(sizes, np.int64))])
+        return groups, ends_b[to_b - 1], np.concatenate([links[single], np.array(more, np.int64)]), of
+
+
+class Units:
+    """What a task knows of units: the groups as text, the numbers of tokens, the links.
+
+    All of it is kept by place.  Places of long units and of whole texts are given up
+    after each block; all are when ``most`` units are remembered.
+    """
+
+    def __init__(self, tokens: ByteLevel, pieces: Pieces, most: int = UNITS) -> None:
+        self.tokens, self.pieces, self.most = tokens, pieces, most
+        self.aligner = Aligner(tokens.bytes, pieces.bytes)
+        self.by_unit = tokens.ranks is not None and pieces.by_unit
+        self.span = len(tokens.bytes) * len(pieces.bytes)
+        self._forget(0)
+
+    def _forget(self, place: int) -> None:
+        """Gives up the places from this one on."""
+        self.fresh: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        if not place:
+            self.places: dict[str, int] = {}
+            self.groups: list[str] = []
+            #: Tokens of A, tokens of B and groups by place; the links of a place, from its start on.
+            self.counts, self.starts = np.empty((0, 3), np.int64), np.zeros(1, np.int64)
+            self.links = np.empty(0, np.int64)
+        elif place < len(self.groups):
+            del self.groups[place:]
+            self.counts, self.starts = self.counts[:place], self.starts[: place + 1]
+            self.links = self.links[: self.starts[-1]]
+
+    def _align(self, text: str, ends: Sequence[int] | None = None) -> bool:
+        """Aligns a text, and gives a place to each part after the first end, or to all.
+
+        ``ends`` count bytes of the text and the space before it.  False if the text is
+        not given back, or if a part does not end where a group does.
+        """
+        a, b = self.tokens.encode(text), self.pieces.encode(text)
+        data = b" " + text.encode()
+        if not self.aligner.gives_back(b, data):
+            return False
+        groups, at, links, of = self.aligner.align(a, b)
+        first = ends is not None
+        ends = np.array(ends if first else [len(data)], np.int64)
+        if (at[np.searchsorted(at, ends)] != ends).any():
+            return False
+
+        def parts(upto: np.ndarray) -> np.ndarray:
+            """How many of these ends each part has."""
+            return np.diff(np.searchsorted(upto, ends, "right"), prepend=0)
+
+        aligner = self.aligner
+        ends_a, ends_b = np.cumsum(aligner.len_a[np.array(a)]), np.cumsum(aligner.len_b[np.array(b)])
+        counts = np.stack([parts(ends_a), parts(ends_b), parts(at)], 1)[first:]
+        until = np.cumsum(parts(at)).tolist()
+        self.groups += [";".join(groups[i:j]) for i, j in zip([0, *until][first:], until[first:])]
+        part = np.searchsorted(ends, at)[of]
+        order = np.argsort(part, kind="stable")
+        sizes = np.bincount(part, minlength=len(ends))
+        self.fresh.append((counts, sizes[first:], links[order][sizes[0] if first else 0 :]))
+        return True
+
+    def _settle(self) -> None:
+        """Puts what was aligned since the last call to the rest."""
+        if self.fresh:
+            counts, sizes, links = map(np.concatenate, zip(*self.fresh))
+            self.counts = np.concatenate([self.counts, counts])
+            self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(sizes)])
+            self.links = np.concatenate([self.links, links])
+            self.fresh = []
+
+    def _meet(self, units: list[str]) -> bool:
+        """Gives places to units; only the last may end in white space."""
+        size = len(self.groups)
+        ends = np.cumsum([2, *(len(u.encode()) for u in units)])
+        # All units begin with white space: a letter before them makes them parts of a text.
+        if not self._align("x" + "".join(units), ends):
+            return False
+        self.places.update(zip(units, range(size, size + len(units))))
+        return True
+
+    def _new(self, units: list[str]) -> bool:
+        run, size = [], 0
+        for unit in units:
+            run.append(unit)
+            size += len(unit)
+            if size >= TOGETHER or unit[-1].isspace():
+                if not self._meet(run):
+                    return False
+                run, size = [], 0
+        return not run or self._meet(run)
+
+    def _units(self, text: str | None) -> list[str]:
+        """The units of a space and the text; none if it is aligned whole."""
+        # This character is white space to B alone.
+        if not text or not self.by_unit or "▁" in text:
+            return []
+        spaced = " " + text
+        return [] if too_white(spaced) else UNIT.findall(spaced)
+
+    def block(
+        self, texts: list[str | None]
+    ) -> tuple[np.ndarray, list[str], np.ndarray, np.ndarray, np.ndarray]:
+        """Of each text n_a, n_b, n_groups and n_links, and the groups as text.
+
+        Then the offsets of each text's distinct pairs, the pairs and how often they come.
+        """
+        if len(self.places) >= self.most:
+            self._forget(0)
+        cut = list(map(self._units, texts))
+        unknown = [u for u in dict.fromkeys(chain.from_iterable(cut)) if u not in self.places]
+        short = [u for u in unknown if len(u) <= SHORT]
+        long = [u for u in unknown if len(u) > SHORT]
+        held = len(self.groups)
+        if self._new(short):
+            held = len(self.groups)
+            if not self._new(long):
+                cut = [[] for _ in texts]
+        else:
+            cut = [[] for _ in texts]
+        places = [list(map(self.places.__getitem__, units)) for units in cut]
+        for text, found in zip(texts, places):
+            if text and not found and self._align(text):
+                found.append(len(self.groups) - 1)
+        self._settle()
+        made = self._put_together(places)
+        for unit in unknown:
+            if self.places.get(unit, -1) >= held:
+                del self.places[unit]
+        self._forget(held)
+        return made
+
+    def _put_together(
+        self, places: list[list[int]]
+    ) -> tuple[np.ndarray, list[str], np.ndarray, np.ndarray, np.ndarray]:
+        groups = [";".join(map(self.groups.__getitem__, found)) for found in places]
+        until = np.cumsum([0, *map(len, places)])
+        at = np.fromiter(chain.from_iterable(places), np.int64, until[-1])
+        sizes = np.diff(self.starts)[at]
+        counts = np.column_stack([self.counts[at], sizes])
+        sums = np.concatenate([np.zeros((1, 4), np.int64), np.cumsum(counts, axis=0)])[until]
+        # The links of all places in a row, under the number of their text.
+        skipped = self.starts[at] - (np.cumsum(sizes) - sizes)
+        links = self.links[np.repeat(skipped, sizes) + np.arange(sums[-1, 3])]
+        totals = np.diff(sums, axis=0)
+        text = np.repeat(np.arange(len(places)), totals[:, 3])
+        keys, times = np.unique(text * self.span + links, return_counts=True)
+        of, pairs = np.divmod(keys, self.span)
+        return totals, groups, np.searchsorted(of, np.arange(len(places) + 1)), pairs, times
 
 
 def blocks(texts: pa.Array) -> Iterator[tuple[int, list[str | None]]]:
@@ -224,36 +413,26 @@ def _aligned(docs: DataFrame, path_a: str, path_b: str, keep_groups: bool) -> tu
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, pieces = ByteLevel(shared.value[0]), Pieces(shared.value[1])
-        aligner = Aligner(tokens.bytes, pieces.bytes)
-
-        def row(text: str | None) -> tuple:
-            if text:
-                a, b = tokens.encode(text), pieces.encode(text)
-                if aligner.gives_back(b, b" " + text.encode()):
-                    groups, links = aligner.align(a, b)
-                    pairs, times = np.unique(links, return_counts=True)
-                    digest = hashlib.sha256(";".join(groups).encode()).hexdigest()
-                    return len(a), len(b), len(groups), len(links), digest, pairs, times, groups
-            return 0, 0, 0, 0, "", np.empty(0, np.int64), np.empty(0, np.int64), []
-
+        known = Units(ByteLevel(shared.value[0]), Pieces(shared.value[1]))
         for batch in batches:
             for start, texts in blocks(batch.column("text")):
-                *made, pairs, times, groups = zip(*map(row, texts))
-                offsets = pa.array(np.cumsum([0, *map(len, pairs)]), pa.int32())
+                totals, groups, offsets, pairs, times = known.block(texts)
                 part = batch.slice(start, len(texts))
+                digests = [hashlib.sha256(g.encode()).hexdigest() if g else "" for g in groups]
+                offsets = pa.array(offsets, pa.int32())
                 arrays = [
                     part.column("doc_id"),
                     part.column("row_id"),
-                    *[pa.array(values, kind) for values, kind in zip(made, types)],
-                    pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(pairs))),
-                    pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(times), pa.int32())),
+                    *map(pa.array, totals.T.copy()),
+                    pa.array(digests, pa.string()),
+                    pa.ListArray.from_arrays(offsets, pa.array(pairs)),
+                    pa.ListArray.from_arrays(offsets, pa.array(times, pa.int32())),
                 ]
                 if keep_groups:
-                    arrays.append(pa.array(groups, pa.list_(pa.string())))
+                    lists = [g.split(";") if g else [] for g in groups]
+                    arrays.append(pa.array(lists, pa.list_(pa.string())))
                 yield pa.RecordBatch.from_arrays(arrays, names=names)
 
-    types = [*[pa.int64()] * 4, pa.string()]
     names = ["doc_id", "row_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "pairs", "times"]
     if keep_groups:
         names.append("groups")
